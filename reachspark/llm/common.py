@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +63,12 @@ def bitmap(spark: SparkSession, keys: DataFrame, column: str, bits: int = BITMAP
                 one = slices.setdefault(int(s), np.zeros(per, dtype=bool))
                 one[at[at // per == s] - s * per] = True
         for s, one in slices.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(one, bitorder="little").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(one, bitorder="little"), 1)], pa.binary())})
 
-    dealt = keys.select(F.col(column).alias("k")).repartition(_SLICES, F.expr(f"(k & {(1 << bits) - 1}) div {per}"))
+    dealt = keys.select(F.col(column).alias("k")).repartition(F.expr(f"(k & {(1 << bits) - 1}) div {per}"))
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in dealt.mapInArrow(build, "slice int, bits binary").toLocalIterator():
-        out[row.slice * per // 8 : (row.slice + 1) * per // 8] |= np.frombuffer(row.bits, dtype=np.uint8)
+    for row in dealt.mapInArrow(build, "slice int, bits binary").collect():
+        out[row.slice * per // 8 : (row.slice + 1) * per // 8] |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
     return spark.sparkContext.broadcast(out)
 
 

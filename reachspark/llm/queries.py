@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring
 
 QUERIES = {
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
 }
 
