@@ -106,3 +106,18 @@ def components(scratch: Scratch, links: DataFrame, name: str = "links", most_rou
     return pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+#: Tells rows with one id apart by their text.
+PART = "cast(xxhash64(cast(text as string)) & 2147483647 as int)"
+
+
+def without(docs: DataFrame, bad: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows named by ``bad`` (doc_id long, part int, as PART gives it).
+
+    ``bad`` is broadcast only if it has at most ``most`` rows (some 16 MB), else both sides are shuffled.
+    """
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("part").alias("bad_part"))
+    if bad.count() <= most:
+        bad = F.broadcast(bad)
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & F.expr(PART).eqNullSafe(F.col("bad_part")), "left_anti")

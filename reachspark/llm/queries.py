@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import decontaminate, simhash, substring
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+}

@@ -32,6 +32,8 @@ SEED = 42
 #: Reference fingerprints, the same in every run.
 PIVOTS = mix(np.arange(1, 17, dtype=np.uint64))
 _SMALL = 24
+#: So many ids (8 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,5 +234,6 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one that names the group."""
-    found = near_duplicates(docs).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi")
+    gone = Scratch(spark, "simhash-stage").save(near_duplicates(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bitmap, in_bitmap
+from .common import PART, Scratch, bitmap, in_bitmap
 from .text import SPACED, chunks, grams, signed, sliding_min
 from .text import _second_hash as any_length
 
@@ -119,12 +119,8 @@ def _merged(pos, n):
     return np.stack([a[new], b[np.r_[new[1:] - 1, len(b) - 1]]], axis=1).ravel().tolist()
 
 
-#: Tells rows with one id apart by their text.
-_PART = "cast(xxhash64(cast(text as string)) & 2147483647 as int)"
-
-
 def _with_part(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_PART).alias("part"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(PART).alias("part"), F.col("text").cast("string").alias("text"))
 
 
 class FingerprintIndex:
@@ -210,7 +206,7 @@ def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("part").alias("span_part"), "spans")
     if 32 * n + 4 * values <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("span_id")) & (F.expr(_PART) == F.col("span_part")), "left").drop("span_id", "span_part")
+    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("span_id")) & (F.expr(PART) == F.col("span_part")), "left").drop("span_id", "span_part")
 
 
 def _keep(w, i: int, spans) -> tuple[int, int, bytes]:
