@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, substring
+from . import decontaminate, quality, simhash, substring, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op6_quality": quality.op6_quality,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,

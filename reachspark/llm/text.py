@@ -90,12 +90,23 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        out = np.empty(len(self.starts), dtype=np.uint64)
+        return self._hashes(self.starts, self.ends)
+
+    def prefix_hashes(self, lengths: tuple[int, ...]) -> list[np.ndarray]:
+        """Hashes of each word's first so many bytes."""
+        return [self._hashes(self.starts, np.minimum(self.starts + n, self.ends)) for n in lengths]
+
+    def suffix_hashes(self, n: int) -> np.ndarray:
+        """Hashes of each word's last n bytes."""
+        return self._hashes(np.maximum(self.ends - n, self.starts), self.ends)
+
+    def _hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), dtype=np.uint64)
         at = 0
         while at < len(out):
-            low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, low + PIECE, side="right")))
-            out[at:to] = _bytes_hash(self.buf[low : self.ends[to - 1]].astype(np.uint64), self.starts[at:to] - low, self.ends[at:to] - low)
+            low = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
+            out[at:to] = _bytes_hash(self.buf[low : ends[to - 1]].astype(np.uint64), starts[at:to] - low, ends[at:to] - low)
             at = to
         return out
 
