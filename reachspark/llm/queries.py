@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash, substring, toxicity
+from . import decontaminate, mixing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_mixing": mixing.op2_mixing,
     "op6_quality": quality.op6_quality,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_substring_dedup": substring.op7_substring_dedup,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
 }
