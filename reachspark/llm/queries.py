@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, simhash, substring, toxicity
+from . import chat, decontaminate, mixing, neighbours, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
+    "op3_warc": warc.op3_warc,
+    "op5_chat": chat.op5_chat,
     "op6_quality": quality.op6_quality,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_neighbours": neighbours.OP10_SQL,
+    "op3_warc": warc.OP3_SQL,
+    "op5_chat": chat.OP5_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
 }
