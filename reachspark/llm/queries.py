@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, neighbours, quality, simhash, substring, toxicity, warc
+from . import chat, decontaminate, licenses, mixing, neighbours, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_warc": warc.op3_warc,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_chat": chat.op5_chat,
     "op6_quality": quality.op6_quality,
-    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_licenses": licenses.op9_licenses,
     "op10_neighbours": neighbours.op10_neighbours,
 }
 
+# Classifiers (1, 6) and XXH64 fingerprints (8) can't be stated in SQL; 7 is too slow there.
 ORACLE_SQL: dict[str, str] = {
-    "op10_neighbours": neighbours.OP10_SQL,
-    "op3_warc": warc.OP3_SQL,
-    "op5_chat": chat.OP5_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op5_chat": chat.OP5_SQL,
+    "op9_licenses": licenses.OP9_SQL,
+    "op10_neighbours": neighbours.OP10_SQL,
 }
