@@ -1,0 +1,74 @@
+"""Zone fares: hops between zones, what a budget reaches, and what it costs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def zone_distance(edges: DataFrame, cap: int) -> DataFrame:
+    """(a, b, zones): zones a trip between two zones crosses, 1 within one, at most ``cap``.
+
+    Breadth-first by joins, one for each hop up to the cap; the table has a row for each
+    pair of zones, and zones are few.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    nodes = both.select("a").distinct()
+    found = nodes.select("a", F.col("a").alias("b"), F.lit(1).alias("zones"))
+    front = found
+    for hop in range(2, cap + 1):
+        step = front.select("a", F.col("b").alias("via")).join(both.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct()
+        front = step.join(found, ["a", "b"], "left_anti").withColumn("zones", F.lit(hop))
+        found = found.unionByName(front)
+    return found
+
+
+def pair_zones(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, hops: DataFrame) -> DataFrame:
+    """Adds zones to pairs: 0 for a walk, null if an end has no zone. ``origins`` is (origin, oz), ``destinations`` (destination, dz)."""
+    joined = pairs.join(origins, "origin", "left").join(destinations, "destination", "left").join(F.broadcast(hops.select(F.col("a").alias("oz"), F.col("b").alias("dz"), "zones")), ["oz", "dz"], "left")  # zones squared
+    return joined.withColumn("zones", F.when(F.col("mode") == "walk", 0).otherwise(F.col("zones"))).drop("oz", "dz")
+
+
+def limits(cap: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(cap))
+
+
+def reachable_within(pairs: DataFrame, weights: DataFrame, minutes: int, cap: int) -> DataFrame:
+    """(origin, z, reach, nearest): weight and least minutes within ``minutes`` for each zone limit z."""
+    near = pairs.filter(F.col("minutes") <= minutes).join(weights, "destination")
+    best = near.groupBy("origin", "destination", "weight").agg(*[F.min(F.when(F.col("zones") <= z, F.col("minutes"))).alias(f"m{z}") for z in range(cap + 1)])
+    by = best.groupBy("origin").agg(*[x for z in range(cap + 1) for x in (F.sum(F.when(F.col(f"m{z}").isNotNull(), F.col("weight")).otherwise(0.0)).alias(f"r{z}"), F.min(f"m{z}").alias(f"n{z}"))])
+    return by.select("origin", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.col(f"r{z}").alias("reach"), F.col(f"n{z}").alias("nearest")) for z in range(cap + 1)])).alias("x")).select("origin", "x.*")
+
+
+def fare(prices: Column, zones: Column, cap: int) -> Column:
+    """Price of so many zones from an array of prices by zones; beyond the cap the cap's."""
+    return F.element_at(prices, F.least(F.greatest(zones, F.lit(1)), F.lit(cap)).cast("int"))
+
+
+def affordable_zones(prices: Column, budget: Column, cap: int, trips: int = 2) -> Column:
+    """The largest number of zones whose fare for all trips is within the budget; 0 if none is."""
+    within = F.filter(F.sequence(F.lit(1), F.lit(cap)), lambda z: F.element_at(prices, z) * trips <= budget + 1e-9)
+    return F.coalesce(F.array_max(within), F.lit(0))
+
+
+def cheapest_zones(table: DataFrame, columns: list[str], standard: int, walk: str) -> Column:
+    """Fewest zones that meet the standard: 0 on foot, -2 if none does, -1 if nothing is reached at all."""
+    first = F.coalesce(*[F.when(F.col(c) <= standard, F.lit(k)) for k, c in enumerate([walk, *columns])])
+    return F.when(F.coalesce(*[F.col(c) for c in [walk, *columns]]).isNull(), -1).otherwise(F.coalesce(first, F.lit(-2)))
+
+
+def burden(fare_return: Column, income: Column) -> Column:
+    """Return fare over a day's income; null without income."""
+    return F.when(income > 0, fare_return / (income / 365))
+
+
+def burden_class(value: Column) -> Column:
+    """0 below 2.5 %, 1 below 5 %, 2 below 10 %, else 3."""
+    return F.when(value.isNull(), None).when(value < 0.025, 0).when(value < 0.05, 1).when(value < 0.10, 2).otherwise(3)
+
+
+def week_cost(single: Column, days: int, day_cap: float | None, week_cap: float | None) -> Column:
+    """Two trips a day under a day's and a week's cap."""
+    day = 2 * single if day_cap is None else F.least(2 * single, F.lit(day_cap))
+    return day * days if week_cap is None else F.least(day * days, F.lit(week_cap))

@@ -30,4 +30,4 @@ def query(views: str, sql: str | None, covers: tuple[int, ...] = (), recursive:
     return add
 
 
-from reachspark.plans import measures  # noqa: E402, F401
+from reachspark.plans import areas, fares, measures, statistics  # noqa: E402, F401
