@@ -128,5 +128,5 @@ def with_views(names: str, query: str, recursive: bool = False) -> str:
     body = query.strip()
     joined = "," if body[:5].lower() == "with " and head else ""
     if joined:
-        body = body[5:]
+        body = body[5:].removeprefix("recursive ")
     return (f"with {'recursive ' if recursive else ''}{head}{joined} {body}") if head else query
