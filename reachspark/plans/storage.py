@@ -116,3 +116,77 @@ def destination_sets(t):
 @query("schools cells", "select s_suppkey as school from supplier where s_suppkey not in (select school from schools where kind = 'state')", (99, 382, 384))
 def anti_members(t):
     return t.schools().select("school").join(t.schools().filter("kind = 'state'").select("school"), "school", "left_anti")
+
+
+@query("pairs", """
+with r as (select origin, destination, mode, minutes, max(minutes) over (partition by destination) as worst from pairs where minutes <= 12)
+select a.destination, a.origin, a.mode, a.minutes, count(b.origin) as behind from r a left join r b on b.destination = a.destination and b.minutes > a.minutes and b.mode = a.mode group by all
+""", (161, 169))
+def slower_origins(t):
+    from pyspark.sql import Window as W
+
+    r = t.pairs().filter("minutes <= 12").select("destination", "origin", "mode", "minutes")
+    w = W.partitionBy("destination", "mode")
+    return r.withColumn("behind", F.count("*").over(w) - F.count("*").over(w.orderBy("minutes").rangeBetween(W.unboundedPreceding, 0)))
+
+
+@query("cells", """
+select cell, population, older, case when urban then population else 0 end as urban_people, round(population * case when zone = 0 then 1.0 when zone = 1 then 0.5 else 0.0 end, 6) as zone_people from cells
+""", (185, 281, 475, 483, 342, 339, 346))
+def masked_people(t):
+    part = F.when(F.col("zone") == 0, 1.0).when(F.col("zone") == 1, 0.5).otherwise(0.0)
+    return t.cells().select("cell", "population", "older", F.when(F.col("urban"), F.col("population")).otherwise(0.0).alias("urban_people"), F.round(F.col("population") * part, 6).alias("zone_people"))
+
+
+@query("pairs_w", """
+with w as (select origin, service, min(minutes) filter (where win = 'saturday') as asked, min(minutes) filter (where win = 'usual') as usual from pairs_w where mode = 'pt' group by all)
+select origin, service, coalesce(asked, usual) as minutes, case when asked is not null then 'saturday' else 'usual' end as win from w
+""", (135, 173, 433, 462, 463, 464, 465))
+def window_fallback(t):
+    of = lambda w: F.min(F.when(F.col("win") == w, F.col("minutes")))
+    w = t.pairs(windows=True).filter("mode = 'pt'").groupBy("origin", "service").agg(of("saturday").alias("asked"), of("usual").alias("usual"))
+    return w.select("origin", "service", F.coalesce("asked", "usual").alias("minutes"), F.when(F.col("asked").isNotNull(), "saturday").otherwise("usual").alias("win"))
+
+
+@query("pairs", """
+with r as (select origin, destination, mode, minutes, count(*) as n from trips group by all)
+select origin, destination, mode, minutes, n from (select *, row_number() over (partition by origin, destination order by n desc, minutes, mode) as k from r) where k = 1
+""", (368,))
+def most_used(t):
+    from pyspark.sql import Window as W
+
+    r = t.trips().groupBy("origin", "destination", "mode", "minutes").agg(F.count("*").alias("n"))
+    order = W.partitionBy("origin", "destination").orderBy(F.desc("n"), "minutes", "mode")
+    return r.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+
+
+@query("reach", """
+select cell, mode, school, minutes, metres, minutes > 15 as far from (select *, row_number() over (partition by cell, mode order by minutes, metres, school) as k from reach where minutes <= 30) where k <= 3
+""", (120, 221, 223, 373))
+def nearest_stations(t):
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("cell", "mode").orderBy("minutes", "metres", "school")
+    return t.reach().filter("minutes <= 30").withColumn("_k", F.row_number().over(order)).filter("_k <= 3").select("cell", "mode", "school", "minutes", "metres", (F.col("minutes") > 15).alias("far"))
+
+
+@query("calls", """
+with o as (select stop, value, seconds, abs(value - 10) + abs(seconds - 40000) / 1000.0 as off from calls)
+select stop, cast(count(*) as bigint) as n, min(round(cast(off as double), 6)) as off from o group by stop
+""", (224, 225, 239, 240))
+def best_shape(t):
+    off = F.abs(F.col("value") - 10) + F.abs(F.col("seconds") - 40000) / 1000.0
+    return t.calls().groupBy("stop").agg(F.count("*").alias("n"), F.min(F.round(off, 6)).alias("off"))
+
+
+@query("cells pairs", """
+with m as (select origin, min(minutes) filter (where mode = 'walk') as walk, min(minutes) filter (where mode = 'pt') as ride from pairs group by origin)
+select cell, case when walk is null and ride is null then 'none' when walk is not null and (ride is null or walk <= ride) then 'foot' else 'ride' end as words, walk, ride, walk is not null and ride is not null and walk <= ride as really_a_walk from cells left join m on origin = cell
+""", (52, 137, 138, 139, 145, 407))
+def trip_words(t):
+    of = lambda m: F.min(F.when(F.col("mode") == m, F.col("minutes")))
+    m = t.pairs().groupBy(F.col("origin").alias("cell")).agg(of("walk").alias("walk"), of("pt").alias("ride"))
+    foot = F.col("walk").isNotNull() & (F.col("ride").isNull() | (F.col("walk") <= F.col("ride")))
+    words = F.when(F.col("walk").isNull() & F.col("ride").isNull(), "none").when(foot, "foot").otherwise("ride")
+    really = F.col("walk").isNotNull() & F.col("ride").isNotNull() & F.coalesce(F.col("walk") <= F.col("ride"), F.lit(False))
+    return t.cells().select("cell").join(m, "cell", "left").select("cell", words.alias("words"), "walk", "ride", really.alias("really_a_walk"))
