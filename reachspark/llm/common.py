@@ -113,11 +113,12 @@ PART = "cast(xxhash64(cast(text as string)) & 2147483647 as int)"
 
 
 def without(docs: DataFrame, bad: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``docs`` without the rows named by ``bad`` (doc_id long, part int, as PART gives it).
+    """``docs`` without the rows named by ``bad`` (doc_id long, part int, as PART gives it), whatever other columns are called.
 
     ``bad`` is broadcast only if it has at most ``most`` rows (some 16 MB), else both sides are shuffled.
     """
     bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("part").alias("bad_part"))
     if bad.count() <= most:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & F.expr(PART).eqNullSafe(F.col("bad_part")), "left_anti")
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("own_id"), F.expr(PART).alias("own_part"))
+    return rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & F.col("own_part").eqNullSafe(F.col("bad_part")), "left_anti").select("whole.*")

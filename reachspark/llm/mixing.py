@@ -78,11 +78,13 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK)
     ``weights``: (source, w) with integer weights of 1 or more; a source that it doesn't
     name has weight 1. Without it sources are tempered by size. The order within a source
     is that of MD5 of doc_id; null ids come as the empty text; rows with one id follow
-    each other in any order; a null source is a source; an empty table gives no rows.
+    each other in any order; a null source is a source; an empty table gives no rows. Other
+    columns stay, whatever their names; earlier mix_ columns are replaced.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
+    docs = docs.drop("mix_block", "mix_slot", "mix_position")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.withColumn("mix_key", _key("source")).withColumn("mix_md5", digest).withColumn("mix_group", F.substring("mix_md5", 1, DIGITS))
+    rows = docs.select(F.struct("*").alias("whole"), "doc_id", "source").withColumn("mix_key", _key("source")).withColumn("mix_md5", digest).withColumn("mix_group", F.substring("mix_md5", 1, DIGITS))
     groups = scratch.save(rows.groupBy("mix_key", "mix_group").agg(F.count("*").alias("n")), "groups")
     before = groups.withColumn("before", F.sum("n").over(W.partitionBy("mix_key").orderBy("mix_group").rowsBetween(W.unboundedPreceding, -1)))
     before = before.select(F.col("mix_key").alias("g_key"), F.col("mix_group").alias("g_group"), F.coalesce("before", F.lit(0)).alias("before"))
@@ -103,7 +105,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK)
     ranked = ranked.join(w, F.col("mix_key") == F.col("w_key")).withColumn("mix_i", F.expr("mix_block % w_w")).withColumn("mix_cycle", F.expr("mix_block div w_w"))
     found = ranked.join(near(pattern), (F.col("mix_key") == F.col("key")) & (F.col("mix_i") == F.col("i")) & (F.col("mix_cycle") >= F.col("first")) & (F.col("mix_cycle") < F.col("last")))
     slot = F.col("start") + (F.col("mix_cycle") - F.col("first")) * F.col("size") + F.col("slot")
-    return found.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block + F.col("mix_rank") % block).select(*docs.columns, "mix_block", "mix_slot", "mix_position")
+    return found.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block + F.col("mix_rank") % block).select("whole.*", "mix_block", "mix_slot", "mix_position")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ all rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,8 @@ BITS = 18
 #: At most so many features get a weight.
 MOST_FEATURES = 6000
 
-Features = Callable[[pa.Array], "tuple[np.ndarray, np.ndarray]"]
+#: Gives, for some rows of a column at a time: which rows, the row of each feature counted from their first, the features.
+Features = Callable[[pa.Array], "Iterator[tuple[range, np.ndarray, np.ndarray]]"]
 
 
 @dataclass
@@ -135,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
 
     def run(batches):
         for batch in batches:
-            row, ids = features(batch[1])
-            pair = np.unique(row.astype(np.int64) << BITS | ids)
+            parts = [np.unique((row.astype(np.int64) + rows.start) << BITS | ids) for rows, row, ids in features(batch[1])]
+            pair = np.concatenate([*parts, np.empty(0, np.int64)])
             first = np.searchsorted(pair >> BITS, np.arange(len(batch) + 1)).astype(np.int32)
             values = pa.array((pair & ((1 << BITS) - 1)).astype(np.int32))
             yield pa.RecordBatch.from_pydict({"doc_id": batch[0], "set": batch[2], "ids": pa.ListArray.from_arrays(pa.array(first), values)})
@@ -156,8 +157,10 @@ def score(docs: DataFrame, model: Model, features: Features) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            row, ids = features(batch[2])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch[0], "part": batch[1], "score": pa.array(sigmoid(shared.value.margin(row, ids, len(batch))))})
+            scores = np.empty(len(batch))
+            for rows, row, ids in features(batch[2]):
+                scores[rows.start : rows.stop] = sigmoid(shared.value.margin(row, ids, len(rows)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch[0], "part": batch[1], "score": pa.array(scores)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.expr(PART).alias("part"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, part int, score double")

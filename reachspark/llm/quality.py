@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +32,11 @@ def _share(part, whole) -> np.ndarray:
     return np.minimum(_BINS - 1, np.ceil(_BINS * np.sqrt(part / np.maximum(whole, 1)))).astype(np.int64)
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature): how the text is written, in bins, and the ends of its words."""
-    rows, ids = [], []
+def features(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+    """How the text is written, in bins, and the ends of its words."""
     size = np.uint64((1 << pu.BITS) - 1)
     for w in chunks(column, SPACED):
+        rows, ids = [], []
         n, doc = np.diff(w.first), w.doc()
         count = len(n)
         h = w.hashes()
@@ -74,13 +76,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             _share(by((digit == length).astype(np.float64)), n), _share(by((length > 20).astype(np.float64)), n),
         ]
         for k, b in enumerate(bins):
-            rows.append(np.arange(count) + w.rows.start)
+            rows.append(np.arange(count))
             ids.append((mix((np.uint64(k * _BINS) + b.astype(np.uint64)) + np.uint64(1)) & size).astype(np.int64))
         ends = w.suffix_hashes(3)
-        rows.append(doc + w.rows.start)
+        rows.append(doc)
         ids.append((ends & size).astype(np.int64))
-    none = np.empty(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(ids)) if rows else (none, none)
+        yield w.rows, np.concatenate(rows), np.concatenate(ids)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

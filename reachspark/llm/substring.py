@@ -201,12 +201,13 @@ class FingerprintIndex:
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with spans (null: none); a broadcast only if the spans are known to be small."""
+    """whole (the row of ``docs``), doc_id, text, spans (null: none); a broadcast only if the spans are known to be small."""
     n, values = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("part").alias("span_part"), "spans")
     if 32 * n + 4 * values <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("span_id")) & (F.expr(PART) == F.col("span_part")), "left").drop("span_id", "span_part")
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.expr(PART).alias("part"), F.col("text").cast("string").alias("text"))
+    return rows.join(spans, (F.col("doc_id") == F.col("span_id")) & (F.col("part") == F.col("span_part")), "left").select("whole", "doc_id", "text", "spans")
 
 
 def _keep(w, i: int, spans) -> tuple[int, int, bytes]:
@@ -238,7 +239,8 @@ def repeated_spans(docs: DataFrame, batches: int = 2, fanout: int = 4) -> DataFr
 def drop_repeated(docs: DataFrame, batches: int = 2, digest: bool = False) -> DataFrame:
     """``docs`` without the words that 13-word windows of smaller documents cover.
 
-    The columns of ``docs`` stay; a changed text is its kept words joined by one space.
+    The columns of ``docs`` stay; a changed text is its kept words joined by one space, and
+    n_chars, if there is one, its length.
     With ``digest``: doc_id, n_words, n_removed, kept_sha256 instead. Null texts have no
     words; rows with one id are judged against smaller ids only; a row with a null id is
     left as it is; an empty table gives no rows.
@@ -257,14 +259,17 @@ def drop_repeated(docs: DataFrame, batches: int = 2, digest: bool = False) -> Da
                 n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch[0], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-        return with_spans.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return with_spans.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
     @F.udf("string", useArrow=True)
     def kept(text, spans):
         for w in chunks(pa.array([text]), SPACED):
             return _keep(w, 0, spans)[2].decode()
 
-    return with_spans.withColumn("text", F.when(F.col("spans").isNotNull(), kept("text", "spans")).otherwise(F.col("text"))).drop("spans")
+    changed = F.col("spans").isNotNull()
+    out = with_spans.withColumn("text", F.when(changed, kept("text", "spans")).otherwise(F.col("text")))
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("whole.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -273,5 +278,4 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from all but the first document that has them; every document stays."""
-    out = drop_repeated(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+    return drop_repeated(docs)

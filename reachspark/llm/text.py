@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; the power tables have this many entries.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: A chunk of documents ends when it holds this many bytes.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 

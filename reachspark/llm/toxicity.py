@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,20 +16,16 @@ from .text import ALNUM_FOLDED, chunks
 FOLDS, HELD_OUT = 5, 0
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature): whole words and their first 4, 5 and 6 bytes, which inflected insults share."""
-    rows, ids = [], []
+def features(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+    """Whole words and their first 4, 5 and 6 bytes, which inflected insults share."""
     for w in chunks(column, ALNUM_FOLDED):
-        doc = w.doc() + w.rows.start
-        for salt, h in enumerate(w.prefix_hashes((1 << 30, 4, 5, 6))):
-            rows.append(doc)
-            ids.append(((h >> np.uint64(64 - pu.BITS)).astype(np.int64) + salt * 0x9E37) & ((1 << pu.BITS) - 1))
-    none = np.empty(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(ids)) if rows else (none, none)
+        doc = w.doc()
+        ids = [((h >> np.uint64(64 - pu.BITS)).astype(np.int64) + salt * 0x9E37) & ((1 << pu.BITS) - 1) for salt, h in enumerate(w.prefix_hashes((1 << 30, 4, 5, 6)))]
+        yield w.rows, np.tile(doc, len(ids)), np.concatenate(ids)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> pu.Model:
-    return pu.train(docs, labels, "toxic", FOLDS, HELD_OUT, features, loss="logistic", least_z=4.0)
+    return pu.train(docs, labels, "toxic", FOLDS, HELD_OUT, features, loss="logistic", least_z=3.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
