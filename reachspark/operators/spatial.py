@@ -25,17 +25,17 @@ def _bucket(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def within(points: DataFrame, targets: DataFrame, metres: float, tx: str = "tx", ty: str = "ty") -> DataFrame:
-    """Pairs of points (x, y) and targets (tx, ty) at most ``metres`` apart, with d."""
+def within(points: DataFrame, targets: DataFrame, metres: float, tx: str = "tx", ty: str = "ty", on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points (x, y) and targets (tx, ty) at most ``metres`` apart that agree on the columns ``on``, with d."""
     near = F.sequence(F.lit(-1), F.lit(1))
     spread = targets.withColumn("_bx", _bucket(F.col(tx), metres)).withColumn("_by", _bucket(F.col(ty), metres))
     spread = spread.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumn("_bx", F.col("_bx") + F.col("_i")).withColumn("_by", F.col("_by") + F.col("_j")).drop("_i", "_j")
     own = points.withColumn("_bx", _bucket(F.col("x"), metres)).withColumn("_by", _bucket(F.col("y"), metres))
     d = distance(F.col("x"), F.col("y"), F.col(tx), F.col(ty))
-    return own.join(spread, ["_bx", "_by"]).withColumn("d", d).filter(F.col("d") <= metres).drop("_bx", "_by")
+    return own.join(spread, ["_bx", "_by", *on]).withColumn("d", d).filter(F.col("d") <= metres).drop("_bx", "_by")
 
 
-def nearest(points: DataFrame, targets: DataFrame, by: list[str], key: str, start: float, limit: float) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, by: list[str], key: str, start: float, limit: float, on: tuple[str, ...] = ()) -> DataFrame:
     """(by, d, target): the nearest target of each point within ``limit``, searched in rings that grow fourfold.
 
     A point leaves the search as soon as a ring holds a target, which is then nearest;
@@ -44,7 +44,7 @@ def nearest(points: DataFrame, targets: DataFrame, by: list[str], key: str, star
     """
     left, out, radius = points, None, start
     while True:
-        found = within(left, targets, radius).groupBy(*by).agg(F.min(F.struct("d", key)).alias("_m")).select(*by, F.col("_m.d").alias("d"), F.col(f"_m.{key}").alias(key)).checkpoint()
+        found = within(left, targets, radius, on=on).groupBy(*by).agg(F.min(F.struct("d", key)).alias("_m")).select(*by, F.col("_m.d").alias("d"), F.col(f"_m.{key}").alias(key)).checkpoint()
         out = found if out is None else out.unionByName(found)
         left, radius = left.join(found.select(*by), by, "left_anti"), radius * 4
         if radius / 4 >= limit or left.isEmpty():

@@ -22,13 +22,10 @@ select cell, service, min(sqrt((cells.x - d.x) * (cells.x - d.x) + (cells.y - d.
 """, (199, 200, 203, 204))
 def nearest_straight(t):
     _checkpoints(t)
-    cells = t.cells().select("cell", "x", "y")
-    out = None
-    for service in ("Brand#1", "Brand#2"):
-        targets = t.destinations().filter(F.col("service") == service).select("id", F.col("x").alias("tx"), F.col("y").alias("ty"))
-        one = spatial.nearest(cells, targets, ["cell"], "id", 800.0, 15_000.0).select("cell", F.lit(service).alias("service"), F.col("d").alias("metres"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    wanted = ["Brand#1", "Brand#2"]
+    cells = t.cells().select("cell", "x", "y", F.explode(F.array(*[F.lit(s) for s in wanted])).alias("service"))
+    targets = t.destinations().filter(F.col("service").isin(wanted)).select("id", "service", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return spatial.nearest(cells, targets, ["cell", "service"], "id", 800.0, 15_000.0, on=("service",)).select("cell", "service", F.col("d").alias("metres"))
 
 
 @query("cells schools", """
