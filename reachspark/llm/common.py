@@ -14,17 +14,23 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap: 32 MB, whatever the input's size.
-BITMAP_BITS = 28
+#: Bits of a bitmap: 16 MB, whatever the input's size.
+BITMAP_BITS = 27
 _SLICES = 64
 
 
+#: Folders of sessions without the setting, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="reachspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="reachspark-")
+        root = _LOCAL[app]
     return root.rstrip("/")
 
 
@@ -40,6 +46,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def crc_bucket(column: str, n: int):
     """crc32 of the value as text, modulo n."""
@@ -97,6 +109,7 @@ def components(scratch: Scratch, links: DataFrame, name: str = "links", most_rou
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         pairs = scratch.save(small, f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}", f"{name}-{k}-large")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, most:
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_fp = scratch.save(named.join(least, "root").select("fp", "component_id"), "classes")
+    scratch.drop("met", "tiles", "distinct")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

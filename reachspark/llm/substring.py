@@ -177,6 +177,7 @@ class FingerprintIndex:
         spans = self.scratch.save(spans.select("doc_id", "part", _merged("pos", "n").alias("spans")), f"{k}-spans")
         for used in (bits, ends):
             used.unpersist()
+        self.scratch.drop(*[f"{k}-{t}" for t in ("meets", "segments", "owners", "windows")])
         self.runs.append(run)
         self.batches += 1
         if len(self.runs) > self.fanout:
@@ -191,13 +192,17 @@ class FingerprintIndex:
             rows = one if rows is None else rows.unionByName(one)
         merged = self._write_run(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")))
         old, self.runs = self.runs, [merged]
-        for name in old:
-            self.spark.sql(f"drop table {name}")
+        self._delete(old)
 
-    def close(self) -> None:
-        """Forget the runs' names; their files stay in the shared folder."""
-        for name in self.runs:
+    def _delete(self, runs: list[str]) -> None:
+        for name in runs:
             self.spark.sql(f"drop table if exists {name}")
+            self.scratch.drop(name)
+
+    def close(self) -> None:
+        """Delete the runs; spans that were given out stay."""
+        self._delete(self.runs)
+        self.runs = []
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
