@@ -94,31 +94,34 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    """(dim, block, ids, data): rows of one dimension gathered by hash; the matrix is 8 bytes a component."""
-    n = rows.count()
-    parts = max(1, -(-n // most))
+    """(dim, block, ids, data): some ``most`` rows of one dimension each; the matrix is 8 bytes a component.
+
+    How many blocks there are depends on the rows alone, not on how they are partitioned.
+    """
+    parts = max(1, -(-rows.count() // most))
 
     def run(batches):
-        held: dict[int, list] = {}
+        key, held = None, []
 
-        def made(dim, part):
-            ids, data = (np.concatenate(x) for x in zip(*part, strict=True))
-            for at in range(0, len(ids), most):
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([ids[at : at + most].tobytes()], pa.binary()), "data": pa.array([data[at : at + most].tobytes()], pa.binary())})
+        def made():
+            ids, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            for at in range(0, len(ids), 2 * most):  # a block is rarely much over its mean
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([key[0]], pa.int32()), "ids": pa.array([ids[at : at + 2 * most].tobytes()], pa.binary()), "data": pa.array([data[at : at + 2 * most].tobytes()], pa.binary())})
 
         for batch in batches:
-            dims = batch[1].to_numpy()
-            for dim in np.unique(dims):
-                pick = pa.array(np.flatnonzero(dims == dim))
-                ids, data = batch[0].take(pick).to_numpy(), batch[2].take(pick).flatten().to_numpy().reshape(-1, dim)
-                part = held.setdefault(int(dim), [])
-                part.append((ids, data))
-                if sum(len(x[0]) for x in part) >= most:
-                    yield from made(int(dim), held.pop(int(dim)))
-        for dim, part in held.items():
-            yield from made(dim, part)
-
-    return rows.select("vec_id", "dim", "vector").repartition(parts, "vec_id").mapInArrow(run, "dim int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
+            both = np.stack([batch[0].to_numpy(), batch[1].to_numpy()], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1), True]) if len(both) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and key != tuple(both[a]):
+                    yield from made()
+                    held = []
+                key = tuple(both[a].tolist())
+                held.append((batch[2].slice(a, b - a).to_numpy(), batch[3].slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)))
+        if held:
+            yield from made()
+
+    dealt = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "vector").repartition(parts, "dim", "part").sortWithinPartitions("dim", "part")
+    return dealt.mapInArrow(run, "dim int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = K, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
