@@ -25,8 +25,8 @@ from .common import Scratch, crc_bucket
 
 #: At most so many positives and so many unlabelled documents are fitted on.
 SAMPLE = (3000, 6000)
-#: Hashed features; the weights of all of them are broadcast (1 MB).
-BITS = 18
+#: Hashed features; the weights of all of them are broadcast (2 MB).
+BITS = 19
 #: At most so many features get a weight.
 MOST_FEATURES = 6000
 
@@ -51,18 +51,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def select(pos: list[np.ndarray], unl: list[np.ndarray], least_z: float = 3.0) -> np.ndarray:
-    """Features whose share of texts differs surely between positives and unlabelled texts."""
-    size = 1 << BITS
-    a, b = (np.bincount(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64), minlength=size) for x in (pos, unl))
+def _texts_with(texts: list[np.ndarray]) -> np.ndarray:
+    """In how many texts each feature is."""
+    out = np.zeros(1 << BITS, dtype=np.int64)
+    for t in texts:
+        out[t] += 1  # a text's features are distinct
+    return out
+
+
+def select(pos: list[np.ndarray], unl: list[np.ndarray], least_z: float = 3.0, least_lift: float = 0.0) -> np.ndarray:
+    """Features whose share of texts differs surely between positives and unlabelled texts.
+
+    With ``least_lift``, only those that are so many times as common in positives.
+    """
+    a, b = _texts_with(pos), _texts_with(unl)
     p, q = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (len(unl) + 1)
     both = (a + b + 1) / (len(pos) + len(unl) + 2)
-    z = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / (len(pos) + 1) + 1 / (len(unl) + 1)))
+    z = np.where(p >= least_lift * q, 1.0, 0.0) * np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / (len(pos) + 1) + 1 / (len(unl) + 1)))
     best = np.argsort(-z, kind="stable")[:MOST_FEATURES]
     return np.sort(best[z[best] >= least_z])
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, loss: str = "logistic", least_z: float = 3.0, steps: int = 400, rate: float = 0.05, shrink: float = 1e-4) -> Model:
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, loss: str = "logistic", least_z: float = 3.0, least_lift: float = 0.0, steps: int = 400, rate: float = 0.05, shrink: float = 1e-4) -> Model:
     """Linear model of least non-negative risk; each text is given by its distinct features.
 
     ``loss``: "logistic" where positives are rare; "sigmoid" where they are most of the
@@ -72,14 +82,13 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, loss: str =
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     if not pos or not unl:
         return Model(float(np.log(prior / (1 - prior))), weights, prior)
-    chosen = select(pos, unl, least_z)
-    at = np.full(1 << BITS, -1)
+    chosen = select(pos, unl, least_z, least_lift)
+    at = np.full(1 << BITS, -1, dtype=np.int32)
     at[chosen] = np.arange(len(chosen))
 
     def table(texts):
-        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        col = at[np.concatenate(texts).astype(np.int64)]
-        return row[col >= 0], col[col >= 0], len(texts)
+        kept = [(c := at[t])[c >= 0] for t in texts]
+        return np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in kept]), np.concatenate(kept), len(texts)
 
     x, u, k = table(pos), table(unl), len(chosen)
     theta = np.zeros(k + 1)
@@ -142,11 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
             values = pa.array((pair & ((1 << BITS) - 1)).astype(np.int32))
             yield pa.RecordBatch.from_pydict({"doc_id": batch[0], "set": batch[2], "ids": pa.ListArray.from_arrays(pa.array(first), values)})
 
-    found = texts.select("doc_id", "text", "set").mapInArrow(run, "doc_id long, set int, ids array<int>").toArrow().sort_by([("set", "ascending"), ("doc_id", "ascending")])
-    lists = [np.asarray(x.values, dtype=np.int64) for x in found["ids"]]
-    kind = found["set"].to_numpy()
-    # copies of one id could pass the bound
-    return fit([lists[i] for i in np.flatnonzero(kind == 1)[: 2 * sample[0]]], [lists[i] for i in np.flatnonzero(kind == 0)[: 2 * sample[1]]], float(prior) if prior is not None else 0.5, **options)
+    # at most sample rows but for repeated ids; the lists are views of what came, four bytes a feature
+    found = texts.select("doc_id", "text", "set").mapInArrow(run, "doc_id long, set int, ids array<int>").toArrow()
+    kind, ids = found["set"].to_numpy(), found["doc_id"].to_numpy()
+    lists = [values for part in found["ids"].chunks for values in np.split(part.flatten().to_numpy(), np.cumsum(part.value_lengths().to_numpy())[:-1])]
+    order = np.argsort(ids, kind="stable")
+    pick = lambda k: [lists[i] for i in order[kind[order] == k][: 2 * sample[1 - k]]]
+    return fit(pick(1), pick(0), float(prior) if prior is not None else 0.5, **options)
 
 
 def score(docs: DataFrame, model: Model, features: Features) -> DataFrame:
