@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 def zone_distance(edges: DataFrame, cap: int) -> DataFrame:
     """(a, b, zones): zones a trip between two zones crosses, 1 within one, at most ``cap``.
 
-    Breadth-first by joins, one for each hop up to the cap; the table has a row for each
-    pair of zones, and zones are few.
+    Breadth-first by a recursive query, one step for each hop up to the cap. Zones are
+    few: there is a row for each walk of at most ``cap`` zones before the least is taken.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    nodes = both.select("a").distinct()
-    found = nodes.select("a", F.col("a").alias("b"), F.lit(1).alias("zones"))
-    front = found
-    for hop in range(2, cap + 1):
-        step = front.select("a", F.col("b").alias("via")).join(both.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct()
-        front = step.join(found, ["a", "b"], "left_anti").withColumn("zones", F.lit(hop))
-        found = found.unionByName(front)
-    return found
+    return edges.sparkSession.sql(
+        """
+        with recursive walk(a, b, zones) as (
+          select distinct a, a as b, 1 as zones from {edge}
+          union all
+          select walk.a, e.b, walk.zones + 1 from walk join {edge} e on walk.b = e.a where walk.zones < {cap}
+        )
+        select a, b, min(zones) as zones from walk group by a, b
+        """,
+        edge=both,
+        cap=cap,
+    )
 
 
 def pair_zones(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, hops: DataFrame) -> DataFrame:
