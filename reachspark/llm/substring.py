@@ -268,7 +268,9 @@ def drop_repeated(docs: DataFrame, batches: int = 2, digest: bool = False) -> Da
 
     @F.udf("string", useArrow=True)
     def kept(text, spans):
-        for w in chunks(pa.array([text]), SPACED):
+        if text is None or spans is None:  # a UDF sees every row, whatever its branch
+            return text
+        for w in chunks(pa.array([text], pa.string()), SPACED):
             return _keep(w, 0, spans)[2].decode()
 
     changed = F.col("spans").isNotNull()
