@@ -171,13 +171,14 @@ class FingerprintIndex:
         ends = bitmap(self.spark, differ, "h")
         rows = self.scratch.save(_window_rows(texts, ends), f"{k}-windows")
         owners = rows.groupBy("h", "win").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
+        owners = self.scratch.save(owners, f"{k}-window-owners")  # so that both sides of the join are dealt out for it, and a frequent window can be split
         single = rows.filter(F.col("doc_id") > _EARLIER).join(owners, ["h", "win"]).filter("doc_id > owner").select("doc_id", "part", "pos", F.lit(1).alias("n"))
 
         spans = covered.unionByName(single).groupBy("doc_id", "part").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
         spans = self.scratch.save(spans.select("doc_id", "part", _merged("pos", "n").alias("spans")), f"{k}-spans")
         for used in (bits, ends):
             used.unpersist()
-        self.scratch.drop(*[f"{k}-{t}" for t in ("meets", "segments", "owners", "windows")])
+        self.scratch.drop(*[f"{k}-{t}" for t in ("meets", "segments", "owners", "windows", "window-owners")])
         self.runs.append(run)
         self.batches += 1
         if len(self.runs) > self.fanout:
