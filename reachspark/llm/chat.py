@@ -135,17 +135,18 @@ def digest(done: DataFrame) -> DataFrame:
     """What is read back from the formatted text, the tokens' offsets and the loss mask."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for text, loss, starts, ends, spans in zip(*(batch[c].to_pylist() for c in ("formatted", "loss", "starts", "ends", "spans")), strict=True):
-                turns = parse(text)
-                keep = np.array(loss, dtype=bool)
-                offsets = np.stack([np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)], axis=1)[keep]
-                said = "".join(masked_text(text, offsets, np.array(spans, dtype=np.int64).reshape(-1, 2)))
-                sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode())
-                out.append((len(turns), sha.hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
-            names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
-            yield pa.RecordBatch.from_pydict({"conv_id": batch["conv_id"]} | {n: pa.array([o[i] for o in out], pa.string() if n.endswith("256") else pa.int64()) for i, n in enumerate(names)})
+        for whole in batches:
+            for at in range(0, len(whole), _AT_ONCE):
+                batch, out = whole.slice(at, _AT_ONCE), []
+                for row in zip(*(batch[c] for c in ("formatted", "loss", "starts", "ends", "spans")), strict=True):
+                    text = row[0].as_py()
+                    loss, starts, ends, spans = (x.values.to_numpy() for x in row[1:])
+                    turns, keep = parse(text), loss.astype(bool)
+                    said = "".join(masked_text(text, np.stack([starts[keep], ends[keep]], axis=1), spans.reshape(-1, 2)))
+                    sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode())
+                    out.append((len(turns), sha.hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
+                names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+                yield pa.RecordBatch.from_pydict({"conv_id": batch["conv_id"]} | {n: pa.array([o[i] for o in out], pa.string() if n.endswith("256") else pa.int64()) for i, n in enumerate(names)})
 
     kind = done.schema["conv_id"].dataType.simpleString()
     return done.select("conv_id", "formatted", "loss", "starts", "ends", "spans").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
