@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
-from .text import SPACED_FOLDED, chunks, mix, signed
+from .common import PART, Scratch, components
+from .text import SPACED_FOLDED, chunks, grams, mix, signed
 
 SEED = 42
 #: Reference fingerprints, the same in every run.
@@ -34,6 +34,11 @@ PIVOTS = mix(np.arange(1, 17, dtype=np.uint64))
 _SMALL = 24
 #: So many ids (8 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The pipeline's own rule: words of a shingle, and the Jaccard similarity from which texts are copies.
+SHINGLE, SIMILARITY = 5, 0.8
+#: MinHash keys of a text; of pairs at a similarity of 0.8, (1 - 0.8**4)**24 = 3 in a million never meet.
+BANDS = 24
+_TURNS = mix(np.arange(1000, 1000 + 4 * BANDS, dtype=np.uint64)).reshape(BANDS, 4) | np.uint64(1)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,8 +238,86 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, part, fp, hashes, bands): the sorted hashes of each text's runs of ``shingle`` words, once each, a hash of all of them, and MinHash keys."""
+
+    def run(batches):
+        for batch in batches:
+            for w in chunks(batch[2], SPACED_FOLDED):
+                n, words = np.diff(w.first), w.hashes()
+                whole = grams(words, shingle)
+                sets = []
+                for i, k in enumerate(n):
+                    at = w.first[i]
+                    # a text of fewer words than a shingle is one shingle
+                    sets.append(np.unique(whole[at : at + k - shingle + 1]) if k >= shingle else grams(words[at : at + k], int(k)) if k else words[:0])
+                size = np.array([len(x) for x in sets])
+                flat = np.concatenate(sets)
+                first = np.r_[0, np.cumsum(size)]
+                fp, bands = np.zeros(len(n), dtype=np.uint64), np.zeros((len(n), BANDS), dtype=np.uint64)
+                some = np.flatnonzero(size)
+                if len(some):
+                    with np.errstate(over="ignore"):
+                        fp[some] = mix(np.add.reduceat(mix(flat), first[some]) + size[some].astype(np.uint64))
+                        for b in range(BANDS):
+                            key = np.full(len(some), b + 1, dtype=np.uint64)
+                            for m in _TURNS[b]:
+                                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * m, first[some]))
+                            bands[some, b] = key
+                rows = slice(w.rows.start, w.rows.stop)
+                lists = lambda x, cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(np.ascontiguousarray(x))))
+                yield pa.RecordBatch.from_arrays(
+                    [batch[0][rows], batch[1][rows], pa.array(signed(fp)), lists(flat, first), lists(bands.ravel(), np.arange(len(n) + 1) * BANDS)], names=["doc_id", "part", "fp", "hashes", "bands"]
+                )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(PART).alias("part"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, part int, fp long, hashes array<long>, bands array<long>")
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, part, component_id: the smallest doc_id that links reach between texts whose shingle sets have at least this Jaccard similarity.
+
+    64 bits are too few for 0.8, so texts meet where a band of MinHashes agrees, and every
+    link is verified on the whole sets. Equal sets are one row. In a meeting place all are
+    held against the least one first; then all pairs that are not connected yet, so that
+    a large group of copies costs no pairs of its own.
+    """
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    rows = scratch.save(shingle_sets(docs, shingle), "rows")
+    sets = scratch.save(rows.dropDuplicates(["fp"]).select("fp", "hashes", "bands"), "sets")
+    n = F.size("hashes").alias("n")
+    met = sets.filter("size(hashes) > 0").select("fp", n, F.explode("bands").alias("key"))
+    many = met.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("fp", "n")).alias("least")).filter("c > 1").select("key", "least")
+    met = scratch.save(met.join(many, "key"), "met")
+
+    def verified(pairs, name):
+        fits = F.least("an", "bn") >= similarity * F.greatest("an", "bn")
+        pairs = pairs.filter(fits).select("a", "b").distinct()
+        side = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"h{x}"))
+        both = F.size(F.array_intersect("ha", "hb"))
+        alike = both / (F.size("ha") + F.size("hb") - both) >= similarity
+        return scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), name)
+
+    stars = verified(met.filter("fp != least.fp").select(F.col("least.fp").alias("a"), F.col("least.n").alias("an"), F.col("fp").alias("b"), F.col("n").alias("bn")), "stars")
+    roots = scratch.save(components(scratch, stars, "stars"), "star-roots")
+    named = met.join(roots, met.fp == roots.node, "left").select("key", "fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    open_ = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("key")
+    named = scratch.save(named.join(open_, "key").filter("fp != least.fp").select("key", "fp", "n", "root"), "open")
+    one = named.select("key", F.col("fp").alias("a"), F.col("n").alias("an"), F.col("root").alias("ra"))
+    two = named.select("key", F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("root").alias("rb"))
+    fits = (F.col("an") >= similarity * F.col("bn")) & (F.col("bn") >= similarity * F.col("an"))
+    rest = verified(one.join(two, "key").filter("ra < rb").filter(fits), "rest")
+    roots = components(scratch, stars.unionByName(rest), "links")
+    of_row = rows.select("doc_id", "part", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "part", F.coalesce("root", "fp").alias("root"))
+    of_row = scratch.save(of_row, "of-row")
+    least = of_row.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = scratch.save(of_row.join(least, "root").select("doc_id", "part", "component_id"), "classes")
+    scratch.drop("rows", "sets", "met", "stars", "star-roots", "open", "rest", "of-row")
+    return out
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one that names the group."""
-    gone = Scratch(spark, "simhash-stage").save(near_duplicates(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    """One document of each group of near copies stays: the one that names the group."""
+    gone = Scratch(spark, "simhash-stage").save(near_copies(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
