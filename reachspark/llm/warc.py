@@ -76,14 +76,14 @@ def _open(path: str):
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to): pages whose payload a page with a larger id has too.
+    """(page_id, digest, refers_to): pages whose payload, of this SHA-1 in hex, a page with a larger id has too.
 
     A null page is a payload of no bytes; a null id is never referred to.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")).filter(F.col("size") >= least_bytes)
     last = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
-    return ids.join(last, "digest").filter("page_id != refers_to").select("page_id", "refers_to").distinct()
+    return ids.join(last, "digest").filter("page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
@@ -105,15 +105,15 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int =
     spark = pages.sparkSession
     shards, low, width = _shards(pages, shard_bytes)
     placed = F.broadcast(shards.withColumnRenamed("range", "own"))  # RANGES + 1 rows at most
-    both = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"))
-    both = both.unionByName(revisits(pages, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).alias("kind"), "refers_to"))
-    both = both.withColumn("range", _range(low, width)).join(placed, F.col("range") == F.col("own")).select("shard", "page_id", "kind", "refers_to", "url", "html")
+    both = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("digest"))
+    both = both.unionByName(revisits(pages, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).alias("kind"), "refers_to", "digest"))
+    both = both.withColumn("range", _range(low, width)).join(placed, F.col("range") == F.col("own")).select("shard", "page_id", "kind", "refers_to", "url", "html", "digest")
     count = int(shards.agg(F.max("shard")).first()[0] or 0) + 1
 
     def run(batches):
         attempt = uuid.uuid4().hex[:12]
         shard, seq, sink, size, records, sha = None, 0, None, 0, 0, None
-        target, target_id = None, None
+        targets, target_id = {}, None  # of the payloads under one id, by digest
 
         def close():
             nonlocal sink
@@ -126,10 +126,12 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int =
 
         for batch in batches:
             done = []
-            for s, page, kind, refers, url, html in zip(*(batch[i] for i in range(6)), strict=True):
+            for s, page, kind, refers, url, html, digest in zip(*(batch[i] for i in range(7)), strict=True):
                 s, page = s.as_py(), page.as_py()
                 if kind.as_py() == 0:
-                    target, target_id = refers.as_py(), page
+                    if page != target_id:
+                        targets, target_id = {}, page
+                    targets[bytes.fromhex(digest.as_py())] = refers.as_py()
                     continue
                 if sink is not None and (s != shard or size >= roll_bytes):
                     done.append(close())
@@ -143,7 +145,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int =
                     size, records, sha = 0, 0, hashlib.sha256()
                 text = html.as_py()
                 payload = b"" if text is None else text.encode()
-                member = _member(record(page, url.as_py(), payload, target if page == target_id and page is not None and _revisits(payload, least_bytes) else None))
+                target = targets.get(hashlib.sha1(payload).digest()) if page == target_id and page is not None and targets else None
+                member = _member(record(page, url.as_py(), payload, target))
                 sink.write(member)
                 sha.update(member)
                 size, records = size + len(member), records + 1
@@ -171,10 +174,6 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int =
     return spark.read.schema("file string, bytes long, records long, sha256 string").parquet(f"{path}/manifest")
 
 
-def _revisits(payload: bytes, least_bytes: int) -> bool:
-    return len(payload) >= least_bytes
-
-
 def _records(stream) -> Iterator[bytes]:
     """The gzip members of a file, one at a time."""
     unpack, out, data = zlib.decompressobj(31), [], b""

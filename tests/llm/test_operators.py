@@ -376,6 +376,15 @@ def test_warc_round_trip_rolls_files_and_is_deterministic(spark):
             assert r.record_type == "revisit" and r.refers_to == keeper and r.payload is None
 
 
+def test_warc_decides_revisits_by_payload_not_by_id(spark):
+    rows = [(5, "a", "A"), (5, "b", "B"), (9, "c", "A"), (3, "d", "A"), (3, "e", "B"), (3, "f", "C"), (3, "g", "B")]
+    path = Scratch(spark, "w").path
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted((r.page_id, r.url, r.record_type, r.refers_to, r.payload_digest, None if r.payload is None else bytes(r.payload).decode()) for r in warc.read(spark, path).collect())
+    keeper = {"A": 9, "B": 5, "C": 3}
+    assert got == sorted((i, u, "response" if keeper[t] == i else "revisit", None if keeper[t] == i else keeper[t], warc.sha1_base32(t.encode()), t if keeper[t] == i else None) for i, u, t in rows)
+
+
 def test_warc_of_nothing_and_damage(spark):
     path = Scratch(spark, "w").path
     df = spark.createDataFrame([], "page_id long, url string, html string")
