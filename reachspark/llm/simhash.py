@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART, Scratch, components
+from .common import PART, Scratch, components, without
 from .text import SPACED_FOLDED, chunks, grams, mix, signed
 
 SEED = 42
@@ -275,7 +275,9 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, part, component_id: the smallest doc_id that links reach between texts whose shingle sets have at least this Jaccard similarity.
+    """doc_id, part, kept: whether a row names its component, of texts linked by at least this Jaccard similarity of their shingle sets.
+
+    The row with the smallest doc_id names it, of those the one with the smallest part; null ids come last.
 
     64 bits are too few for 0.8, so texts meet where a band of MinHashes agrees, and every
     link is verified on the whole sets. Equal sets are one row. In a meeting place all are
@@ -310,14 +312,22 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     roots = components(scratch, stars.unionByName(rest), "links")
     of_row = rows.select("doc_id", "part", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "part", F.coalesce("root", "fp").alias("root"))
     of_row = scratch.save(of_row, "of-row")
-    least = of_row.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = scratch.save(of_row.join(least, "root").select("doc_id", "part", "component_id"), "classes")
+    least = of_row.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "part")).alias("least"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("part") == F.col("least.part"))
+    out = scratch.save(of_row.join(least, "root").select("doc_id", "part", kept.alias("kept")), "classes")
     scratch.drop("rows", "sets", "met", "stars", "star-roots", "open", "rest", "of-row")
     return out
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one that names the group."""
-    gone = Scratch(spark, "simhash-stage").save(near_copies(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
+    """One row of each group of near copies stays: the one that names the group; of equal rows under one id or none, one."""
+    scratch = Scratch(spark, "simhash-stage")
+    rows = near_copies(docs)
+    gone = scratch.save(rows.filter("not kept").select("doc_id", "part").distinct(), "gone")
+    more = scratch.save(rows.filter("kept").groupBy("doc_id", "part").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "part"), "more")
+    out = without(docs, gone, BROADCAST_ROWS)
+    if more.isEmpty():
+        return out
+    own = [F.col("doc_id").cast("long").alias("own_id"), F.expr(PART).alias("own_part")]
+    equal = out.select(F.struct("*").alias("whole"), *own).join(more, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_part") == F.col("part")), "left_semi")
+    return without(out, more, BROADCAST_ROWS).unionByName(equal.groupBy("own_id", "own_part").agg(F.min("whole").alias("whole")).select("whole.*"))

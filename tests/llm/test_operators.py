@@ -173,6 +173,12 @@ def test_near_copies_match_exact_jaccard(spark):
     assert expected < {x.doc_id for x in simhash.near_duplicates(docs).collect() if x.doc_id == x.component_id}
 
 
+def test_near_copies_under_one_id_or_none(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in [(1, a), (1, b), (0, a), (7, c), (7, c), (8, c), (None, d), (None, d), (None, a), (9, c + " more")]]).repartition(3)
+    assert sorted(((x.doc_id, x.text) for x in simhash.stage(spark, docs, "").collect()), key=str) == sorted([(1, b), (0, a), (7, c), (None, d)], key=str)
+
+
 # -- 7 -------------------------------------------------------------------------------
 
 
