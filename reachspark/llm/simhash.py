@@ -22,10 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART, Scratch, components, without
+from .common import PART, Scratch, bitmap, components, in_bitmap, without
 from .text import SPACED_FOLDED, chunks, grams, mix, signed
 
 SEED = 42
@@ -238,8 +239,14 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, part, fp, hashes, bands): the sorted hashes of each text's runs of ``shingle`` words, once each, a hash of all of them, and MinHash keys."""
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: Broadcast | None = None) -> DataFrame:
+    """(doc_id, part, fp, n, bands): of each text's runs of ``shingle`` words, once each, a hash of them all, their number and MinHash keys.
+
+    With ``only``, a bitmap of fingerprints, (fp, hashes): the sets themselves, of texts in it.
+    """
+
+    def lists(x, cuts):
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(np.ascontiguousarray(x))))
 
     def run(batches):
         for batch in batches:
@@ -259,19 +266,25 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                 if len(some):
                     with np.errstate(over="ignore"):
                         fp[some] = mix(np.add.reduceat(mix(flat), first[some]) + size[some].astype(np.uint64))
+                if only is not None:
+                    wanted = np.flatnonzero(in_bitmap(only.value, fp))
+                    if len(wanted):
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(fp[wanted])), lists(np.concatenate([sets[i] for i in wanted]), np.r_[0, np.cumsum(size[wanted])])], names=["fp", "hashes"])
+                    continue
+                if len(some):
+                    with np.errstate(over="ignore"):
                         for b in range(BANDS):
                             key = np.full(len(some), b + 1, dtype=np.uint64)
                             for m in _TURNS[b]:
                                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * m, first[some]))
                             bands[some, b] = key
                 rows = slice(w.rows.start, w.rows.stop)
-                lists = lambda x, cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(np.ascontiguousarray(x))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch[0][rows], batch[1][rows], pa.array(signed(fp)), lists(flat, first), lists(bands.ravel(), np.arange(len(n) + 1) * BANDS)], names=["doc_id", "part", "fp", "hashes", "bands"]
+                    [batch[0][rows], batch[1][rows], pa.array(signed(fp)), pa.array(size, pa.int32()), lists(bands.ravel(), np.arange(len(n) + 1) * BANDS)], names=["doc_id", "part", "fp", "n", "bands"]
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(PART).alias("part"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, part int, fp long, hashes array<long>, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(PART).alias("part"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, part int, fp long, n int, bands array<long>" if only is None else "fp long, hashes array<long>")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -286,19 +299,22 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     rows = scratch.save(shingle_sets(docs, shingle), "rows")
-    sets = scratch.save(rows.dropDuplicates(["fp"]).select("fp", "hashes", "bands"), "sets")
-    n = F.size("hashes").alias("n")
-    met = sets.filter("size(hashes) > 0").select("fp", n, F.explode("bands").alias("key"))
+    met = rows.filter("n > 0").dropDuplicates(["fp"]).select("fp", "n", F.explode("bands").alias("key"))
     many = met.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("fp", "n")).alias("least")).filter("c > 1").select("key", "least")
     met = scratch.save(met.join(many, "key"), "met")
 
     def verified(pairs, name):
         fits = F.least("an", "bn") >= similarity * F.greatest("an", "bn")
-        pairs = pairs.filter(fits).select("a", "b").distinct()
+        pairs = scratch.save(pairs.filter(fits).select("a", "b").distinct(), f"{name}-pairs")
+        # sets are made again for texts of some pair; to keep those of all would take more room than the texts
+        only = bitmap(docs.sparkSession, pairs.select(F.explode(F.array("a", "b")).alias("fp")), "fp")
+        sets = scratch.save(shingle_sets(docs, shingle, only).dropDuplicates(["fp"]), f"{name}-sets")
         side = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"h{x}"))
         both = F.size(F.array_intersect("ha", "hb"))
         alike = both / (F.size("ha") + F.size("hb") - both) >= similarity
-        return scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), name)
+        out = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), name)
+        scratch.drop(f"{name}-pairs", f"{name}-sets")
+        return out
 
     stars = verified(met.filter("fp != least.fp").select(F.col("least.fp").alias("a"), F.col("least.n").alias("an"), F.col("fp").alias("b"), F.col("n").alias("bn")), "stars")
     roots = scratch.save(components(scratch, stars, "stars"), "star-roots")
@@ -315,7 +331,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     least = of_row.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "part")).alias("least"))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("part") == F.col("least.part"))
     out = scratch.save(of_row.join(least, "root").select("doc_id", "part", kept.alias("kept")), "classes")
-    scratch.drop("rows", "sets", "met", "stars", "star-roots", "open", "rest", "of-row")
+    scratch.drop("rows", "met", "stars", "star-roots", "open", "rest", "of-row")
     return out
 
 
