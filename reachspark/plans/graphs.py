@@ -111,12 +111,24 @@ _EDGE = "edge as (select p_partkey as src, (p_partkey * 7 + 1) % n as dst, p_siz
 select source, node, cast(min(cost) as double) as cost from walk group by source, node
 """, (396, 398, 399))
 def shortest_path_bounded(t):
+    p = t.raw("part")
+    return graphs.shortest(_edges(t), p.filter(F.col("p_partkey") % 100 == 0).select(F.col("p_partkey").alias("source")), 60.0, 6)
+
+
+@query("", "with recursive " + _EDGE + """, walk(source, node, cost) as (select p_partkey, p_partkey, 0 from part union select source, dst, cost + len from walk join edge on src = node where cost + len <= 60)
+select source, node, cast(min(cost) as double) as cost from walk group by source, node
+""", (396, 398, 399))
+def shortest_path_all(t):
+    """From every node, bounded by cost alone."""
+    return graphs.shortest(_edges(t), t.raw("part").select(F.col("p_partkey").alias("source")), 60.0)
+
+
+def _edges(t):
     _checkpoints(t)
     n = t.raw("part").count()
     k, size = F.col("p_partkey"), F.col("p_size").cast("double")
     p = t.raw("part")
-    edges = p.select(k.alias("src"), ((k * 7 + 1) % n).alias("dst"), size.alias("len")).unionByName(p.select(k.alias("src"), ((k + 1) % n).alias("dst"), (size + 3).alias("len")))
-    return graphs.shortest(edges, p.filter(k % 100 == 0).select(k.alias("source")), 60.0, 6)
+    return p.select(k.alias("src"), ((k * 7 + 1) % n).alias("dst"), size.alias("len")).unionByName(p.select(k.alias("src"), ((k + 1) % n).alias("dst"), (size + 3).alias("len")))
 
 
 @query("", """

@@ -69,9 +69,23 @@ g as (select o_orderkey, l_linenumber, sum(v) as v from r group by all), f as (s
 select o_orderkey, l_linenumber, cast(low + case when row_number() over (partition by o_orderkey order by rest desc, l_linenumber) <= cast(round(round(total, 6)) as bigint) - sum(low) over (partition by o_orderkey) then 1 else 0 end as bigint) as whole from f
 """, (370, 408))
 def largest_remainder(t):
+    return _whole_quantities(t.raw("lineitem").filter("l_orderkey % 3 = 0"), t.raw("orders"))
+
+
+@query("", """
+with g as (select o_orderkey, l_linenumber, sum(l_quantity * 1.07) as v from orders join lineitem on o_orderkey = l_orderkey group by all),
+f as (select *, floor(round(v, 9)) as low, round(v - floor(round(v, 9)), 9) as rest, sum(v) over (partition by o_orderkey) as total from g)
+select o_orderkey, l_linenumber, cast(low + case when row_number() over (partition by o_orderkey order by rest desc, l_linenumber) <= cast(round(round(total, 6)) as bigint) - sum(low) over (partition by o_orderkey) then 1 else 0 end as bigint) as whole from f
+""", (370, 408))
+def largest_remainder_all(t):
+    """The same for every order."""
+    return _whole_quantities(t.raw("lineitem"), t.raw("orders"))
+
+
+def _whole_quantities(lines, orders):
     from pyspark.sql import Window as W
 
-    rows = t.raw("lineitem").filter("l_orderkey % 3 = 0").join(t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    rows = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     rows = rows.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(F.sum(F.col("l_quantity") * 1.07).alias("v")).withColumn("total", F.round(F.sum("v").over(W.partitionBy("o_orderkey")), 6))
     return people.whole_parts(rows, ["o_orderkey"], "l_linenumber", "v", "total").select("o_orderkey", "l_linenumber", "whole")
 

@@ -92,6 +92,15 @@ def test_largest_remainder(spark):
     assert rows(people.whole_parts(df, ["g"], "k", "v", "total"), "k", "whole") == [(1, 3), (2, 8), (3, 1)]
 
 
+def test_every_order_and_every_source_has_a_result(spark):
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    got = registry.QUERIES["largest_remainder_all"](spark, FOLDER)
+    assert got.select("o_orderkey", "l_linenumber").distinct().count() == got.count() == lines.select("l_orderkey", "l_linenumber").distinct().count()
+    chain = spark.createDataFrame([(i, i + 1, 2.0) for i in range(20)] + [(0, 9, 40.0)], "src int, dst int, len double")
+    paths = graphs.shortest(chain, spark.createDataFrame([(0,), (3,)], "source int"), 30.0)
+    assert rows(paths, "source", "node", "cost") == sorted((s, n, 2.0 * (n - s)) for s in (0, 3) for n in range(s, min(20, s + 15) + 1))
+
+
 def test_slowest_of_groups_needs_all(spark):
     df = spark.createDataFrame([(1, 5), (1, 9), (2, 5), (2, None)], "c int, m int")
     assert rows(df.groupBy("c").agg(choices.slowest(F.col("m"), 2).alias("m")), "c", "m") == [(1, 9), (2, None)]
