@@ -29,6 +29,18 @@ def by_mode(pairs: DataFrame, keys: list[str], modes: tuple[str, ...]) -> DataFr
     return pairs.groupBy(*keys).pivot("mode", list(modes)).agg(F.min("minutes"))
 
 
+def for_every_cell(cells: DataFrame, names: list, rows: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """Every cell with every one of ``names``: the values of ``rows`` (cell, name, values), null where it has none.
+
+    Cells that reach nothing stay, so that shares are of all residents. A cell's values are
+    packed into a map of at most ``names`` entries before the join, which therefore moves
+    each cell once, not once for each name.
+    """
+    packed = rows.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct(name, F.struct(*values)))).alias("_of"))
+    every = cells.join(packed, "cell", "left").withColumn(name, F.explode(F.array(*[F.lit(n) for n in names])))
+    return every.withColumn("_one", F.try_element_at("_of", F.col(name))).select(*[F.col(c) for c in cells.columns], name, *[F.col("_one").getField(v).alias(v) for v in values])
+
+
 def standards(table: DataFrame, limit: int, modes: tuple[str, ...] = ("walk", "bike", "pt"), transit: str = "pt", foot: str = "walk") -> DataFrame:
     """best, via, meets and options of a table with minutes by mode.
 

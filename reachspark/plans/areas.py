@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from reachspark.operators import areas, measures, stats
 from reachspark.plans.registry import query
 
-_WIDE = """w as (select cells.*, service, min(minutes) filter (where mode = 'walk') as walk, min(minutes) filter (where mode = 'bike') as bike, min(minutes) filter (where mode = 'pt') as pt, least(min(minutes) filter (where mode = 'walk'), min(minutes) filter (where mode = 'pt')) as best
-  from cells join pairs on cell = origin group by all),
+_WIDE = """w as (select cells.*, e.service, min(minutes) filter (where mode = 'walk') as walk, min(minutes) filter (where mode = 'bike') as bike, min(minutes) filter (where mode = 'pt') as pt, least(min(minutes) filter (where mode = 'walk'), min(minutes) filter (where mode = 'pt')) as best
+  from cells cross join (select distinct service from destinations) e left join pairs on cell = origin and pairs.service = e.service group by all),
 d as (select *, case when coalesce(best <= 8, false) then 0 when coalesce(bike <= 8, false) then 1 when coalesce(pt <= 16, false) then 2 when coalesce(walk <= 24, false) then 3 when population < 1000 then 4 else 9 end as reason, greatest(0.0, (coalesce(cast(best as double), 60.0) - 8) / 8) as gap from w)"""
 
 
 def _diagnosed(t):
-    w = measures.by_mode(t.pairs(), [F.col("origin").alias("cell"), "service"], ("walk", "bike", "pt")).join(t.cells(), "cell")
+    """Every cell with every service, reached or not."""
+    modes = ("walk", "bike", "pt")
+    w = measures.for_every_cell(t.cells(), t.services(), measures.by_mode(t.pairs(), [F.col("origin").alias("cell"), "service"], modes), "service", list(modes))
     w = w.withColumn("best", F.least("walk", "pt"))
     rules = [(F.col("bike") <= 8, 1), (F.col("pt") <= 16, 2), (F.col("walk") <= 24, 3), (F.col("population") < 1000, 4)]
     return w.withColumn("reason", areas.diagnose(F.col("best"), 8, rules)).withColumn("gap", stats.shortfall(F.col("best"), 8.0))

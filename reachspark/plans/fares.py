@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reachspark.operators import fares
+from reachspark.operators import fares, measures
 from reachspark.plans.registry import query
 
 CAP = 4
@@ -51,11 +51,12 @@ def fare_reachable(t):
 
 @query("cells pairs", "with " + _ZONED + """, best as (select origin, destination, weight, z, min(minutes) filter (where zones <= z) as m from zoned join destinations on destination = id, (select unnest(generate_series(0, 4)) as z) where minutes <= 30 group by all),
 f as (select origin, z, sum(case when m is not null then weight else 0 end) as reach from best group by origin, z)
-select cast(z as int) as z, quintile, round(sum(case when reach > 0 then population else 0 end) / nullif(sum(population), 0), 6) as any_share, round(sum(reach * population) / nullif(sum(population), 0), 6) as mean_reach from f join cells on origin = cell group by z, quintile
+select cast(e.z as int) as z, quintile, round(sum(case when reach > 0 then population else 0 end) / nullif(sum(population), 0), 6) as any_share, round(sum(coalesce(reach, 0) * population) / nullif(sum(population), 0), 6) as mean_reach from cells cross join (select unnest(generate_series(0, 4)) as z) e left join f on origin = cell and f.z = e.z group by e.z, quintile
 """, (271, 330), recursive=True)
 def fare_summary(t):
     weights = t.destinations().select(F.col("id").alias("destination"), "weight")
-    f = fares.reachable_within(_zoned(t), weights, 30, CAP).join(t.cells(), F.col("origin") == F.col("cell"))
+    f = fares.reachable_within(_zoned(t), weights, 30, CAP).withColumnRenamed("origin", "cell")
+    f = measures.for_every_cell(t.cells(), list(range(CAP + 1)), f, "z", ["reach"]).withColumn("reach", F.coalesce("reach", F.lit(0.0)))
     p = F.nullif(F.sum("population"), F.lit(0.0))
     return f.groupBy("z", "quintile").agg(F.round(F.sum(F.when(F.col("reach") > 0, F.col("population")).otherwise(0.0)) / p, 6).alias("any_share"), F.round(F.sum(F.col("reach") * F.col("population")) / p, 6).alias("mean_reach"))
 

@@ -112,13 +112,15 @@ def jobs_within(t):
 @query("cells pairs destinations", """
 with total as (select sum(weight) as total from destinations), got as (
   select origin, mode, sum(case when minutes <= 30 then weight else 0 end) as jobs from pairs join destinations on destination = id group by origin, mode)
-select mode, quintile, round(sum(jobs / total * population) / sum(population), 6) as share from got join cells on origin = cell, total group by mode, quintile
+select e.mode, quintile, round(sum(coalesce(jobs, 0) / total * population) / nullif(sum(population), 0), 6) as share from cells cross join (values ('walk'), ('bike'), ('pt')) e(mode) left join got on origin = cell and got.mode = e.mode, total group by e.mode, quintile
 """, (257, 191, 431))
 def jobs_share_by_quintile(t):
     weights = t.destinations().select(F.col("id").alias("destination"), "weight")
     total = weights.agg(F.sum("weight").alias("total"))
-    got = measures.weight_within(t.pairs(), weights, ["origin", "mode"], (30,)).join(F.broadcast(total)).join(t.cells(), F.col("origin") == F.col("cell"))
-    return got.groupBy("mode", "quintile").agg(F.round(F.sum(F.col("jobs_30") / F.col("total") * F.col("population")) / F.sum("population"), 6).alias("share"))
+    got = measures.weight_within(t.pairs(), weights, [F.col("origin").alias("cell"), "mode"], (30,))
+    every = measures.for_every_cell(t.cells(), ["walk", "bike", "pt"], got, "mode", ["jobs_30"]).join(F.broadcast(total))  # one row
+    of_all = F.coalesce("jobs_30", F.lit(0.0)) / F.col("total")
+    return every.groupBy("mode", "quintile").agg(F.round(F.sum(of_all * F.col("population")) / F.nullif(F.sum("population"), F.lit(0.0)), 6).alias("share"))
 
 
 @query("cells pairs destinations", """
@@ -181,11 +183,13 @@ def gravity_score_propensity(t):
     return gravity.score(t.pairs().filter("mode = 'bike'"), weights, decay, ["origin"]).select("origin", F.round("score", 6).alias("score"))
 
 
-_SQL_SCORE = "s as (select origin, pairs.service, sum(weight * exp(-0.05 * minutes)) as score from pairs join destinations on destination = id where mode = 'pt' group by all), v as (select cell, s.service, round(score, 6) as score, population from s join cells on origin = cell)"
+_SQL_SCORE = "s as (select origin, pairs.service, sum(weight * exp(-0.05 * minutes)) as score from pairs join destinations on destination = id where mode = 'pt' group by all), v as (select cell, e.service, round(coalesce(score, 0), 6) as score, population from cells cross join (select distinct service from destinations) e left join s on origin = cell and s.service = e.service)"
 
 
 def _scored(t):
-    return _gravity(t, "exponential", 0.05).join(t.cells(), F.col("origin") == F.col("cell")).select("cell", "service", F.round("score", 6).alias("score"), "population")
+    """Every cell with every service; one that reaches none scores 0."""
+    s = _gravity(t, "exponential", 0.05).withColumnRenamed("origin", "cell")
+    return measures.for_every_cell(t.cells(), t.services(), s, "service", ["score"]).select("cell", "service", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), "population")
 
 
 @query("cells pairs destinations", "with " + _SQL_SCORE + """
@@ -205,13 +209,13 @@ def gravity_index(t):
 
 @query("cells pairs_w destinations", """
 with s as (select origin, win, sum(weight * exp(-0.05 * minutes)) as score from pairs_w join destinations on destination = id where mode = 'pt' group by all),
-v as (select cell, win, round(score, 6) as score, population from s join cells on origin = cell), m as (select sum(score * population) / sum(population) as mean from v where win = 'usual')
+v as (select cell, e.win, round(coalesce(score, 0), 6) as score, population from cells cross join (values ('usual'), ('saturday')) e(win) left join s on origin = cell and s.win = e.win), m as (select sum(score * population) / sum(population) as mean from v where win = 'usual')
 select cell, win, round(case when mean > 0 then 100 * score / mean end, 6) as idx from v, m
 """, (263, 494))
 def gravity_index_to_usual_window(t):
     weights = t.destinations().select(F.col("id").alias("destination"), "weight")
-    s = gravity.score(t.pairs(windows=True).filter("mode = 'pt'"), weights, gravity.impedance(F.col("minutes"), "exponential", 0.05), ["origin", "win"])
-    v = s.join(t.cells(), F.col("origin") == F.col("cell")).select("cell", "win", F.round("score", 6).alias("score"), "population")
+    s = gravity.score(t.pairs(windows=True).filter("mode = 'pt'"), weights, gravity.impedance(F.col("minutes"), "exponential", 0.05), ["origin", "win"]).withColumnRenamed("origin", "cell")
+    v = measures.for_every_cell(t.cells(), ["usual", "saturday"], s, "win", ["score"]).select("cell", "win", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), "population")
     return gravity.index_to_mean(v, "score", "population", of=v.filter("win = 'usual'")).select("cell", "win", F.round("idx", 6).alias("idx"))
 
 

@@ -10,14 +10,14 @@ from reachspark.plans.registry import query
 _R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
 
-def _times(t, mode=None):
-    """(cell, service, minutes, and the cell's columns): every cell with every service that any cell reaches."""
-    p = t.pairs() if mode is None else t.pairs().filter(F.col("mode") == mode)
-    best = p.groupBy(F.col("origin").alias("cell"), "service").agg(F.min("minutes").alias("minutes"))
-    return best.join(t.cells(), "cell")
+def _times(t):
+    """(the cell's columns, service, minutes): every cell with every service that exists; minutes are null where it reaches none."""
+    best = t.pairs().groupBy(F.col("origin").alias("cell"), "service").agg(F.min("minutes").alias("minutes"))
+    return measures.for_every_cell(t.cells(), t.services(), best, "service", ["minutes"])
 
 
-_TIMES = "times as (select cells.*, service, minutes from (select origin, service, min(minutes) as minutes from pairs group by origin, service) join cells on origin = cell)"
+_TIMES = """times as (select cells.*, e.service, minutes from cells cross join (select distinct service from destinations) e
+  left join (select origin, service, min(minutes) as minutes from pairs group by origin, service) b on origin = cell and b.service = e.service)"""
 
 
 @query("cells pairs", "with " + _TIMES + """
@@ -28,7 +28,7 @@ def weighted_share_by_quintile(t):
 
 
 @query("cells pairs", "with " + _TIMES + """
-select service, council, case when sum(population) >= 100 then round(sum(case when minutes <= 10 then population else 0 end) / sum(population), 6) end as share from times group by service, council
+select service, council, case when sum(population) >= 100 then round(sum(case when minutes <= 10 then population else 0 end) / nullif(sum(population), 0), 6) end as share from times group by service, council
 """, (305, 343))
 def share_where_enough(t):
     s = F.round(stats.share(F.col("minutes") <= 10, F.col("population")), 6)
@@ -149,7 +149,7 @@ def where_they_live(t):
     return s.join(F.broadcast(place)).select("service", "sa2", F.round("share", 6).alias("share"), "missing", c.otherwise(4).alias("class"))  # one row
 
 
-@query("cells pairs", "with " + _TIMES + """, s as (select service, standard, sum(case when minutes <= standard then population else 0 end) / sum(population) as share from times, (select unnest(generate_series(5, 60, 5)) as standard) group by service, standard)
+@query("cells pairs", "with " + _TIMES + """, s as (select service, standard, sum(case when minutes <= standard then population else 0 end) / nullif(sum(population), 0) as share from times, (select unnest(generate_series(5, 60, 5)) as standard) group by service, standard)
 select service, cast(standard as int) as standard, round(share, 6) as share from s
 """, (328,))
 def share_curve(t):
@@ -159,9 +159,9 @@ def share_curve(t):
 
 @query("cells pairs_w", """
 with w as (select origin, service, max(n) as worst, count(*) as wins from (select origin, service, win, min(minutes) as n from pairs_w group by all) group by origin, service)
-select service, round(sum(case when wins = 2 and worst <= 20 then population else 0 end) / sum(population), 6) as share from w join cells on origin = cell group by service
+select e.service, round(sum(case when wins = 2 and worst <= 20 then population else 0 end) / nullif(sum(population), 0), 6) as share from cells cross join (select distinct service from destinations) e left join w on origin = cell and w.service = e.service group by e.service
 """, (328,))
 def share_at_every_time(t):
-    p = t.pairs(windows=True).groupBy("origin", "service", "win").agg(F.min("minutes").alias("n")).groupBy("origin", "service").agg(F.max("n").alias("worst"), F.count("*").alias("wins"))
-    rows = p.join(t.cells(), F.col("origin") == F.col("cell"))
+    p = t.pairs(windows=True).groupBy("origin", "service", "win").agg(F.min("minutes").alias("n")).groupBy(F.col("origin").alias("cell"), "service").agg(F.max("n").alias("worst"), F.count("*").alias("wins"))
+    rows = measures.for_every_cell(t.cells(), t.services(), p, "service", ["worst", "wins"])
     return rows.groupBy("service").agg(F.round(stats.share((F.col("wins") == 2) & (F.col("worst") <= 20), F.col("population")), 6).alias("share"))

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Services are columns of a report; a longer list is a mistake and not worked off.
+MOST_SERVICES = 1000
+
+
 class Tables:
     """Views over one folder of Parquet tables."""
 
@@ -42,6 +46,13 @@ class Tables:
             ((k * 7919) % 10000).cast("double").alias("x"), ((k * 104729) % 10000).cast("double").alias("y"), F.col("p_name").alias("name"),
         )
 
+    def services(self) -> list[str]:
+        """Names of the services that exist, in order: a list of settings, never of places or people."""
+        names = [r.service for r in self.destinations().select("service").filter("service is not null").distinct().limit(MOST_SERVICES + 1).collect()]
+        if len(names) > MOST_SERVICES:
+            raise ValueError(f"more than {MOST_SERVICES} services")
+        return sorted(names)
+
     def trips(self) -> DataFrame:
         """Minutes by origin, destination, mode and window; several rows for a pair."""
         items = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
