@@ -9,22 +9,18 @@ from pyspark.sql import functions as F
 def zone_distance(edges: DataFrame, cap: int) -> DataFrame:
     """(a, b, zones): zones a trip between two zones crosses, 1 within one, at most ``cap``.
 
-    Breadth-first by a recursive query, one step for each hop up to the cap. Zones are
-    few: there is a row for each walk of at most ``cap`` zones before the least is taken.
+    Breadth-first from each zone, with the zones of each number of hops kept once. Zones
+    are few (tens), so a row may hold what is next to each of them.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return edges.sparkSession.sql(
-        """
-        with recursive walk(a, b, zones) as (
-          select distinct a, a as b, 1 as zones from {edge}
-          union all
-          select walk.a, e.b, walk.zones + 1 from walk join {edge} e on walk.b = e.a where walk.zones < {cap}
-        )
-        select a, b, min(zones) as zones from walk group by a, b
-        """,
-        edge=both,
-        cap=cap,
-    )
+    near = both.groupBy("a").agg(F.collect_set("b").alias("bs")).agg(F.map_from_entries(F.collect_list(F.struct("a", "bs"))).alias("near"))
+    rings = F.aggregate(
+        F.sequence(F.lit(2), F.lit(cap)),
+        F.array(F.array("a")),
+        lambda rings, _: F.concat(rings, F.array(F.array_except(F.flatten(F.transform(F.element_at(rings, -1), lambda z: F.col("near")[z])), F.flatten(rings)))),
+    ) if cap > 1 else F.array(F.array("a"))
+    found = both.select("a").distinct().join(F.broadcast(near)).select("a", F.posexplode(rings).alias("hops", "ring"))  # one row
+    return found.select("a", F.explode("ring").alias("b"), (F.col("hops") + 1).alias("zones"))
 
 
 def pair_zones(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, hops: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reachspark.operators.common import running
+
 
 def impedance(minutes: Column, kind: str, a: float, b: float = 0.0) -> Column:
     """Weight of a destination so many minutes away, 1 at zero.
@@ -69,6 +70,6 @@ def index_to_mean(table: DataFrame, value: str, weight: str, by: list[str] | Non
 
 def deciles(table: DataFrame, value: str, weight: str, key: str, by: list[str]) -> DataFrame:
     """Adds decile: tenth of the cumulative weight in order of value, each row its own step; ties by key."""
-    w = W.partitionBy(*by).orderBy(value, key)
-    share = F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(weight).over(W.partitionBy(*by))
-    return table.withColumn("decile", F.least(F.lit(10), F.greatest(F.lit(1), F.ceil(F.round(share * 10, 9)))).cast("int"))
+    share = F.col("_upto") / F.col("_total")
+    out = running(table, by, [value, key], weight)
+    return out.withColumn("decile", F.least(F.lit(10), F.greatest(F.lit(1), F.ceil(F.round(share * 10, 9)))).cast("int")).drop("_upto", "_total")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachspark.operators.common import checkpointed
+
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
@@ -44,12 +46,13 @@ def nearest(points: DataFrame, targets: DataFrame, by: list[str], key: str, star
     """
     left, out, radius = points, None, start
     while True:
-        found = within(left, targets, radius, on=on).groupBy(*by).agg(F.min(F.struct("d", key)).alias("_m")).select(*by, F.col("_m.d").alias("d"), F.col(f"_m.{key}").alias(key)).checkpoint()
+        found = within(left, targets, radius, on=on).groupBy(*by).agg(F.min(F.struct("d", key)).alias("_m")).select(*by, F.col("_m.d").alias("d"), F.col(f"_m.{key}").alias(key))
+        found = checkpointed(found)
         out = found if out is None else out.unionByName(found)
         left, radius = left.join(found.select(*by), by, "left_anti"), radius * 4
         if radius / 4 >= limit or left.isEmpty():
             return out.filter(F.col("d") <= limit)
-        left = left.checkpoint()
+        left = checkpointed(left)
 
 
 def inside(x: Column, y: Column, corners: Column) -> Column:
@@ -65,15 +68,25 @@ def inside(x: Column, y: Column, corners: Column) -> Column:
     return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
-def components(pairs: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
-    """(node, root): the least node that links reach; stops when nothing changes."""
-    both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    state = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("root"))
-    for _ in range(rounds):
-        step = both.join(state.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("r"))
-        new = state.join(step, "u").select("u", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("changed")).checkpoint()
-        state = new.drop("changed")
-        if not new.filter("changed").head(1):
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): the least node that links reach, over chains of any length.
+
+    Each round hooks every node and its neighbours to the least of them, first the greater
+    neighbours, then all, which halves the length of a chain or better; the links of each
+    round are checkpointed. It ends when a round changes nothing.
+    """
+    links = checkpointed(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
+    before = None
+    while True:
+        mark = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == before:
             break
-    return state.select(F.col("u").alias("node"), "root")
+        before = mark
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        greater = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = greater.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = greater.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        links = checkpointed(hooked.filter("u != v").distinct())
+    nodes = links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

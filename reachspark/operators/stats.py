@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reachspark.operators.common import running
+
 
 def share(flag: Column, weight: Column) -> Column:
     """Weight of flagged rows over all weight; null without weight."""
@@ -20,8 +22,16 @@ def enough(weight: Column, value: Column, least: float = 100.0) -> Column:
 def cumulative(table: DataFrame, value: str, weight: str, key: str, by: list[str]) -> DataFrame:
     """Rows with a value and weight, in order of value then key, with cum: their share of the weight up to them."""
     rows = table.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
-    running = F.sum(weight).over(W.partitionBy(*by).orderBy(value, key).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("cum", F.round(running / F.sum(weight).over(W.partitionBy(*by)), 9))
+    return running(rows, by, [value, key], weight).withColumn("cum", F.round(F.col("_upto") / F.col("_total"), 9)).drop("_upto", "_total")
+
+
+def _of_values(table: DataFrame, value: str, weight: str, by: list[str], descending: bool = False) -> DataFrame:
+    """(by, value, _peers, _upto, _total): each distinct value once, with the weight that has it and that up to it."""
+    sums = table.groupBy(*by, value).agg(F.sum(weight).alias("_peers"))
+    if not descending:
+        return running(sums, by, [value], "_peers")
+    turned = running(sums.withColumn("_turned", -F.col(value)), by, ["_turned"], "_peers")
+    return turned.drop("_turned")
 
 
 def quantile(table: DataFrame, value: str, weight: str, key: str, by: list[str], q: float = 0.5, name: str = "q") -> DataFrame:
@@ -39,24 +49,22 @@ def palma(table: DataFrame, value: str, weight: str, key: str, by: list[str]) ->
 
 def tied_bands(table: DataFrame, value: str, weight: str, by: list[str], bands: int = 10) -> DataFrame:
     """Adds band (0-based): ties share the band of their group's midpoint."""
-    upto = F.sum(weight).over(W.partitionBy(*by).orderBy(value))
-    peers = F.sum(weight).over(W.partitionBy(*by, value))
-    middle = (upto - peers / 2) / F.sum(weight).over(W.partitionBy(*by))
-    return table.withColumn("band", F.least(F.lit(bands - 1), F.greatest(F.lit(0), F.floor(bands * middle - 1e-9))).cast("int"))
+    middle = (F.col("_upto") - F.col("_peers") / 2) / F.col("_total")
+    band = F.least(F.lit(bands - 1), F.greatest(F.lit(0), F.floor(bands * middle - 1e-9))).cast("int").alias("band")
+    return table.join(_of_values(table, value, weight, by).select(*by, value, band), [*by, value])
 
 
 def below(table: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
     """Adds below: the share of weight with a strictly smaller value."""
-    less = F.sum(weight).over(W.partitionBy(*by).orderBy(value).rangeBetween(W.unboundedPreceding, 0)) - F.sum(weight).over(W.partitionBy(*by, value))
-    return table.withColumn("below", less / F.sum(weight).over(W.partitionBy(*by)))
+    less = ((F.col("_upto") - F.col("_peers")) / F.col("_total")).alias("below")
+    return table.join(_of_values(table, value, weight, by).select(*by, value, less), [*by, value])
 
 
 def concentration(table: DataFrame, value: str, weight: str, rank: str, by: list[str]) -> DataFrame:
     """Concentration index of ``value`` by ``rank`` descending, with tie midpoints: 2 cov(value, rank) / mean."""
     rows = table.filter(F.col(value).isNotNull() & F.col(rank).isNotNull() & (F.col(weight) > 0))
-    upto = F.sum(weight).over(W.partitionBy(*by).orderBy(F.desc(rank)))
-    peers = F.sum(weight).over(W.partitionBy(*by, rank))
-    rows = rows.withColumn("_r", (upto - peers / 2) / F.sum(weight).over(W.partitionBy(*by)))
+    middle = ((F.col("_upto") - F.col("_peers") / 2) / F.col("_total")).alias("_r")
+    rows = rows.join(_of_values(rows, rank, weight, by, descending=True).select(*by, rank, middle), [*by, rank])
     w, v, r = F.col(weight), F.col(value), F.col("_r")
     sums = rows.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * v).alias("wv"), F.sum(w * r).alias("wr"), F.sum(w * v * r).alias("wvr"))
     return sums.select(*by, F.when(F.col("wv") != 0, 2 * (F.col("wvr") / F.col("w") - F.col("wv") / F.col("w") * F.col("wr") / F.col("w")) / (F.col("wv") / F.col("w"))).alias("concentration"))

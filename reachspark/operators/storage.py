@@ -6,25 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reachspark.operators.common import numbered, running
+
 
 def csr(rows: DataFrame, by: list[str], cell: str, order: list, values: list[str]) -> DataFrame:
     """(by, cell, offset, n, arrays of values): compressed rows; offset counts the values of lower cells."""
     packed = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], *[F.col(v).alias(f"_{v}") for v in values])))
     groups = rows.groupBy(*by, cell).agg(packed.alias("_p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return groups.select(*by, cell, before.alias("offset"), "n", *[F.col("_p").getField(f"_{v}").alias(v) for v in values])
+    groups = running(groups, by, [cell], "n")
+    return groups.select(*by, cell, (F.col("_upto") - F.col("n")).alias("offset"), "n", *[F.col("_p").getField(f"_{v}").alias(v) for v in values])
 
 
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
     """(column, code): dense codes of the distinct values in order, null left out."""
     distinct = rows.select(column).filter(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn("code", F.row_number().over(W.orderBy(column)) - 1)
+    return numbered(distinct, [], [column], "_n").select(column, (F.col("_n") - 1).alias("code"))
 
 
 def members_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """SHA-256 of a group's rows whatever their order; the digest of each row first, so that the list stays short."""
+    """SHA-256 of a group's rows whatever their order.
+
+    Row digests are gathered by their first three digits, and the digests of these 4096
+    parts once more, so that no row holds a whole group.
+    """
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.md5(row))), ""), 256).alias("digest"), F.count("*").alias("members"))
+    hashed = rows.select(*by, F.md5(row).alias("_m")).withColumn("_part", F.substring("_m", 1, 3))
+    whole = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    parts = hashed.groupBy(*by, "_part").agg(whole("_m").alias("_d"), F.count("*").alias("_n"))
+    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_d"))), lambda x: x["_d"]), ""), 256).alias("digest"), F.sum("_n").alias("members"))
 
 
 def build_diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -46,7 +55,7 @@ def stable_ids(rows: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     joined = rows.select(key).distinct().join(previous, key, "left")
     most = previous.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("most")).first()[0]
     new = joined.filter("id is null").drop("id")
-    return joined.filter("id is not null").unionByName(new.withColumn("id", (most + F.row_number().over(W.orderBy(key))).cast("long")))
+    return joined.filter("id is not null").unionByName(numbered(new, [], [key], "_n").select(key, (F.lit(most) + F.col("_n")).cast("long").alias("id")))
 
 
 def tolerance(a: Column, b: Column, absolute: float, relative: float) -> Column:

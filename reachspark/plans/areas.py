@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reachspark.operators import areas, measures, stats
+from reachspark.operators.common import numbered
 from reachspark.plans.registry import query
 
 _WIDE = """w as (select cells.*, e.service, min(minutes) filter (where mode = 'walk') as walk, min(minutes) filter (where mode = 'bike') as bike, min(minutes) filter (where mode = 'pt') as pt, least(min(minutes) filter (where mode = 'walk'), min(minutes) filter (where mode = 'pt')) as best
@@ -106,10 +107,12 @@ select council, x[cast(floor(n * 0.01) as int) + 1] as x0, x[n - cast(floor(n *
 from (select council, count(*) as n, list(x order by x) as x, list(y order by y) as y from cells group by council)
 """, (350, 351))
 def trimmed_extent(t):
-    from pyspark.sql import Window as W
+    cells = t.cells().select("council", "cell", "x", "y")
+    cut = F.floor(F.col("_rows") * 0.01)
 
-    n = F.count("*").over(W.partitionBy("council"))
-    place = lambda c: F.row_number().over(W.partitionBy("council").orderBy(c))
-    rows = t.cells().select("council", "x", "y", n.alias("n"), place("x").alias("kx"), place("y").alias("ky")).withColumn("cut", F.floor(F.col("n") * 0.01))
-    at = lambda k, c, low: F.max(F.when(F.col(k) == (F.col("cut") + 1 if low else F.col("n") - F.col("cut")), F.col(c)))
-    return rows.groupBy("council").agg(at("kx", "x", True).alias("x0"), at("kx", "x", False).alias("x1"), at("ky", "y", True).alias("y0"), at("ky", "y", False).alias("y1"))
+    def ends(c):
+        rows = numbered(cells, ["council"], [c, "cell"], "_k")
+        at = lambda k: F.max(F.when(F.col("_k") == k, F.col(c)))
+        return rows.groupBy("council").agg(at(cut + 1).alias(f"{c}0"), at(F.col("_rows") - cut).alias(f"{c}1"))
+
+    return ends("x").join(ends("y"), "council")

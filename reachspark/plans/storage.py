@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reachspark.operators import storage
+from reachspark.operators.common import running
 from reachspark.plans.registry import query
 from reachspark.streaming import batches
 
@@ -27,7 +28,8 @@ def dictionary_codes(t):
 
 
 @query("destinations", """
-select service, sha256(string_agg(m, '' order by m)) as digest, count(*) as members from (select service, md5(cast(id as varchar) || '|' || service || '|' || cast(zone as varchar)) as m from destinations) group by service
+select service, sha256(string_agg(d, '' order by part)) as digest, cast(sum(n) as bigint) as members from (
+  select service, substr(m, 1, 3) as part, sha256(string_agg(m, '' order by m)) as d, count(*) as n from (select service, md5(cast(id as varchar) || '|' || service || '|' || cast(zone as varchar)) as m from destinations) group by all) group by service
 """, (379, 380, 381, 36))
 def members_digest(t):
     return storage.members_digest(t.destinations(), ["service"], ["id", "service", "zone"])
@@ -102,10 +104,8 @@ def cell_payload(t):
 
 @query("", "select o_orderkey as node, cast(sum(1 + o_custkey % 5) over (partition by o_orderkey % 8 order by o_orderkey rows unbounded preceding) as bigint) as x from orders", (400,))
 def delta_decode(t):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(F.col("o_orderkey") % 8).orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, 0)
-    return t.raw("orders").select(F.col("o_orderkey").alias("node"), F.sum(1 + F.col("o_custkey") % 5).over(w).alias("x"))
+    rows = t.raw("orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") % 8).alias("tile"), (1 + F.col("o_custkey") % 5).alias("step"))
+    return running(rows, ["tile"], ["node"], "step").select("node", F.col("_upto").alias("x"))
 
 
 @query("destinations", "select kind, service, count(*) as n, sum(weight) as weight, min(id) as first from destinations group by all having count(*) >= 2", (18, 19, 339))
