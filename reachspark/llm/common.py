@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="reachspark-")
@@ -34,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Parquet tables of one run under the shared folder."""
 
@@ -49,8 +57,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.path}/{name}")
 
 
 def crc_bucket(column: str, n: int):

@@ -1,13 +1,15 @@
 """Deterministic sharded WARC writer and reader (operator 3).
 
-Records are in order of page_id. Fixed-width id ranges are weighed and gathered into
-shards by a running sum of their bytes, so that shards depend on the data alone. One
-shuffle brings each shard's pages together, with the decision which payloads are
+Records are in order of page_id, rows of one id in order of their payload's digest.
+Shards are cut where the running sum of bytes in that order reaches the size of a shard,
+so they depend on the data alone, and no distribution of ids makes one larger than that.
+One shuffle brings each shard's pages together, with the decision which payloads are
 revisits riding along as small rows of the same key. A task writes a shard's records as
 gzip members and rolls to the next file when the compressed size is reached. Files are
 written under temporary names of their own attempt; a later job gives the files of
 successful attempts their final names and checks them, and the manifest, itself a table
-with a commit marker, is written last. Readers take files from the manifest only.
+with a commit marker, is written last. Readers take files from the manifest only and
+check each against its digest there.
 """
 
 from __future__ import annotations
@@ -18,18 +20,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import Scratch
+from reachspark.operators.common import running
+
+from .common import Scratch, delete
 
 #: Uncompressed bytes of a shard, and compressed bytes after which a file is closed.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
-#: Id ranges that are weighed.
-RANGES = 4096
+#: Shards grow beyond SHARD_BYTES where there would be more of them: their first keys (17 bytes each) are broadcast.
+MOST_SHARDS = 100_000
 _DATE = "2024-01-01T00:00:00Z"  # records carry no time of their own
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -71,44 +76,77 @@ def _member(data: bytes) -> bytes:
 
 
 def _open(path: str):
-    fs, at = pyarrow.fs.FileSystem.from_uri(path)
-    return fs, at
+    """The file system of a path (file, hdfs, s3, gs, abfs as Arrow knows them; s3a and s3n are s3) and the path in it."""
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            path = "s3://" + path.removeprefix(scheme)
+    return pyarrow.fs.FileSystem.from_uri(path)
 
 
-def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to): pages whose payload, of this SHA-1 in hex, a page with a larger id has too.
+def _payload():
+    return F.coalesce(F.col("html").cast("string"), F.lit(""))
 
-    A null page is a payload of no bytes; a null id is never referred to.
-    """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")).filter(F.col("size") >= least_bytes)
+
+#: Tells payloads under one id apart: 60 bits of their SHA-1.
+_TIE = "cast(conv(substring(digest, 1, 15), 16, 10) as long)"
+
+
+def identities(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, tie, size): each page's id and payload, by SHA-1 in hex; a null page is a payload of no bytes."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(_payload().cast("binary")).alias("digest"), F.octet_length(_payload()).alias("size")).select("page_id", "digest", F.expr(_TIE).alias("tie"), "size")
+
+
+def revisits(ids: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(page_id, tie, digest, refers_to): pages whose payload a page with a larger id has too; a null id is never referred to."""
+    ids = ids.filter(F.col("size") >= least_bytes)
     last = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
-    return ids.join(last, "digest").filter("page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
+    return ids.join(last, "digest").filter("page_id != refers_to").select("page_id", "tie", "digest", "refers_to").distinct()
 
 
-def _shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
-    """(range, shard) with the least id and the width of the ranges."""
-    low, high = pages.agg(F.min(F.col("page_id").cast("long")), F.max(F.col("page_id").cast("long"))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // RANGES))
-    weighed = pages.groupBy(_range(low, width).alias("range")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 512).alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # RANGES + 1 rows at most
-    return weighed.select("range", F.floor(before / shard_bytes).cast("int").alias("shard")), low, width
+def _key(none: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Keys of 17 bytes whose order is that of (page_id, tie), null ids first."""
+    out = np.empty((len(ids), 17), dtype=np.uint8)
+    out[:, 0] = np.where(none, 1, 2)
+    out[:, 1:9] = (np.where(none, 0, ids).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:] = ties.astype(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
 
 
-def _range(low: int, width: int):
-    return F.coalesce(F.floor((F.col("page_id").cast("long") - low) / width).cast("int"), F.lit(-1))
+def _shards(scratch: Scratch, ids: DataFrame, shard_bytes: int):
+    """A function of (page_id, tie) that gives the shards a key lies in, first and last, and how many shards there are.
+
+    Rows of one key, which have one id and one payload, can fill more than one shard.
+    """
+    total = ids.agg(F.sum(F.col("size") + 512)).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    placed = running(ids.select("page_id", "tie", (F.col("size") + 512).cast("long").alias("bytes")), [], ["page_id", "tie"], "bytes")
+    placed = placed.withColumn("shard", F.expr(f"(_upto - bytes) div {shard_bytes}"))
+    first = placed.groupBy("shard").agg(F.min(F.struct(F.isnotnull("page_id").alias("known"), "page_id", "tie")).alias("k")).select("shard", "k.*").orderBy("shard").toPandas()
+    none = ~first["known"].to_numpy(dtype=bool)
+    keys = scratch.spark.sparkContext.broadcast(_key(none, first["page_id"].fillna(0).to_numpy(dtype=np.int64), first["tie"].to_numpy(dtype=np.int64)))
+
+    @F.pandas_udf("low int, high int")
+    def shard(page_id: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        key = _key(page_id.isna().to_numpy(), page_id.fillna(0).to_numpy(dtype=np.int64), tie.to_numpy(dtype=np.int64))
+        before, after = np.searchsorted(keys.value, key, side="left"), np.searchsorted(keys.value, key, side="right")
+        return pd.DataFrame({"low": np.where(before == after, after - 1, before).astype(np.int32), "high": (after - 1).astype(np.int32)})
+
+    return shard, max(1, len(first))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files under ``path``; the manifest (file, bytes, records, sha256)."""
     spark = pages.sparkSession
-    shards, low, width = _shards(pages, shard_bytes)
-    placed = F.broadcast(shards.withColumnRenamed("range", "own"))  # RANGES + 1 rows at most
-    both = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("digest"))
-    both = both.unionByName(revisits(pages, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).alias("kind"), "refers_to", "digest"))
-    both = both.withColumn("range", _range(low, width)).join(placed, F.col("range") == F.col("own")).select("shard", "page_id", "kind", "refers_to", "url", "html", "digest")
-    count = int(shards.agg(F.max("shard")).first()[0] or 0) + 1
+    scratch = Scratch(spark, "warc-attempts")
+    ids = scratch.save(identities(pages), "ids")
+    shard, count = _shards(scratch, ids, shard_bytes)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha1(_payload().cast("binary")).alias("digest"))
+    rows = rows.withColumn("tie", F.expr(_TIE)).withColumn("at", shard("page_id", "tie"))
+    # equal rows that fill several shards are dealt out over them
+    rows = rows.select((F.col("at.low") + F.floor(F.rand(7) * (F.col("at.high") - F.col("at.low") + 1))).cast("int").alias("shard"), "page_id", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html", "digest", "tie")
+    known = revisits(ids, least_bytes).withColumn("at", shard("page_id", "tie")).select(F.explode(F.sequence("at.low", "at.high")).alias("shard"), "page_id", "tie", "digest", "refers_to")
+    known = known.select("shard", "page_id", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "tie")
+    both = rows.unionByName(known)
 
     def run(batches):
         attempt = uuid.uuid4().hex[:12]
@@ -155,9 +193,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int =
         if sink is not None:
             yield batch_of([close()])
 
-    scratch = Scratch(spark, "warc-attempts")
-    sorted_ = both.repartition(count, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "html")
-    written = scratch.save(sorted_.mapInArrow(run, "file string, temporary string, bytes long, records long, sha256 string"), "written")
+    dealt = both.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "tie", "url").drop("tie")
+    written = scratch.save(dealt.mapInArrow(run, "file string, temporary string, bytes long, records long, sha256 string"), "written")
 
     def commit(batches):
         fs, base = _open(path)
@@ -171,14 +208,18 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int =
             yield batch.select(["file", "bytes", "records", "sha256"])
 
     written.mapInArrow(commit, "file string, bytes long, records long, sha256 string").write.parquet(f"{path}/manifest")
+    delete(spark, f"{path}/_temporary")  # what failed attempts left
+    scratch.drop("ids", "written")
     return spark.read.schema("file string, bytes long, records long, sha256 string").parquet(f"{path}/manifest")
 
 
-def _records(stream) -> Iterator[bytes]:
-    """The gzip members of a file, one at a time."""
+def _records(stream, sha) -> Iterator[bytes]:
+    """The gzip members of a file, one at a time; ``sha`` takes in the bytes of the file."""
     unpack, out, data = zlib.decompressobj(31), [], b""
     while True:
-        data = data or stream.read(1 << 20)
+        if not data:
+            data = stream.read(1 << 20)
+            sha.update(data)
         if not data:
             if out:
                 raise EOFError("a record breaks off")
@@ -222,28 +263,28 @@ def read(spark, path: str, columns: list[str] | None = None) -> DataFrame:
     def run(batches):
         fs, base = _open(path)
         for batch in batches:
-            for name, records in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                rows, size, n = [], 0, 0
+            for name, records, digest in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+                rows, size, n, sha = [], 0, 0, hashlib.sha256()
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
-                    for data in _records(stream):
+                    for data in _records(stream, sha):
                         one = _parsed(data)
                         rows.append({c: one[c] for c in columns})
                         size, n = size + len(data), n + 1
                         if len(rows) == 1000 or size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
-                if n != records:
-                    raise ValueError(f"{name} has {n} records, not {records}")
+                if n != records or sha.hexdigest() != digest:
+                    raise ValueError(f"{name} is not the file of the manifest: {n} of {records} records, sha256 {sha.hexdigest()}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("file", "records").repartition(max(1, manifest.count())).mapInArrow(run, ", ".join(f"{c} {_COLUMNS[c]}" for c in columns))
+    return manifest.select("file", "records", "sha256").repartition(max(1, manifest.count())).mapInArrow(run, ", ".join(f"{c} {_COLUMNS[c]}" for c in columns))
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     """Null html is an empty payload; a null id sorts first; rows with one id are records of their own.
 
-    Pages with equal payloads revisit the one of them with the largest id; rows that share
+    An empty table gives no files and no rows; a very long page is a record, and a shard, of its own. Pages with equal payloads revisit the one of them with the largest id; rows that share
     that id are all responses. Columns other than page_id, url and html are not written.
     """
     path = Scratch(spark, "warc").path

@@ -391,6 +391,38 @@ def test_warc_decides_revisits_by_payload_not_by_id(spark):
     assert got == sorted((i, u, "response" if keeper[t] == i else "revisit", None if keeper[t] == i else keeper[t], warc.sha1_base32(t.encode()), t if keeper[t] == i else None) for i, u, t in rows)
 
 
+def test_warc_shards_split_whatever_the_ids(spark, monkeypatch):
+    # an id far off, null ids and equal rows of one id, each of which would fill an id range of its own
+    rows = [(i, f"http://h/{i}", "x" * 500 + str(i)) for i in range(40)] + [(10**15, "far", "y" * 500)] + [(None, f"n{i}", "z" * 500 + str(i)) for i in range(40)] + [(7, "same", "w" * 500)] * 40 + [(8, "other", "w" * 500)]
+    path = Scratch(spark, "w").path
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")  # an extra column with a name of ours
+    m = warc.write(df, path, shard_bytes=10_000, roll_bytes=1 << 30).collect()
+    assert len(m) >= 10 and max(r.records for r in m) <= 40 and sum(r.records for r in m) == len(rows)
+    got = warc.read(spark, path).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.url) for r in got) == sorted((i is None, i or 0, u) for i, u, _ in rows)
+    assert all((r.record_type, r.refers_to) == ("revisit", 8) for r in got if r.url == "same")
+    files = sorted(r.file for r in m)
+    order = []
+    for name in files:
+        fs, at = warc._open(f"{path}/{name}")
+        with fs.open_input_stream(at, compression=None) as stream:
+            order += [warc._parsed(d)["page_id"] for d in warc._records(stream, hashlib.sha256())]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    assert not [f for f in fs.get_file_info(warc.pyarrow.fs.FileSelector(warc._open(path)[1])) if "_temporary" in f.path]
+    monkeypatch.setattr(warc, "MOST_SHARDS", 3)
+    assert len(warc.write(df, Scratch(spark, "w").path, shard_bytes=10_000, roll_bytes=1 << 30).collect()) <= 4
+
+
+def test_warc_reader_checks_files_against_the_manifest(spark):
+    path = Scratch(spark, "w").path
+    (one,) = warc.write(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path).collect()
+    fs, at = warc._open(f"{path}/{one.file}")
+    with fs.open_output_stream(at, compression=None) as out:
+        out.write(warc._member(warc.record(1, "u", b"abd", None)))
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        warc.read(spark, path).collect()
+
+
 def test_warc_of_nothing_and_damage(spark):
     path = Scratch(spark, "w").path
     df = spark.createDataFrame([], "page_id long, url string, html string")
