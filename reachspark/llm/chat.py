@@ -78,19 +78,46 @@ def masked_text(formatted: str, offsets: np.ndarray, spans: np.ndarray) -> list[
     """By span, the text that the loss mask covers, unescaped."""
     if not len(spans):
         return []
-    loss, which = loss_mask(offsets, spans)
-    parts: list[list[str]] = [[] for _ in spans]
-    upto = spans[:, 0].copy()
+    loss, _ = loss_mask(offsets, spans)
+    starts, ends = offsets[loss, 0], offsets[loss, 1]
     # a token that crosses a border can touch more than one span
-    for (a, b), first in zip(offsets[loss].tolist(), which[loss].tolist(), strict=True):
-        for k in range(first, len(spans)):
-            if spans[k, 0] >= b:
-                break
-            low, high = max(a, int(upto[k])), min(b, int(spans[k, 1]))
-            if high > low:
-                parts[k].append(formatted[low:high])
-                upto[k] = high
-    return [unescape("".join(p)) for p in parts]
+    first = np.searchsorted(ends, spans[:, 0], side="right")
+    last = np.searchsorted(starts, spans[:, 1], side="left")
+    out = []
+    for (low, high), i, j in zip(spans.tolist(), first.tolist(), last.tolist(), strict=True):
+        a, b = np.maximum(starts[i:j], low), np.minimum(ends[i:j], high)
+        upto = np.maximum.accumulate(np.r_[low, b])  # what the tokens before have covered
+        a = np.maximum(a, upto[:-1])
+        new = np.flatnonzero(np.r_[True, a[1:] > upto[1:-1]]) if len(a) else a[:0]  # runs of tokens without a gap, usually one
+        close = upto[np.r_[new[1:], len(a)]] if len(a) else a
+        out.append(unescape("".join([formatted[x:y] for x, y in zip(a[new].tolist(), close.tolist(), strict=True)])))
+    return out
+
+
+def token_bytes(encoder) -> np.ndarray:
+    """Length of each token's text; of a byte-level vocabulary this is its number of bytes."""
+    known = encoder.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(known.values(), default=0) + 1, dtype=np.int64)
+    for token, i in known.items():
+        out[i] = len(token)
+    return out
+
+
+def offsets_of(encoding, text: str, lengths: np.ndarray) -> np.ndarray:
+    """First and last character of each token.
+
+    Tokens of a byte-level vocabulary add up to the bytes of the text, and their lengths
+    give the offsets without a Python object each; of any other the encoding's own are taken.
+    """
+    ends = np.cumsum(lengths[np.array(encoding.ids, dtype=np.int64)])
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    if (ends[-1] if len(ends) else 0) != len(raw):
+        return np.array(encoding.offsets, dtype=np.int32).reshape(-1, 2)
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    if len(raw) != len(text):
+        character = np.cumsum((raw & 0xC0) != 0x80)
+        starts, ends = character[starts] - 1, character[ends - 1]
+    return np.stack([starts, ends], axis=1).astype(np.int32)
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -113,12 +140,13 @@ def formatted(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
         encoder = Tokenizer.from_file(tokenizer)
         encoder.encode_special_tokens = True  # only the text counts
+        lengths = token_bytes(encoder)
         for batch in batches:
             for at in range(0, len(batch), _AT_ONCE):
                 part = batch.slice(at, _AT_ONCE)
                 texts, spans = zip(*(render([(t["role"], t["text"]) for t in turns]) for turns in part[1].to_pylist()), strict=True)
                 encoded = encoder.encode_batch(list(texts), add_special_tokens=False)
-                offsets = [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in encoded]
+                offsets = [offsets_of(e, t, lengths) for e, t in zip(encoded, texts, strict=True)]
                 borders = [np.array(s, dtype=np.int32).reshape(-1, 2) for s in spans]
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_pydict({

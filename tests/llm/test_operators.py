@@ -450,6 +450,31 @@ def test_chat_masks_by_offsets_that_cross_borders():
     assert chat.masked_text("", np.empty((0, 2)), np.empty((0, 2))) == []
 
 
+def test_chat_offsets_from_token_lengths_are_those_of_the_encoding():
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(chat.TOKENIZER)
+    encoder.encode_special_tokens = True
+    lengths = chat.token_bytes(encoder)
+    for t in ["", " a  b\n", "naïve café 😀😀 […]", "</s>[INST] ok [/INST]", "<|endoftext|> x", "日本語のテキスト", "e\u0301\u200d🏳️‍🌈 end "]:
+        e = encoder.encode(t, add_special_tokens=False)
+        got = chat.offsets_of(e, t, lengths)
+        whole = chat.offsets_of(e, t, lengths * 0 + 10**6)  # lengths that don't add up: the encoding's own
+        assert got.tolist() == whole.tolist() == [list(o) for o in e.offsets]
+
+
+def test_chat_masked_text_with_gaps_and_borders():
+    text = "0123456789abcdef"
+    spans = np.array([[2, 5], [6, 9], [12, 14]], np.int32)
+    whole = np.array([[0, 3], [3, 7], [7, 13], [13, 16]], np.int32)
+    assert chat.masked_text(text, whole, spans) == ["234", "678", "cd"]
+    gaps = np.array([[2, 3], [4, 5], [8, 9]], np.int32)
+    assert chat.masked_text(text, gaps, spans) == ["24", "8", ""]
+    twice = np.array([[2, 4], [2, 4], [3, 5]], np.int32)  # tokens of one character
+    assert chat.masked_text(text, twice, spans) == ["234", "", ""]
+    assert chat.masked_text(text, whole[:0], spans) == ["", "", ""] and chat.masked_text(text, whole, spans[:0]) == []
+
+
 def test_chat_table_of_odd_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, None, None, "z"), (None, 0, "assistant", "q"), (2, 0, "assistant", "w " * 5000), (3, 0, "user", "a"), (3, 0, "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tokens", F.lit(1))
