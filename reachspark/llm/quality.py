@@ -32,6 +32,12 @@ def _share(part, whole) -> np.ndarray:
     return np.minimum(_BINS - 1, np.ceil(_BINS * np.sqrt(part / np.maximum(whole, 1)))).astype(np.int64)
 
 
+def _kinds(doc: np.ndarray, h: np.ndarray, count: int) -> np.ndarray:
+    """How many different hashes each document has; 44 bits tell those of one chunk apart."""
+    both = np.sort(doc.astype(np.int64) << 44 | (h >> np.uint64(20)).astype(np.int64))
+    return np.bincount(both[np.flatnonzero(np.r_[True, both[1:] != both[:-1]])] >> 44, minlength=count) if len(both) else np.zeros(count, np.int64)
+
+
 def features(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
     """How the text is written, in bins, and the ends of its words."""
     size = np.uint64((1 << pu.BITS) - 1)
@@ -52,8 +58,7 @@ def features(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]
         same = np.zeros(len(h))
         if len(h) > 1:
             same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-        kinds = np.unique(np.stack([doc.astype(np.uint64), h], axis=1), axis=0)[:, 0].astype(np.int64) if len(h) else doc
-        distinct = np.bincount(kinds, minlength=count)
+        distinct = _kinds(doc, h, count)
         # lines: how many, and how many repeat one of the same text
         gaps = np.zeros(len(h), dtype=bool)
         breaks = np.r_[0, np.cumsum(_LINES[w.buf])]
@@ -64,14 +69,12 @@ def features(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]
         lines = np.bincount(doc[gaps], minlength=count)
         with np.errstate(over="ignore"):
             place = np.arange(len(h)) - np.flatnonzero(gaps)[line] if len(h) else np.empty(0, np.int64)
-            sums = np.zeros(int(gaps.sum()), dtype=np.uint64)
-            np.add.at(sums, line, mix(h + place.astype(np.uint64)))
-        texts = np.unique(np.stack([doc[gaps].astype(np.uint64), sums], axis=1), axis=0)[:, 0].astype(np.int64) if len(h) else doc
+            sums = np.add.reduceat(mix(h + place.astype(np.uint64)), np.flatnonzero(gaps)) if len(h) else h
         shouted = ((upper >= 2) & (lower == 0)).astype(np.float64)
         marked = (symbols > 0).astype(np.float64)
         bins = [
             _share(by(upper), chars), _share(by(lower), chars), _share(by(digit), chars), _share(by(marks), chars), _share(by(symbols), chars),
-            _share(by(shouted), n), _share(by(marked), n), _share(by(same), n), _share(distinct, n), _share(lines - np.bincount(texts, minlength=count), lines),
+            _share(by(shouted), n), _share(by(marked), n), _share(by(same), n), _share(distinct, n), _share(lines - _kinds(doc[gaps], sums, count), lines),
             np.minimum(_BINS - 1, np.log2(n + 1)).astype(np.int64), np.minimum(_BINS - 1, chars / np.maximum(n, 1)).astype(np.int64), _share(lines, n),
             _share(by((digit == length).astype(np.float64)), n), _share(by((length > 20).astype(np.float64)), n),
         ]

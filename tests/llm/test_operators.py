@@ -313,12 +313,105 @@ def test_quality_on_real_rows(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
+def words_of(text, folded):
+    pattern = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+" if folded else rb"[^\x20\x09-\x0D]+"
+    raw = (text or "").encode()
+    return re.findall(pattern, re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw) if folded else raw)
+
+
+def test_toxicity_scores_match_plain_python(spark):
+    rows, labels, _ = labelled(21, 400)
+    rows += [(5000, None, "x", None, 1), (5001, "", None, None, None), (5002, "vile " * 4000 + "tree", "en", "s", 1), (5002, "Vileness! vileNESS, vilely\nvile-st", "en", "s", 2), (None, "cat", None, None, None)]
+    docs = frame(spark, rows).withColumnRenamed("lang", "score").withColumnRenamed("source", "part")  # names of ours
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert (model.weights != 0).sum() > 3 and 0.15 < model.prior < 0.6
+    expected = []
+    for d, t, *_ in rows:
+        words, total = words_of(t, True), set()
+        for cut in (1 << 30, 4, 5, 6):
+            often = {}
+            for w in words:
+                often[w[:cut]] = often.get(w[:cut], 0) + 1
+            for w, n in often.items():
+                total |= brute_ids(w, min(n, 3), cut)
+        z = model.bias + sum(float(model.weights[i]) for i in total)
+        expected.append((-1 if d is None else d, 1 / (1 + np.exp(-z))))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.score) for r in pu.score(docs, model, toxicity.features).collect()]
+    assert [d for d, _ in sorted(got)] == [d for d, _ in sorted(expected)]
+    assert np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(expected)], atol=1e-6)
+
+
+def poly(data, base):
+    """The word hash by its definition: a polynomial of the bytes modulo 2**64, mixed."""
+    power, total = 1, 0
+    for b in data:
+        total = (total + b * power) % (1 << 64)
+        power = power * (base | 1) % (1 << 64)
+    return int(text.mix(np.array([(total + len(data) * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0])
+
+
+def brute_ids(word, times, cut):
+    salt = {1 << 30: 0, 4: 1, 5: 2, 6: 3}[cut]
+    h = poly(word[:cut], 0x7C3D9A6F1B5E8A2D) >> 20
+    return {int(text.mix(np.array([h | (salt * 3 + k) << 44], np.uint64))[0]) >> (64 - pu.BITS) for k in range(1, times + 1)}
+
+
+def test_quality_scores_match_plain_python(spark):
+    rows = [(i, t, lang, s, n) for i, t, lang, s, n in documents(31, 60)]
+    rows += [(900, None, None, None, None), (901, "", None, None, None), (902, "word " * 30000, "en", "s", 1), (903, "!!! ??? ###", "en", "s", 1), (904, "SHOUT shout\nSHOUT shout\nline", "en", "s", 1), rows[3], (rows[3][0], "another text 12", "en", "s", 1)]
+    docs = frame(spark, rows).withColumnRenamed("lang", "set").withColumnRenamed("source", "ids")  # names of ours
+    labels = spark.createDataFrame([(r[0], int(i % 4 != 0)) for i, r in enumerate(rows) if r[0] is not None] + [(None, 1), (77777, 1)], "doc_id long, quality int")
+    out = quality.quality(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
+    assert quality.quality(docs.limit(0), labels).count() == 0
+    model = pu.train(docs, labels, "quality", quality.FOLDS, quality.HELD_OUT, quality.features, loss="sigmoid")
+    size = (1 << pu.BITS) - 1
+    bins = lambda part, whole: min(15, int(np.ceil(16 * np.sqrt(part / max(whole, 1)))))
+    expected = []
+    for d, t, *_ in rows:
+        words, raw = words_of(t, False), (t or "").encode()
+        n, chars = len(words), sum(map(len, words))
+        count = lambda *ranges: sum(any(a <= b <= z for a, z in ranges) for w in words for b in w)  # noqa: B023, E731
+        lines = [tuple(x) for x in (words_of(line.decode("utf-8", "replace"), False) for line in raw.split(b"\n")) if x]
+        symbol = [(35, 38), (42, 43), (60, 62), (64, 64), (92, 92), (94, 94), (124, 124), (126, 126)]
+        within = lambda w, *ranges: sum(any(a <= b <= z for a, z in ranges) for b in w)
+        low = [(97, 122), (128, 255)]
+        values = [
+            bins(count((65, 90)), chars), bins(count(*low), chars), bins(count((48, 57)), chars), bins(count((33, 47), (58, 64), (91, 96), (123, 126)), chars), bins(count(*symbol), chars),
+            bins(sum(within(w, (65, 90)) >= 2 and not within(w, *low) for w in words), n), bins(sum(within(w, *symbol) > 0 for w in words), n), bins(sum(a == b for a, b in zip(words, words[1:])), n),
+            bins(len(set(words)), n), bins(len(lines) - len(set(lines)), len(lines)), min(15, int(np.log2(n + 1))), min(15, int(chars / max(n, 1))), bins(len(lines), n),
+            bins(sum(within(w, (48, 57)) == len(w) for w in words), n), bins(sum(len(w) > 20 for w in words), n),
+        ]
+        found = {int(text.mix(np.array([k * 16 + b + 1], np.uint64))[0]) & size for k, b in enumerate(values)} | {poly(w[-3:], 0x7C3D9A6F1B5E8A2D) & size for w in words}
+        expected.append((-1 if d is None else d, 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[i]) for i in found))))))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.score) for r in pu.score(docs, model, quality.features).collect()]
+    assert np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(expected)], atol=1e-6)
+
+
+def test_prior_is_found_without_negatives():
+    r = np.random.default_rng(1)
+    for share in (0.1, 0.5, 0.85):
+        unlabelled = np.r_[r.normal(4, 1, int(3000 * share)), r.normal(0, 1, int(3000 * (1 - share)))]
+        assert abs(pu.prior_of(r.normal(4, 1, 1500), unlabelled) - share) < 0.05
+    assert pu.prior_of(np.empty(0), np.ones(3)) == 0.5
+
+
+def test_no_label_but_one_is_read(spark):
+    rows, labels, _ = labelled(22, 120)
+    scores = [{r.doc_id: r.score for r in toxicity.toxicity(frame(spark, rows), spark.createDataFrame(x, "doc_id long, toxic int")).collect()} for x in (labels, [x for x in labels if x[1]])]
+    assert scores[0] == scores[1]
+
+
 def test_non_negative_risk_learns_from_positives_and_unlabelled():
     r = np.random.default_rng(0)
     good = [np.array([1, *r.integers(10, 40, 3)]) for _ in range(200)]
     bad = [np.array([2, *r.integers(10, 40, 3)]) for _ in range(200)]
     for loss in ("logistic", "sigmoid"):
-        m = pu.fit([np.unique(x) for x in good[:100]], [np.unique(x) for x in good[100:] + bad[:100]], 0.5, loss=loss)
+        pos, unl = [np.unique(x) for x in good[:100]], [np.unique(x) for x in good[100:] + bad[:100]]
+        texts_with = lambda xs: np.bincount(np.concatenate(xs), minlength=1 << pu.BITS)
+        chosen = pu.select(texts_with(pos), texts_with(unl), len(pos), len(unl))
+        assert {1, 2} <= set(chosen.tolist())
+        m = pu.fit(pos, unl, chosen, 0.5, loss=loss)
         score = lambda xs: np.array([pu.sigmoid(m.bias + m.weights[np.unique(x)].sum()) for x in xs])  # noqa: B023, E731
         assert (score(good) >= 0.5).mean() > 0.95 and (score(bad) < 0.5).mean() > 0.95
 
