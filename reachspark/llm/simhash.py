@@ -217,6 +217,11 @@ def links(scratch: Scratch, distinct: DataFrame, distance: int = 4, blocks: int
     return out.unionByName(scratch.save(again, "tiles").select("a", "b")).distinct()
 
 
+def _near(table: DataFrame) -> DataFrame:
+    """One row for each component: broadcast up to BROADCAST_ROWS, so that a component of most rows isn't one task's; beyond, adaptive execution splits it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach.
 
@@ -230,8 +235,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, most:
     roots = components(scratch, links(scratch, distinct, distance, distance + 3, most))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = scratch.save(named.join(least, "root").select("fp", "component_id"), "classes")
-    scratch.drop("met", "tiles", "distinct")
+    of_fp = scratch.save(named.join(_near(scratch.save(least, "least")), "root").select("fp", "component_id"), "classes")
+    scratch.drop("met", "tiles", "distinct", "least")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -326,12 +331,13 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     fits = (F.col("an") >= similarity * F.col("bn")) & (F.col("bn") >= similarity * F.col("an"))
     rest = verified(one.join(two, "key").filter("ra < rb").filter(fits), "rest")
     roots = components(scratch, stars.unionByName(rest), "links")
+    roots = _near(scratch.save(roots, "roots"))
     of_row = rows.select("doc_id", "part", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "part", F.coalesce("root", "fp").alias("root"))
     of_row = scratch.save(of_row, "of-row")
     least = of_row.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "part")).alias("least"))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("part") == F.col("least.part"))
-    out = scratch.save(of_row.join(least, "root").select("doc_id", "part", kept.alias("kept")), "classes")
-    scratch.drop("rows", "met", "stars", "star-roots", "open", "rest", "of-row")
+    out = scratch.save(of_row.join(_near(scratch.save(least, "least")), "root").select("doc_id", "part", kept.alias("kept")), "classes")
+    scratch.drop("rows", "met", "stars", "star-roots", "open", "rest", "of-row", "least", "roots")
     return out
 
 
