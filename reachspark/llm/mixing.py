@@ -47,8 +47,10 @@ def schedule(weighted: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Block b of the source is number i = b mod w of cycle j = b div w; with first <= j <
     last its slot is start + (j - first) * size + slot. Sources are held in one array,
-    which their number bounds.
+    which their number bounds. S sources take some LARGEST * S**2 steps for each of their
+    2 S + 1 compositions, which are dealt out to as many tasks.
     """
+    sources = weighted.count()
     blocks = F.ceil(F.col("n") / block).cast("long")
     one = weighted.agg(F.array_sort(F.collect_list(F.struct("key", "w", blocks.alias("blocks")))).alias("src"))
     whole = lambda s: F.floor(s["blocks"] / s["w"]).cast("long")
@@ -59,14 +61,16 @@ def schedule(weighted: DataFrame, block: int = BLOCK) -> DataFrame:
     add = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
     parts = parts.withColumn("size", add(F.col("k"))).filter("size > 0")
     parts = parts.withColumn("start", add(F.transform("src", lambda s: F.least(s["blocks"], F.col("first") * s["w"]))))
-    # one slot after the other: of the released blocks that with the earliest deadline; ties go by name
+    # one slot after the other: of the released blocks that with the earliest deadline, ties by
+    # name; deadline and source are one number, deadline * sources + source
     picked = F.expr("""
         aggregate(sequence(0L, size - 1L), struct(transform(k, x -> 0L) as dealt, cast(array() as array<int>) as order),
-          (s, t) -> transform(array(array_min(filter(
-              transform(k, (x, i) -> if(x > s.dealt[i] and s.dealt[i] * size div x <= t, struct(((s.dealt[i] + 1) * size + x - 1) div x as due, i as i), null)),
-              y -> y is not null)).i), p -> struct(transform(s.dealt, (x, i) -> if(i = p, x + 1L, x)) as dealt, concat(s.order, array(p)) as order))[0],
+          (s, t) -> transform(array(cast(array_min(transform(k, (x, i) -> if(x > s.dealt[i] and s.dealt[i] * size div x <= t, (((s.dealt[i] + 1) * size + x - 1) div x) * size(k) + i, null))) % size(k) as int)),
+            p -> struct(transform(s.dealt, (x, i) -> if(i = p, x + 1L, x)) as dealt, concat(s.order, array(p)) as order))[0],
           s -> s.order)
     """)
+    # compositions are independent of each other: a task for each
+    parts = parts.repartition(max(1, 2 * sources + 1), "first")
     slots = parts.withColumn("order", picked).select("src", "first", "last", "size", "start", F.posexplode("order").alias("slot", "s"))
     rank = F.row_number().over(W.partitionBy("first", "s").orderBy("slot")) - 1
     return slots.withColumn("i", rank.cast("long")).select(F.expr("src[s].key").alias("key"), F.expr("src[s].w").alias("w"), "i", "first", F.coalesce("last", F.lit((1 << 62))).alias("last"), "start", "size", F.col("slot").cast("long").alias("slot"))
