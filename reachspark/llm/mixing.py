@@ -71,7 +71,8 @@ def schedule(weighted: DataFrame, block: int = BLOCK) -> DataFrame:
     """)
     # compositions are independent of each other: a task for each
     parts = parts.repartition(max(1, 2 * sources + 1), "first")
-    slots = parts.withColumn("order", picked).select("src", "first", "last", "size", "start", F.posexplode("order").alias("slot", "s"))
+    # outer, though no order is empty: else a filter is inferred that works the order out once more
+    slots = parts.withColumn("order", picked).select("src", "first", "last", "size", "start", F.posexplode_outer("order").alias("slot", "s"))
     rank = F.row_number().over(W.partitionBy("first", "s").orderBy("slot")) - 1
     return slots.withColumn("i", rank.cast("long")).select(F.expr("src[s].key").alias("key"), F.expr("src[s].w").alias("w"), "i", "first", F.coalesce("last", F.lit((1 << 62))).alias("last"), "start", "size", F.col("slot").cast("long").alias("slot"))
 
