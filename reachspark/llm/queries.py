@@ -17,12 +17,13 @@ QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
 }
 
-# Classifiers (1, 6) and XXH64 fingerprints (8) can't be stated in SQL; 7 is too slow there.
+# Classifiers (1, 6) and XXH64 fingerprints (8) can't be stated in SQL.
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_chat": chat.OP5_SQL,
+    "op7_substring_dedup": substring.OP7_SQL,
     "op9_licenses": licenses.OP9_SQL,
     "op10_neighbours": neighbours.OP10_SQL,
 }

@@ -5,13 +5,18 @@ A window is 13 consecutive words. Of the 5-word hashes in a window the least is
 five words. Equal windows have equal fingerprints, so a fingerprint that occurs in one
 document only needs no further look.
 
-``FingerprintIndex`` keeps the fingerprints of what it has seen as immutable runs:
-tables bucketed and sorted by fingerprint. ``ingest`` writes a batch as a new run and
-merge-joins it with the older ones bucket by bucket, without a shuffle. What meets is
-verified in two steps with 128-bit hashes of the words themselves: whole segments first
-(equal inside a repeated passage), then single windows where segments of one
-fingerprint differ (at a passage's ends). When there are too many runs, they are
-compacted into one.
+``FingerprintIndex`` keeps what it has seen as immutable runs: tables bucketed and sorted
+by fingerprint, with a row for each different segment: its fingerprint, a hash of all its
+words, and the first document that has it. ``ingest`` writes a batch as a new run and
+merge-joins it with the older ones bucket by bucket, without a shuffle:
+
+* where all segments of a fingerprint are equal, in the new run and the old ones, the
+  run itself verifies all their windows, by 128 bits over the words themselves;
+* where they differ (at a passage's ends) single windows are compared, again by 128 bits.
+  The windows of older batches are made from the first documents of such segments only;
+  no other old text is looked at again.
+
+When there are too many runs, they are compacted into one.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ import hashlib
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import PART, Scratch, bitmap, in_bitmap
 from .text import SPACED, chunks, grams, signed, sliding_min
@@ -55,36 +60,52 @@ def _segments(w):
     return h, fp[new], at[new], n, doc[new]
 
 
+def _whole(h, at, n):
+    """A hash of all words of each segment."""
+    return any_length(h, at, at + n + WINDOW - 1) if len(h) < (1 << 22) else _piecewise(h, at, at + n + WINDOW - 1)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(h, doc_id) once for each segment."""
+    """(h, seg, low, high): each segment once for some MB of text, with the least and greatest document that have it there.
+
+    A passage that most documents have is therefore a few rows for each of these pieces,
+    however many documents they are.
+    """
 
     def run(batches):
         for batch in batches:
             ids = batch[0].to_numpy(zero_copy_only=False)
             for w in chunks(batch[1], SPACED):
-                if (found := _segments(w)) is not None:
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(signed(found[1])), "doc_id": pa.array(ids[w.rows.start + found[4]])})
+                if (found := _segments(w)) is None:
+                    continue
+                h, fp, at, n, doc = found
+                seg, owner = _whole(h, at, n), ids[w.rows.start + doc]
+                order = np.lexsort((owner, seg, fp))
+                fp, seg, owner = fp[order], seg[order], owner[order]
+                new = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (seg[1:] != seg[:-1])])
+                yield pa.RecordBatch.from_pydict({"h": pa.array(signed(fp[new])), "seg": pa.array(signed(seg[new])), "low": pa.array(owner[new]), "high": pa.array(owner[np.r_[new[1:], len(fp)] - 1])})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, seg long, low long, high long")
 
 
 def _segment_rows(docs: DataFrame, bits) -> DataFrame:
+    """(h, doc_id, part, pos, n) of the segments whose fingerprint is in the bitmap."""
+
     def run(batches):
         for batch in batches:
             ids, keys = batch[0].to_numpy(zero_copy_only=False), batch[1].to_numpy(zero_copy_only=False)
             for w in chunks(batch[2], SPACED):
                 if (found := _segments(w)) is None:
                     continue
-                h, fp, at, n, doc = found
+                _, fp, at, n, doc = found
                 keep = in_bitmap(bits.value, fp)
                 if not keep.any():
                     continue
                 fp, at, n, doc = fp[keep], at[keep], n[keep], doc[keep]
                 row = w.rows.start + doc
-                seg = any_length(h, at, at + n + WINDOW - 1) if len(h) < (1 << 22) else _piecewise(h, at, at + n + WINDOW - 1)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(signed(fp)), "seg": pa.array(signed(seg)), "doc_id": pa.array(ids[row]), "part": pa.array(keys[row]), "pos": pa.array((at - w.first[doc]).astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"h": pa.array(signed(fp)), "doc_id": pa.array(ids[row]), "part": pa.array(keys[row]), "pos": pa.array((at - w.first[doc]).astype(np.int32)), "n": pa.array(n.astype(np.int32))})
 
-    return docs.select("doc_id", "part", "text").mapInArrow(run, "h long, seg long, doc_id long, part int, pos int, n int")
+    return docs.select("doc_id", "part", "text").mapInArrow(run, "h long, doc_id long, part int, pos int, n int")
 
 
 def _piecewise(h, starts, ends):
@@ -92,9 +113,14 @@ def _piecewise(h, starts, ends):
     return np.concatenate([any_length(h[a : b], np.zeros(1, np.int64), np.array([b - a])) for a, b in zip(starts, ends, strict=True)])
 
 
-def _window_rows(docs: DataFrame, bits) -> DataFrame:
+def _window_rows(docs: DataFrame, bits, only=None) -> DataFrame:
+    """(h, win, doc_id, part, pos) of the windows whose fingerprint is in the bitmap; with ``only``, of documents whose id is in that one."""
+
     def run(batches):
         for batch in batches:
+            if only is not None:
+                wanted = in_bitmap(only.value, batch[0].to_numpy(zero_copy_only=False).view(np.uint64))
+                batch = batch.filter(pa.array(wanted))
             ids, keys = batch[0].to_numpy(zero_copy_only=False), batch[1].to_numpy(zero_copy_only=False)
             for w in chunks(batch[2], SPACED):
                 h, least, ok = _windows(w)
@@ -109,14 +135,12 @@ def _window_rows(docs: DataFrame, bits) -> DataFrame:
     return docs.select("doc_id", "part", "text").mapInArrow(run, "h long, win long, doc_id long, part int, pos int")
 
 
-@F.udf(T.ArrayType(T.IntegerType()), useArrow=True)
-def _merged(pos, n):
-    """Covered words as first, end, first, end ...; a window covers 13 words."""
-    order = np.argsort(pos, kind="stable")
-    a = np.asarray(pos)[order]
-    b = np.maximum.accumulate(a + np.asarray(n)[order] + WINDOW - 1)
-    new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
-    return np.stack([a[new], b[np.r_[new[1:] - 1, len(b) - 1]]], axis=1).ravel().tolist()
+def _joined_up(cover):
+    """Covered words as first, end, first, end ..., from sorted (pos, end) of what covers them."""
+    whole = lambda s: F.concat(s["done"], F.when(s["end"] > 0, F.array(s["pos"], s["end"])).otherwise(F.array().cast("array<int>")))
+    none = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("pos"), F.lit(0).alias("end"))
+    step = lambda s, x: F.when(x["pos"] <= s["end"], F.struct(s["done"], s["pos"], F.greatest(s["end"], x["end"]).alias("end"))).otherwise(F.struct(whole(s).alias("done"), x["pos"].alias("pos"), x["end"].alias("end")))
+    return F.aggregate(cover, none, step, whole)
 
 
 def _with_part(docs: DataFrame) -> DataFrame:
@@ -131,68 +155,90 @@ class FingerprintIndex:
         self.scratch = Scratch(spark, "substring")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        self.batches = 0
+        self.texts: list[DataFrame] = []
 
     def _write_run(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        dealt = rows.repartition(self.buckets, "h")
-        dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.scratch.path}/{name}").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.scratch.path}/{name}").saveAsTable(name)
         return name
 
-    def _meets(self, run: str) -> DataFrame:
-        """Fingerprints of ``run`` that occur in another of its documents or in an older run."""
-        own = self.spark.table(run).groupBy("h").agg((F.min("doc_id") < F.max("doc_id")).alias("meets"))
-        for old in self.runs:
-            seen = self.spark.table(old).groupBy("h").agg(F.lit(True).alias("seen"))
-            own = own.join(seen.hint("merge"), "h", "left").select("h", (F.col("meets") | F.coalesce("seen", F.lit(False))).alias("meets"))
-        return own.filter("meets").select("h")
+    def _met(self, run: str) -> DataFrame:
+        """(h, owner, differ): fingerprints of ``run`` that another document has too, and whether its segments differ.
+
+        ``owner`` is the first document, _EARLIER if an older run has the fingerprint.
+        """
+        same, seen = F.col("low") == F.col("high"), F.lit(False)
+        own = self.spark.table(run).groupBy("h").agg(F.min("seg").alias("low"), F.max("seg").alias("high"), F.min("owner").alias("owner"), F.max("last").alias("last"))
+        for i, old in enumerate(self.runs):
+            other = self.spark.table(old).groupBy("h").agg(F.min("seg").alias(f"low{i}"), F.max("seg").alias(f"high{i}"))
+            own = own.join(other.hint("merge"), "h", "left")
+            same = same & F.coalesce((F.col(f"low{i}") == F.col("low")) & (F.col(f"high{i}") == F.col("low")), F.lit(True))
+            seen = seen | F.col(f"low{i}").isNotNull()
+        met = own.select("h", F.when(seen, F.lit(_EARLIER)).otherwise(F.col("owner")).alias("owner"), (~same).alias("differ"), (seen | (F.col("owner") < F.col("last"))).alias("again"))
+        return met.filter("again").drop("again")
+
+    def _owners(self, ends) -> DataFrame:
+        """First documents of the segments in the runs whose fingerprint is in the bitmap."""
+
+        def run(batches):
+            for batch in batches:
+                wanted = in_bitmap(ends.value, batch[0].to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_pydict({"owner": pa.array(np.unique(batch[1].to_numpy(zero_copy_only=False)[wanted]))})
 
-    def ingest(self, batch: DataFrame, archive: DataFrame | None = None) -> DataFrame:
+        rows = None
+        for name in self.runs:
+            one = self.spark.table(name).select("h", "owner").mapInArrow(run, "owner long")
+            rows = one if rows is None else rows.unionByName(one)
+        return rows.distinct()
+
+    def ingest(self, batch: DataFrame) -> DataFrame:
         """Take in ``batch``; of its rows give (doc_id, part, spans) where words are covered by repeated windows.
 
-        A window is repeated if it starts in a document of an earlier batch (``archive``
-        holds their texts) or in one of this batch with a smaller doc_id. Rows with a null
-        id are neither owners nor changed.
+        A window is repeated if it starts in a document of an earlier batch or in one of
+        this batch with a smaller doc_id. Rows with a null id are neither owners nor
+        changed. The index keeps the batch's DataFrame, which must stay readable.
         """
-        k = self.batches
+        if len(self.runs) > self.fanout:
+            self.compact()
+        k = len(self.texts)
         batch = _with_part(batch).filter("doc_id is not null")
-        run = self._write_run(fingerprints(batch))
-        bits = bitmap(self.spark, self.scratch.save(self._meets(run), f"{k}-meets"), "h")
-        earlier = None
-        if archive is not None and self.runs:
-            earlier = _with_part(archive).filter("doc_id is not null").withColumn("doc_id", F.lit(_EARLIER))
-        texts = batch if earlier is None else batch.unionByName(earlier)
-
-        rows = self.scratch.save(_segment_rows(texts, bits), f"{k}-segments")
-        owners = self.scratch.save(rows.groupBy("h", "seg").agg(F.min("doc_id").alias("owner"), (F.min("doc_id") < F.max("doc_id")).alias("again")), f"{k}-owners")
-        covered = rows.filter(F.col("doc_id") > _EARLIER).join(owners.filter("again"), ["h", "seg"]).filter("doc_id > owner").select("doc_id", "part", "pos", "n")
-
-        differ = owners.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
-        ends = bitmap(self.spark, differ, "h")
-        rows = self.scratch.save(_window_rows(texts, ends), f"{k}-windows")
+        dealt = fingerprints(batch).repartition(self.buckets, "h").groupBy("h", "seg").agg(F.min("low").alias("owner"), F.max("high").alias("last"))
+        run = self._write_run(dealt)
+        met = self.scratch.save(self._met(run), f"{k}-met")
+        repeated = met.filter("not differ").select("h", "owner")
+        bits, ends = bitmap(self.spark, repeated, "h"), bitmap(self.spark, met.filter("differ"), "h")
+        covered = _segment_rows(batch, bits).join(repeated, "h").filter("doc_id > owner").select("doc_id", "part", "pos", "n")
+
+        rows, only = _window_rows(batch, ends), None
+        if self.runs:
+            only = bitmap(self.spark, self._owners(ends), "owner")
+            for texts in self.texts:
+                rows = rows.unionByName(_window_rows(texts, ends, only).withColumn("doc_id", F.lit(_EARLIER)))
+        rows = self.scratch.save(rows, f"{k}-windows")
         owners = rows.groupBy("h", "win").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
         owners = self.scratch.save(owners, f"{k}-window-owners")  # so that both sides of the join are dealt out for it, and a frequent window can be split
         single = rows.filter(F.col("doc_id") > _EARLIER).join(owners, ["h", "win"]).filter("doc_id > owner").select("doc_id", "part", "pos", F.lit(1).alias("n"))
 
-        spans = covered.unionByName(single).groupBy("doc_id", "part").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
-        spans = self.scratch.save(spans.select("doc_id", "part", _merged("pos", "n").alias("spans")), f"{k}-spans")
-        for used in (bits, ends):
-            used.unpersist()
-        self.scratch.drop(*[f"{k}-{t}" for t in ("meets", "segments", "owners", "windows", "window-owners")])
+        cover = F.array_sort(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n") + WINDOW - 1).alias("end"))))
+        spans = covered.unionByName(single).groupBy("doc_id", "part").agg(cover.alias("cover")).select("doc_id", "part", _joined_up(F.col("cover")).alias("spans"))
+        spans = self.scratch.save(spans, f"{k}-spans")
+        for used in (bits, ends, only):
+            if used is not None:
+                used.unpersist()
+        self.scratch.drop(*[f"{k}-{t}" for t in ("met", "windows", "window-owners")])
         self.runs.append(run)
-        self.batches += 1
-        if len(self.runs) > self.fanout:
-            self.compact()
+        self.texts.append(batch)
         return spans
 
     def compact(self) -> None:
-        """One run in place of all, with the first document of each fingerprint."""
+        """One run in place of all, with the first document of each segment."""
         rows = None
         for name in self.runs:
             one = self.spark.table(name)
             rows = one if rows is None else rows.unionByName(one)
-        merged = self._write_run(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")))
-        old, self.runs = self.runs, [merged]
+        # dealt out anew: a union of bucketed tables must not be taken to lie in their buckets
+        merged = rows.repartition(self.buckets, "h").groupBy("h", "seg").agg(F.min("owner").alias("owner"), F.max("last").alias("last"))
+        old, self.runs = self.runs, [self._write_run(merged)]
         self._delete(old)
 
     def _delete(self, runs: list[str]) -> None:
@@ -225,8 +271,8 @@ def _keep(w, i: int, spans) -> tuple[int, int, bytes]:
     return b - a, int((cut[:, 1] - cut[:, 0]).sum()), b" ".join(left)
 
 
-def repeated_spans(docs: DataFrame, batches: int = 2, fanout: int = 4) -> DataFrame:
-    """Spans of all documents, taken in as ``batches`` batches of ascending doc_id."""
+def repeated_spans(docs: DataFrame, batches: int = 3, fanout: int = 1) -> DataFrame:
+    """Spans of all documents, taken in as ``batches`` batches of ascending doc_id, with a compaction when there are over ``fanout`` runs."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, fanout=fanout)
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
@@ -236,13 +282,13 @@ def repeated_spans(docs: DataFrame, batches: int = 2, fanout: int = 4) -> DataFr
     spans = None
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
-            found = index.ingest(docs.filter(F.col("doc_id").between(a, b - 1)), docs.filter(F.col("doc_id") < a) if index.runs else None)
+            found = index.ingest(docs.filter(F.col("doc_id").cast("long").between(a, b - 1)))
             spans = found if spans is None else spans.unionByName(found)
     index.close()
     return spans
 
 
-def drop_repeated(docs: DataFrame, batches: int = 2, digest: bool = False) -> DataFrame:
+def drop_repeated(docs: DataFrame, batches: int = 3, digest: bool = False) -> DataFrame:
     """``docs`` without the words that 13-word windows of smaller documents cover.
 
     The columns of ``docs`` stay; a changed text is its kept words joined by one space, and
@@ -267,15 +313,16 @@ def drop_repeated(docs: DataFrame, batches: int = 2, digest: bool = False) -> Da
 
         return with_spans.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
-    @F.udf("string", useArrow=True)
-    def kept(text, spans):
-        if text is None or spans is None:  # a UDF sees every row, whatever its branch
-            return text
-        for w in chunks(pa.array([text], pa.string()), SPACED):
-            return _keep(w, 0, spans)[2].decode()
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, cut in zip(text, spans, strict=True):
+            out.append(None if t is None else next(_keep(w, 0, cut.tolist())[2].decode() for w in chunks(pa.array([t], pa.string()), SPACED)))
+        return pd.Series(out, dtype="object")
 
     changed = F.col("spans").isNotNull()
-    out = with_spans.withColumn("text", F.when(changed, kept("text", "spans")).otherwise(F.col("text")))
+    # only changed texts are handed to Python
+    out = with_spans.withColumn("text", F.coalesce(kept(F.when(changed, F.col("text")), "spans"), "text"))
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("whole.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[new.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
 
@@ -284,6 +331,24 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return drop_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
 
 
+OP7_SQL = r"""
+with doc as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+  select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as x from (select r, doc_id, w, unnest(generate_series(1, len(w) - 12)) as i from doc where len(w) >= 13 and doc_id is not null)
+), owned as (
+  select x, min(doc_id) as owner from win group by x
+), gone as (
+  select distinct r, unnest(generate_series(i, i + 12)) as i from win join owned using (x) where owner < doc_id
+), word as (
+  select r, unnest(w) as word, generate_subscripts(w, 1) as i from doc
+), kept as (
+  select r, count(*) filter (where gone.i is not null) as n_removed, string_agg(word, ' ' order by word.i) filter (where gone.i is null) as text from word left join gone using (r, i) group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from doc left join kept using (r)
+"""
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from all but the first document that has them; every document stays."""
     return drop_repeated(docs)

@@ -200,7 +200,7 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 3, 6])
 def test_substring_matches_brute_force(spark, batches):
     rows = documents(2)
     rows += [rows[10], (rows[10][0], "another text of the same id " * 4, "en", "s", 1)]
@@ -216,6 +216,28 @@ def test_substring_index_compacts_and_still_finds(spark):
     assert removed == {d: n for d, _, n, _ in brute_repeats([r[:2] for r in rows]) if n}
 
 
+def test_substring_index_needs_nothing_but_the_batches(spark):
+    said = " ".join(f"w{i}" for i in range(20))
+    index = substring.FingerprintIndex(spark)
+    first = index.ingest(frame(spark, [(1, said, "en", "s", 1), (3, "before " + said + " after", "en", "s", 1)])).collect()
+    # a passage's ends, too, are told from the windows of earlier batches
+    second = index.ingest(frame(spark, [(2, said, "en", "s", 1), (4, "x " * 9 + " ".join(said.split()[3:18]) + " y" * 9, "en", "s", 1), (None, said, "en", "s", 1)])).collect()
+    index.close()
+    assert [(r.doc_id, list(r.spans)) for r in first] == [(3, [1, 21])]
+    assert sorted((r.doc_id, list(r.spans)) for r in second) == [(2, [0, 20]), (4, [9, 24])]
+
+
+def test_substring_sql_is_the_brute_force(spark):
+    import duckdb
+
+    rows = documents(6)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in rows])
+    got = sorted((-1 if d is None else d, n, g, k) for d, n, g, k in con.execute(substring.OP7_SQL).fetchall())
+    assert got == brute_repeats([r[:2] for r in rows])
+
+
 def test_substring_keeps_other_columns(spark):
     rows = [(1, "a b c d e f g h i j k l m n", 7, "x"), (2, "z a b c d e f g h i j k l m n", 8, "y"), (3, "own   words", 9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int, whole string")
