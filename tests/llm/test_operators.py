@@ -138,24 +138,14 @@ def test_simhash_forest_of_a_large_place():
     assert len(a) == len(fp) - 1 and (np.bitwise_count(a ^ b) <= 4).all()
 
 
-def test_near_copies_match_exact_jaccard(spark):
-    r = random.Random(5)
-    rows = [(i, t, "en", "s", 0) for i, (_, t, *_) in enumerate(documents(6, 40)) if t]
-    long = [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(12)]
-    for k, t in enumerate(long):  # some 0.8 to 0.95 alike, so mostly beyond 4 bits
-        rows.append((1000 + k, t, "en", "s", 0))
-        for j in range(3):
-            w = t.split()
-            for at in r.sample(range(200), j + 1 + k % 3):
-                w[at] = "changed"
-            rows.append((2000 + 10 * k + j, " ".join(w), "en", "s", 0))
-    rows += [(5000, "", "en", "s", 0), (5001, None, "en", "s", 0), (5002, "a b", "en", "s", 0), (5003, "A  b", "en", "s", 0)]
+def brute_near_copies(rows):
+    """Which rows name the groups of texts whose five-word shingles are 0.8 alike, by all pairs; a null id comes last."""
 
     def shingles(t):
-        w = folded(t).split() if t else []
+        w = spaced(folded(t)) if t else []
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    sets = [shingles(x[1]) for x in rows]
+    sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def top(i):
@@ -165,9 +155,25 @@ def test_near_copies_match_exact_jaccard(spark):
 
     for i, j in itertools.combinations(range(len(rows)), 2):
         if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            a, b = sorted((top(i), top(j)), key=lambda x: rows[x][0])
+            a, b = sorted((top(i), top(j)), key=lambda x: (rows[x][0] is None, rows[x][0] or 0))
             root[b] = a
-    expected = {x[0] for i, x in enumerate(rows) if top(i) == i}
+    return [i for i in range(len(rows)) if top(i) == i]
+
+
+def test_near_copies_match_exact_jaccard(spark):
+    r = random.Random(5)
+    rows = [(i, t, "en", "s", 0) for i, (_, t, *_) in enumerate(documents(6, 40)) if t]
+    long = [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(12)]
+    for k, t in enumerate(long):  # some 0.8 to 0.95 alike, so mostly beyond 4 bits
+        rows.append((1000 + k, t, "en", "s", 0))
+        for j in range(3):
+            w = t.split()
+            for at in r.sample(range(200), j + 1 + k % 3):
+                w[at] = "changed"
+            rows.append((2000 + 10 * k + j, " ".join(w), "en", "s", 0))
+    rows += [(5000, "", "en", "s", 0), (5001, None, "en", "s", 0), (5002, "a b", "en", "s", 0), (5003, "A  b", "en", "s", 0)]
+
+    expected = {rows[i][0] for i in brute_near_copies([x[:2] for x in rows])}
     docs = frame(spark, rows).repartition(3)
     assert {x.doc_id for x in simhash.stage(spark, docs, "").collect()} == expected
     assert expected < {x.doc_id for x in simhash.near_duplicates(docs).collect() if x.doc_id == x.component_id}

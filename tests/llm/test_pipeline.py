@@ -1,5 +1,6 @@
 """The pipeline's stages, each against brute force over what the one before it kept."""
 
+import hashlib
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from reachspark.llm import toxicity
 
-from .test_operators import DOCS, brute_contamination, brute_repeats, brute_simhash, documents, frame, labelled, spaced
+from .test_operators import DOCS, brute_contamination, brute_near_copies, brute_repeats, documents, frame, labelled, spaced
 
 
 @pytest.fixture(scope="module")
@@ -41,15 +42,16 @@ def test_each_stage_on_what_the_one_before_kept(spark, folder, tmp_path):
             gone = {r.doc_id for r in scored if r.predicted}
             assert gone and sorted(after, key=key) == sorted((r for r in before if r[0] not in gone), key=key)
         elif name == "simhash_near_dedup":
-            kept = {d for d, _, c in brute_simhash([r[:2] for r in before]) if d == -1 or d == c}
-            assert len(after) < len(before) and sorted(after, key=key) == sorted((r for r in before if (-1 if r[0] is None else r[0]) in kept), key=key)
+            assert len(after) < len(before) and sorted(after, key=key) == sorted((before[i] for i in brute_near_copies([r[:2] for r in before])), key=key)
         elif name == "substring_dedup":
             removed = {d: n for d, _, n, _ in brute_repeats([r[:2] for r in before])}
+            kept = {d: sha for d, _, _, sha in brute_repeats([r[:2] for r in before])}
             assert sum(removed.values()) > 0 and len(after) == len(before)
             old = {r[0]: r for r in before}
             for r in after:
                 n = removed[-1 if r[0] is None else r[0]]
                 assert r == old[r[0]] if not n else len(spaced(r[1])) == len(spaced(old[r[0]][1])) - n and r[4] == len(r[1])
+                assert not n or hashlib.sha256(r[1].encode()).hexdigest() == kept[-1 if r[0] is None else r[0]]  # the very words that stay
         elif name == "benchmark_decontamination":
             bad = {d for d, *_, c in brute_contamination([r[:2] for r in before], items) if c}
             assert sorted(after, key=key) == sorted((r for r in before if r[0] not in bad), key=key)
