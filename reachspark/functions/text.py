@@ -82,3 +82,14 @@ def breaks_class(value: Column, breaks: list[float]) -> Column:
     for k, b in enumerate(breaks):
         out = out.when(value <= b, k)
     return out.otherwise(len(breaks))
+
+
+def iso_day(text: Column) -> Column:
+    """The first ten characters of a text that begins like 2024-01-31, else null."""
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(text, 1, 10))
+
+
+def choice(said: Column, known: list[str], fallback: str) -> tuple[Column, Column]:
+    """A choice and the number it names: "one:12" is one of number 12; a text that isn't known is the fallback."""
+    number = F.nullif(F.regexp_extract(said, "^one:([0-9]+)$", 1), F.lit("")).cast("long")
+    return F.when(number.isNotNull(), "one").when(said.isin(known), said).otherwise(fallback), number

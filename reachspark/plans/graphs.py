@@ -8,23 +8,12 @@ from reachspark.operators import graphs, measures, spatial
 from reachspark.plans.registry import query
 
 
-def _checkpoints(t):
-    """A checkpoint folder only where the session has none."""
-    context = t.spark.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reachspark-"))
-
-
 @query("cells destinations", """
-select cell, service, min(sqrt((cells.x - d.x) * (cells.x - d.x) + (cells.y - d.y) * (cells.y - d.y))) as metres from cells, destinations d where service in ('Brand#1', 'Brand#2') group by cell, service
-""", (199, 200, 203, 204))
+select cell, service, min(sqrt((cells.x - d.x) * (cells.x - d.x) + (cells.y - d.y) * (cells.y - d.y))) as metres from cells, destinations d group by cell, service
+""", (199, 204))
 def nearest_straight(t):
-    _checkpoints(t)
-    wanted = ["Brand#1", "Brand#2"]
-    cells = t.cells().select("cell", "x", "y", F.explode(F.array(*[F.lit(s) for s in wanted])).alias("service"))
-    targets = t.destinations().filter(F.col("service").isin(wanted)).select("id", "service", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    cells = t.cells().select("cell", "x", "y", F.explode(F.array(*[F.lit(s) for s in t.services()])).alias("service"))
+    targets = t.destinations().select("id", "service", F.col("x").alias("tx"), F.col("y").alias("ty"))
     return spatial.nearest(cells, targets, ["cell", "service"], "id", 800.0, 15_000.0, on=("service",)).select("cell", "service", F.col("d").alias("metres"))
 
 
@@ -54,7 +43,6 @@ r(node, root) as (select u, u from p union select p.v, r.root from r join p on p
 select node, min(root) as root from r group by node
 """, (201, 177, 228, 246), recursive=True)
 def near_duplicates(t):
-    _checkpoints(t)
     d = t.destinations().select("id", "service", "x", "y")
     other = d.select(F.col("id").alias("b"), F.col("service").alias("s"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     pairs = spatial.within(d, other, 900.0).filter("service = s and id != b")
@@ -68,63 +56,78 @@ def haversine(t):
     return t.cells().select("cell", F.round(spatial.haversine_km(F.lit(174.7), F.lit(-36.8), F.col("x") / 1000 + 170, F.col("y") / 1000 - 36), 6).alias("km"))
 
 
+KINDS = ["gp", "school", "shop"]
+
+
 def _errands(t):
-    p = t.pairs().filter("mode = 'pt'").groupBy(F.col("origin").alias("cell"), F.col("service").alias("kind"), F.col("destination").alias("stop")).agg(F.min("minutes").alias("minutes"))
-    home = graphs.candidates(p.filter(F.col("kind").isin("Brand#1", "Brand#2", "Brand#3")), ["cell", "kind"], 3)
-    ids = t.destinations().filter(F.col("service").isin("Brand#1", "Brand#2", "Brand#3")).select("id")
+    """Every service is one of three kinds of errand; a cell's candidates are its three nearest stops of each, links those between them."""
+    number = F.regexp_extract("service", r"(\d+)$", 1).cast("int")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), number % 3 + 1)
+    p = t.pairs().filter("mode = 'pt'").groupBy(F.col("origin").alias("cell"), kind.alias("kind"), F.col("destination").alias("stop")).agg(F.min("minutes").alias("minutes"))
+    home = graphs.candidates(p, ["cell", "kind"], 3)
     a, b = F.col("a"), F.col("b")
-    # links between stops that share a last digit: an equality, as stops of one part of town
-    left = ids.select(F.col("id").alias("a"), (F.col("id") % 2).alias("g"))
-    return home, left.join(left.select(F.col("a").alias("b"), "g"), "g").filter("a != b").select("a", "b", (1 + (a * 31 + b * 17) % 20).cast("int").alias("minutes"))
+    meet = home.select("cell", F.col("kind").alias("k"), F.col("stop").alias("a")).join(home.select("cell", "kind", F.col("stop").alias("b")), "cell").filter("k != kind and a != b")  # nine candidates a cell
+    return home, meet.select("a", "b").distinct().select("a", "b", (1 + (a * 31 + b * 17) % 20).cast("int").alias("minutes"))
 
 
-_ERRAND = """p as (select origin as cell, service as kind, destination as stop, min(minutes) as minutes from pairs where mode = 'pt' and service in ('Brand#1', 'Brand#2', 'Brand#3') group by all),
+_ERRAND = """p as (select origin as cell, case cast(regexp_extract(service, '(\\d+)$', 1) as int) % 3 when 0 then 'gp' when 1 then 'school' else 'shop' end as kind, destination as stop, min(minutes) as minutes from pairs where mode = 'pt' group by all),
 home as (select * exclude k from (select *, row_number() over (partition by cell, kind order by minutes, stop) as k from p) where k <= 3),
-ids as (select id from destinations where service in ('Brand#1', 'Brand#2', 'Brand#3')),
-links as (select a.id as a, b.id as b, cast(1 + (a.id * 31 + b.id * 17) % 20 as int) as minutes from ids a join ids b on a.id % 2 = b.id % 2 and a.id <> b.id),
-two as (select h1.cell, h1.kind as k1, h2.kind as k2, h1.minutes + links.minutes + h2.minutes as total, greatest(h1.minutes, links.minutes, h2.minutes) as longest from home h1 join home h2 on h1.cell = h2.cell join links on a = h1.stop and b = h2.stop),
-three as (select h1.cell, h1.kind as k1, h2.kind as k2, h3.kind as k3, h1.minutes + l1.minutes + l2.minutes + h3.minutes as total, greatest(h1.minutes, l1.minutes, l2.minutes, h3.minutes) as longest
-  from home h1 join home h2 on h1.cell = h2.cell join home h3 on h1.cell = h3.cell join links l1 on l1.a = h1.stop and l1.b = h2.stop join links l2 on l2.a = h2.stop and l2.b = h3.stop)"""
+link as (select h1.cell, h1.kind as k1, h2.kind as k2, h1.stop as a, h2.stop as b, h1.minutes as out, h2.minutes as back, cast(1 + (h1.stop * 31 + h2.stop * 17) % 20 as int) as leg from home h1 join home h2 on h1.cell = h2.cell and h1.kind <> h2.kind and h1.stop <> h2.stop)"""
 
 
 @query("pairs", "with " + _ERRAND + """
-select cell, 'Brand#1+Brand#2' as set, cast(leg_limit as int) as leg_limit, min(total) as minutes from two, (select unnest([20, 40]) as leg_limit) where (k1, k2) in (('Brand#1', 'Brand#2'), ('Brand#2', 'Brand#1')) and longest <= leg_limit group by cell, leg_limit
+select cell, least(k1, k2) || '+' || greatest(k1, k2) as set, cast(leg_limit as int) as leg_limit, min(out + leg + back) as minutes from link, (select unnest([20, 40]) as leg_limit) where greatest(out, leg, back) <= leg_limit group by all
 """, (362, 377, 378, 388, 391, 392, 393, 505))
 def errand_round_2(t):
     home, links = _errands(t)
-    return graphs.rounds(home, links, graphs.orders(("Brand#1", "Brand#2"), {}), [20, 40])
+    return graphs.rounds(home, links, graphs.sequences(t.spark, KINDS, 2, {}), 2, [20, 40])
 
 
 @query("pairs", "with " + _ERRAND + """
-select cell, 'Brand#1+Brand#2+Brand#3' as set, cast(leg_limit as int) as leg_limit, min(total) as minutes from three, (select unnest([20, 40]) as leg_limit)
-where (k1, k2, k3) in (('Brand#1', 'Brand#2', 'Brand#3'), ('Brand#1', 'Brand#3', 'Brand#2'), ('Brand#3', 'Brand#1', 'Brand#2')) and longest <= leg_limit group by cell, leg_limit
+select l.cell, 'gp+school+shop' as set, cast(leg_limit as int) as leg_limit, min(l.out + l.leg + m.leg + m.back) as minutes from link l join link m on l.cell = m.cell and l.k2 = m.k1 and l.b = m.a and l.k1 <> m.k2, (select unnest([20, 40]) as leg_limit)
+where (l.k1, l.k2, m.k2) in (('gp', 'school', 'shop'), ('gp', 'shop', 'school'), ('shop', 'gp', 'school')) and greatest(l.out, l.leg, m.leg, m.back) <= leg_limit group by all
 """, (391, 394, 337, 345))
 def errand_round_3(t):
     home, links = _errands(t)
-    return graphs.rounds(home, links, graphs.orders(("Brand#1", "Brand#2", "Brand#3"), {"Brand#2": "Brand#1"}), [20, 40])
+    return graphs.rounds(home, links, graphs.sequences(t.spark, KINDS, 3, {"school": "gp"}), 3, [20, 40])
 
 
 _EDGE = "edge as (select p_partkey as src, (p_partkey * 7 + 1) % n as dst, p_size as len from part, (select count(*) as n from part) union all select p_partkey, (p_partkey + 1) % n, p_size + 3 from part, (select count(*) as n from part))"
 
 
-@query("", "with recursive " + _EDGE + """, walk(source, node, cost, hops) as (select p_partkey, p_partkey, 0, 0 from part where p_partkey % 100 = 0 union select source, dst, cost + len, hops + 1 from walk join edge on src = node where cost + len <= 60 and hops < 6)
+@query("", "with recursive " + _EDGE + """, walk(source, node, cost) as (select p_partkey, p_partkey, 0 from part union select source, dst, cost + len from walk join edge on src = node where cost + len <= 30)
 select source, node, cast(min(cost) as double) as cost from walk group by source, node
-""", (396, 398, 399))
+""", (398,))
 def shortest_path_bounded(t):
-    p = t.raw("part")
-    return graphs.shortest(_edges(t), p.filter(F.col("p_partkey") % 100 == 0).select(F.col("p_partkey").alias("source")), 60.0, 6)
+    """From every node, within a lower cost."""
+    return graphs.shortest(_edges(t), t.raw("part").select(F.col("p_partkey").alias("source")), 30.0).drop("path")
 
 
 @query("", "with recursive " + _EDGE + """, walk(source, node, cost) as (select p_partkey, p_partkey, 0 from part union select source, dst, cost + len from walk join edge on src = node where cost + len <= 60)
 select source, node, cast(min(cost) as double) as cost from walk group by source, node
-""", (396, 398, 399))
+""", (398,))
 def shortest_path_all(t):
     """From every node, bounded by cost alone."""
-    return graphs.shortest(_edges(t), t.raw("part").select(F.col("p_partkey").alias("source")), 60.0)
+    return graphs.shortest(_edges(t), t.raw("part").select(F.col("p_partkey").alias("source")), 60.0).drop("path")
+
+
+@query("", "with recursive " + _EDGE + """, walk(source, node, cost, path) as (select p_partkey, p_partkey, 0, [p_partkey] from part union all select source, dst, cost + len, list_append(path, dst) from walk join edge on src = node where cost + len <= 40 and not list_contains(path, dst)),
+best as (select source, node, min(row(cost, path)) as b from walk group by all), leg as (select source, node, i, b[2][i] as src, b[2][i + 1] as dst from (select source, node, b, unnest(generate_series(1, len(b[2]) - 1)) as i from best)),
+rated as (select source, node, i, rating, worst, lag(rating) over (partition by source, node order by i) as before from leg join (select src, dst, min(cast(len % 3 as int)) as rating, bool_or(len % 3 = 2) as worst from edge group by src, dst) using (src, dst))
+select best.source, best.node, cast(b[1] as double) as cost, array_to_string(b[2], '>') as path, cast(count(rating) filter (where before is distinct from rating) as bigint) as runs, cast(count(*) filter (where worst) as bigint) as crossings from best left join rated on best.source = rated.source and best.node = rated.node group by best.source, best.node, b
+""", (396, 399))
+def route_runs(t):
+    """The least-cost way from every node to all within the limit, its runs of one rating and its crossings."""
+    edges = _edges(t)
+    found = graphs.shortest(edges, t.raw("part").select(F.col("p_partkey").alias("source")), 40.0)
+    rating = (F.col("len") % 3).cast("int")
+    rated = edges.groupBy("src", "dst").agg(F.min(rating).alias("rating"), F.bool_or(rating == 2).alias("worst"))
+    of = graphs.runs(found, rated)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.join(of, ["source", "node"], "left").select("source", "node", "cost", F.array_join("path", ">").alias("path"), zero("runs"), zero("crossings"))
 
 
 def _edges(t):
-    _checkpoints(t)
     n = t.raw("part").count()
     k, size = F.col("p_partkey"), F.col("p_size").cast("double")
     p = t.raw("part")

@@ -63,25 +63,29 @@ def equivalised_income(t):
     return t.cells().select("cell", F.round(people.equivalised(F.col("income"), F.col("household"), 1.05), 6).alias("equivalised"), F.round(F.col("income") / 365, 6).alias("daily"))
 
 
-@query("", """
-with r as (select o_orderkey, l_linenumber, l_partkey, sum(l_quantity * 1.07) over (partition by o_orderkey) as total, l_quantity * 1.07 as v from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 3 = 0),
-g as (select o_orderkey, l_linenumber, sum(v) as v from r group by all), f as (select *, floor(round(v, 9)) as low, round(v - floor(round(v, 9)), 9) as rest, sum(v) over (partition by o_orderkey) as total from g)
-select o_orderkey, l_linenumber, cast(low + case when row_number() over (partition by o_orderkey order by rest desc, l_linenumber) <= cast(round(round(total, 6)) as bigint) - sum(low) over (partition by o_orderkey) then 1 else 0 end as bigint) as whole from f
-""", (370, 408))
-def largest_remainder(t):
-    return _whole_quantities(t.raw("lineitem").filter("l_orderkey % 3 = 0"), t.raw("orders"))
-
-
 @query("", """
 with g as (select o_orderkey, l_linenumber, sum(l_quantity * 1.07) as v from orders join lineitem on o_orderkey = l_orderkey group by all),
 f as (select *, floor(round(v, 9)) as low, round(v - floor(round(v, 9)), 9) as rest, sum(v) over (partition by o_orderkey) as total from g)
 select o_orderkey, l_linenumber, cast(low + case when row_number() over (partition by o_orderkey order by rest desc, l_linenumber) <= cast(round(round(total, 6)) as bigint) - sum(low) over (partition by o_orderkey) then 1 else 0 end as bigint) as whole from f
 """, (370, 408))
 def largest_remainder_all(t):
-    """The same for every order."""
+    """Of every order."""
     return _whole_quantities(t.raw("lineitem"), t.raw("orders"))
 
 
+@query("", """
+with g as (select l_partkey, l_suppkey, sum(l_extendedprice / 100) as v from lineitem group by all),
+f as (select *, floor(round(v, 9)) as low, round(v - floor(round(v, 9)), 9) as rest, sum(v) over (partition by l_partkey) as total from g)
+select l_partkey, l_suppkey, cast(low + case when row_number() over (partition by l_partkey order by rest desc, l_suppkey) <= cast(round(round(total, 6)) as bigint) - sum(low) over (partition by l_partkey) then 1 else 0 end as bigint) as whole from f
+""", (370,))
+def largest_remainder(t):
+    """Whole hundreds of a part's price by supplier."""
+    from pyspark.sql import Window as W
+
+    rows = t.raw("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_extendedprice") / 100).alias("v")).withColumn("total", F.round(F.sum("v").over(W.partitionBy("l_partkey")), 6))
+    return people.whole_parts(rows, ["l_partkey"], "l_suppkey", "v", "total").select("l_partkey", "l_suppkey", "whole")
+
+
 def _whole_quantities(lines, orders):
     from pyspark.sql import Window as W
 

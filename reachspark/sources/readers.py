@@ -29,6 +29,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def checked(spark: SparkSession, path: str) -> DataFrame:
     """A hand-kept CSV with # comments: rows that someone has checked on a day."""
     rows = spark.read.csv(path, header=True, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    return checked_rows(rows)
+
+
+def checked_rows(rows: DataFrame) -> DataFrame:
+    """Rows with a name and a day of who checked them when."""
     filled = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
     return rows.filter(filled("checked_by") & filled("checked_on"))
 

@@ -116,9 +116,33 @@ def test_clock_beyond_a_day_and_malformed(spark):
     assert [r.s for r in df.collect()] == [90605, None, None, None]
 
 
-def test_orders_and_sets():
-    assert graphs.stop_sets(["a", "b", "c"], 3) == [("a", "b", "c"), ("a", "b"), ("a", "c"), ("b", "c")]
-    assert graphs.orders(("a", "b"), {"b": "a"}) == [("a", "b")]
+def test_sequences_of_errands(spark):
+    seqs = lambda *x: sorted(tuple(r.seq) for r in graphs.sequences(spark, *x).collect())
+    assert seqs(["a", "b", "c"], 2, {}) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
+    assert seqs(["a", "b", "c"], 3, {"b": "a"}) == [("a", "b", "c"), ("a", "c", "b"), ("c", "a", "b")]
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    assert rows(spatial.components(links, "a", "b"), "node", "root") == [(i, 0) for i in range(61)] + [(100, 100), (101, 100)]
+
+
+def test_paths_of_many_edges_and_their_runs(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)] + [(0, 9, 9.5)], "src int, dst int, len double")
+    paths = graphs.shortest(edges, spark.createDataFrame([(0,)], "source int"), 20.0)
+    assert paths.filter("node = 9").first().path == list(range(10))
+    rated = edges.select("src", "dst", (F.col("src") >= 5).cast("int").alias("rating"), (F.col("src") == 7).alias("worst"))
+    assert rows(graphs.runs(paths, rated).filter("node in (4, 9)"), "node", "runs", "crossings") == [(4, 1, 0), (9, 2, 1)]
+
+
+def test_cells_that_reach_nothing_count(spark):
+    """By hand: of 40 people 10 are within the standard; those without a pair stay in the sum."""
+    cells = spark.createDataFrame([(1, 10.0), (2, 10.0), (3, 20.0)], "cell int, population double")
+    found = spark.createDataFrame([(1, "gp", 5), (2, "gp", 50), (9, "gp", 1)], "cell int, service string, minutes int")
+    every = measures.for_every_cell(cells, ["gp", "shop"], found, "service", ["minutes"])
+    assert rows(every.na.fill(-1, ["minutes"]), "cell", "service", "minutes") == [(1, "gp", 5), (1, "shop", -1), (2, "gp", 50), (2, "shop", -1), (3, "gp", -1), (3, "shop", -1)]
+    share = every.groupBy("service").agg(stats.share(F.col("minutes") <= 10, F.col("population")).alias("share"))
+    assert rows(share, "service", "share") == [("gp", 0.25), ("shop", 0.0)]
 
 
 def test_point_in_polygon(spark):
