@@ -73,7 +73,7 @@ def affordable_zones(t):
     return t.cells().select("cell", F.round(budget, 6).alias("budget"), fares.affordable_zones(prices, budget, CAP).alias("zones"))
 
 
-@query("", f"select cast(z as int) as zones, round(({_PRICES})[z] * 2, 6) as cost from (select unnest(generate_series(1, 4)) as z)", (417, 439, 440))
+@query("", f"select cast(z as int) as zones, round(({_PRICES})[z] * 2, 6) as cost from (select unnest(generate_series(1, 4)) as z)", ())
 def budget_steps(t):
     prices = F.array(*[F.lit(p) for p in PRICES])
     one = t.raw("region").groupBy().agg(F.count("*").alias("n"))

@@ -41,7 +41,7 @@ _TWO = """a as (select origin, destination, min(minutes) as before from pairs wh
 @query("pairs", "with " + _TWO + """
 select coalesce(a.origin, b.origin) as origin, coalesce(a.destination, b.destination) as destination, before, after, case when before is null then 'added' when after is null then 'removed' else 'changed' end as change
 from a full join b on a.origin = b.origin and a.destination = b.destination where before is distinct from after
-""", (168, 170, 171, 194, 300, 344))
+""", (168, 170, 171))
 def build_diff(t):
     best = lambda skip: t.pairs().filter(F.col("mode") != skip).groupBy("origin", "destination").agg(F.min("minutes").alias("minutes"))
     return storage.build_diff(best("walk"), best("pt"), ["origin", "destination"], "minutes")
@@ -96,7 +96,7 @@ def stale_batches(t):
 
 @query("pairs", """
 select origin, max(case when mode = 'walk' then minutes end) as t_walk, max(case when mode = 'pt' then minutes end) as t_pt, cast(round(avg(minutes), 1) as double) as mean, count(*) as n from pairs group by origin
-""", (40, 41, 53, 67, 68, 74, 179, 509))
+""", (179,))
 def cell_payload(t):
     of = lambda m: F.max(F.when(F.col("mode") == m, F.col("minutes")))
     return t.pairs().groupBy("origin").agg(of("walk").alias("t_walk"), of("pt").alias("t_pt"), F.round(F.avg("minutes"), 1).alias("mean"), F.count("*").alias("n"))
@@ -108,7 +108,7 @@ def delta_decode(t):
     return running(rows, ["tile"], ["node"], "step").select("node", F.col("_upto").alias("x"))
 
 
-@query("destinations", "select kind, service, count(*) as n, sum(weight) as weight, min(id) as first from destinations group by all having count(*) >= 2", (18, 19, 339))
+@query("destinations", "select kind, service, count(*) as n, sum(weight) as weight, min(id) as first from destinations group by all having count(*) >= 2", ())
 def destination_sets(t):
     return t.destinations().groupBy("kind", "service").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("id").alias("first")).filter("n >= 2")
 
@@ -173,7 +173,7 @@ def nearest_stations(t):
 @query("calls", """
 with o as (select stop, value, seconds, abs(value - 10) + abs(seconds - 40000) / 1000.0 as off from calls)
 select stop, cast(count(*) as bigint) as n, min(round(cast(off as double), 6)) as off from o group by stop
-""", (224, 225, 239, 240))
+""", ())
 def best_shape(t):
     off = F.abs(F.col("value") - 10) + F.abs(F.col("seconds") - 40000) / 1000.0
     return t.calls().groupBy("stop").agg(F.count("*").alias("n"), F.min(F.round(off, 6)).alias("off"))
@@ -182,7 +182,7 @@ def best_shape(t):
 @query("cells pairs", """
 with m as (select origin, min(minutes) filter (where mode = 'walk') as walk, min(minutes) filter (where mode = 'pt') as ride from pairs group by origin)
 select cell, case when walk is null and ride is null then 'none' when walk is not null and (ride is null or walk <= ride) then 'foot' else 'ride' end as words, walk, ride, walk is not null and ride is not null and walk <= ride as really_a_walk from cells left join m on origin = cell
-""", (52, 137, 138, 139, 145, 407))
+""", (137, 138, 139))
 def trip_words(t):
     of = lambda m: F.min(F.when(F.col("mode") == m, F.col("minutes")))
     m = t.pairs().groupBy(F.col("origin").alias("cell")).agg(of("walk").alias("walk"), of("pt").alias("ride"))
