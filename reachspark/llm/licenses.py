@@ -1,8 +1,8 @@
 """Licence scans by sparse TF-IDF cosine, with inheritance from directories (operator 9), in DataFrame functions only.
 
-Each line of a text, and the whole text of a licence file, is compared with licence
-templates as sparse TF-IDF vectors; the best template of at least ``THRESHOLD`` is the
-record's own licence. A record without one takes that of the nearest directory above it
+Each line of a text, each sentence of it across line ends and comment marks, and the whole
+text of a licence file, is compared with licence templates as sparse TF-IDF vectors; the
+best template of at least ``THRESHOLD`` is the record's own licence. A record without one takes that of the nearest directory above it
 that has a licence file.
 
 Only lines that can reach the threshold are compared: by the Cauchy-Schwarz inequality a
@@ -32,16 +32,27 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 into the public domain."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A line end with the comment marks around it, and the end of a sentence.
+_WRAP, _STOP = r"\n[ \t]*[*/#;]*[ \t]*", r"([.!?]) +"
 _NAMES = r"^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
 
@@ -101,7 +112,8 @@ def scan(records: DataFrame) -> DataFrame:
     rows = records.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")))
     rows = rows.withColumn("file", F.coalesce(index | _folded(name).rlike(_NAMES), F.lit(False))).withColumn("row", F.monotonically_increasing_id())
     folded = rows.withColumn("text", _folded(F.col("text")))
-    segments = F.array_distinct(F.transform(F.concat(F.split("text", "\n"), F.when(F.col("file"), F.array(F.regexp_replace("text", "\n", " "))).otherwise(F.array())), F.trim))
+    sentences = F.split(F.regexp_replace(F.regexp_replace("text", _WRAP, " "), _STOP, "$1\n"), "\n")
+    segments = F.array_distinct(F.transform(F.concat(F.split("text", "\n"), sentences, F.when(F.col("file"), F.array(F.regexp_replace("text", "\n", " "))).otherwise(F.array())), F.trim))
     lines = F.filter(segments, lambda s: s.rlike(_ANCHOR))
     found = scratch.save(folded.select("row", "kind", "id", "dir", "file", F.when(F.col("text").rlike(_ANCHOR), lines).otherwise(F.array().cast("array<string>")).alias("lines")), "records")
     of_row = found.select("row", F.explode("lines").alias("line"))
@@ -163,7 +175,7 @@ record as (
       or regexp_matches(translate(regexp_extract(path, '([^/]*)$', 1), '{_UPPER}', '{_LOWER}'), '{_NAMES}'), false) as file
   from record
 ), segment as (
-  select distinct r, trim(unnest(case when file then list_append(string_split(text, chr(10)), replace(text, chr(10), ' ')) else string_split(text, chr(10)) end), ' ') as line from placed
+  select distinct r, trim(unnest(list_concat(string_split(text, chr(10)), string_split(regexp_replace(regexp_replace(text, '{_WRAP}', ' ', 'g'), '{_STOP}', '\1' || chr(10), 'g'), chr(10)), case when file then [replace(text, chr(10), ' ')] else [] end)), ' ') as line from placed
 ), line as (
   select line, row_number() over () as n from (select distinct line from segment where regexp_matches(line, '{_ANCHOR}'))
 ), word as (
