@@ -50,6 +50,8 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
+#: A sentence of more characters than twice the longest template is not held against templates as a sentence; its lines are.
+SENTENCE = 2 * max(len(text) for _, text in TEMPLATES)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line end with the comment marks around it, and the end of a sentence.
 _WRAP, _STOP = r"\n[ \t]*[*/#;]*[ \t]*", r"([.!?]) +"
@@ -72,7 +74,7 @@ def _vectors() -> tuple[list[tuple[int, str, str, float]], dict[str, float], flo
 VECTORS, IDF, IDF_OTHER = _vectors()
 
 
-_COMMON = set("a and any are by in into is it may not of or that the this to with you".split())
+_COMMON = set("a above all and any are as at by can code either except file files following for form forms free general in into is it later may not of or person program published that the this to under use v version with without work you your".split())
 
 
 def _anchors(threshold: float) -> list[str]:
@@ -113,6 +115,7 @@ def scan(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("file", F.coalesce(index | _folded(name).rlike(_NAMES), F.lit(False))).withColumn("row", F.monotonically_increasing_id())
     folded = rows.withColumn("text", _folded(F.col("text")))
     sentences = F.split(F.regexp_replace(F.regexp_replace("text", _WRAP, " "), _STOP, "$1\n"), "\n")
+    sentences = F.filter(sentences, lambda s: F.length(s) <= SENTENCE)
     segments = F.array_distinct(F.transform(F.concat(F.split("text", "\n"), sentences, F.when(F.col("file"), F.array(F.regexp_replace("text", "\n", " "))).otherwise(F.array())), F.trim))
     lines = F.filter(segments, lambda s: s.rlike(_ANCHOR))
     found = scratch.save(folded.select("row", "kind", "id", "dir", "file", F.when(F.col("text").rlike(_ANCHOR), lines).otherwise(F.array().cast("array<string>")).alias("lines")), "records")
@@ -175,7 +178,7 @@ record as (
       or regexp_matches(translate(regexp_extract(path, '([^/]*)$', 1), '{_UPPER}', '{_LOWER}'), '{_NAMES}'), false) as file
   from record
 ), segment as (
-  select distinct r, trim(unnest(list_concat(string_split(text, chr(10)), string_split(regexp_replace(regexp_replace(text, '{_WRAP}', ' ', 'g'), '{_STOP}', '\1' || chr(10), 'g'), chr(10)), case when file then [replace(text, chr(10), ' ')] else [] end)), ' ') as line from placed
+  select distinct r, trim(unnest(list_concat(string_split(text, chr(10)), list_filter(string_split(regexp_replace(regexp_replace(text, '{_WRAP}', ' ', 'g'), '{_STOP}', '\1' || chr(10), 'g'), chr(10)), lambda s: length(s) <= {SENTENCE}), case when file then [replace(text, chr(10), ' ')] else [] end)), ' ') as line from placed
 ), line as (
   select line, row_number() over () as n from (select distinct line from segment where regexp_matches(line, '{_ANCHOR}'))
 ), word as (
