@@ -39,6 +39,8 @@ BROADCAST_ROWS = 1_000_000
 SHINGLE, SIMILARITY = 5, 0.8
 #: MinHash keys of a text; of pairs at a similarity of 0.8, (1 - 0.8**4)**24 = 3 in a million never meet.
 BANDS = 24
+#: So many shingles (32 MB) of one meeting place are compared in one task.
+PLACE_SHINGLES = 4_000_000
 _TURNS = mix(np.arange(1000, 1000 + 4 * BANDS, dtype=np.uint64)).reshape(BANDS, 4) | np.uint64(1)
 
 
@@ -292,15 +294,95 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: Broadcast | None
     return rows.mapInArrow(run, "doc_id long, part int, fp long, n int, bands array<long>" if only is None else "fp long, hashes array<long>")
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def jaccard_forest(first: np.ndarray, flat: np.ndarray, root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, at least ``similarity`` of Jaccard, that connect what all such links among the sets flat[first[i]:first[i + 1]] connect; equal ``root`` counts as connected."""
+    size = np.diff(first)
+    codes = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(len(flat), dtype=np.int32)
+    _, root = np.unique(root, return_inverse=True)
+    by_root = np.argsort(root, kind="stable")
+    ends = np.cumsum(np.bincount(root))
+    members = lambda r: by_root[(ends[r - 1] if r else 0) : ends[r]]
+
+    def lean(at):
+        """Sets of these rows only, from the smallest to the largest."""
+        at = at[np.argsort(size[at], kind="stable")]
+        begin = np.r_[0, np.cumsum(size[at])]
+        return at, begin, codes[np.arange(begin[-1]) + np.repeat(first[at] - begin[:-1], size[at])]
+
+    waiting = np.ones(len(size), dtype=bool)
+    at, begin, held = lean(np.arange(len(size)))
+    a, b = [], []
+    for seed in range(len(size)):
+        if not waiting[seed]:
+            continue
+        front = members(root[seed]).tolist()
+        waiting[front] = False
+        while front:
+            left = int(waiting[at].sum())
+            if not left:
+                break
+            if 2 * left < len(at):
+                at, begin, held = lean(at[waiting[at]])
+            x = front.pop()
+            low, high = np.searchsorted(size[at], [(similarity - 1e-9) * size[x], size[x] / (similarity - 1e-9) + 1e-9], side="left")
+            if low == high:
+                continue
+            mark[codes[first[x] : first[x + 1]]] = 1
+            both = np.add.reduceat(mark[held[begin[low] : begin[high]]], begin[low:high] - begin[low])
+            mark[codes[first[x] : first[x + 1]]] = 0
+            near = at[low:high][waiting[at[low:high]] & (both / (size[x] + size[at[low:high]] - both) >= similarity)]
+            reached, one = np.unique(root[near], return_index=True)
+            for r, y in zip(reached, near[one], strict=True):
+                a.append(x)
+                b.append(int(y))
+                waiting[members(r)] = False
+                front.extend(members(r).tolist())
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+def _connect(similarity: float):
+    """For rows (key, fp, root, hashes) sorted by key: the links that each place's texts need."""
+
+    def work(rows):
+        table = pa.Table.from_batches(rows)
+        key, fp, root = (table[name].to_numpy() for name in ("key", "fp", "root"))
+        sets = table["hashes"].combine_chunks()
+        first = np.r_[0, np.cumsum(sets.value_lengths().to_numpy())]
+        flat = sets.flatten().to_numpy()
+        new = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        for s, e in zip(new[:-1], new[1:], strict=True):
+            x, y = jaccard_forest(first[s : e + 1] - first[s], flat[first[s] : first[e]], root[s:e], similarity)
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(fp[s:e][x]), "b": pa.array(fp[s:e][y])})
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the last place of what came, still open
+        for batch in batches:
+            key = batch[0].to_numpy()
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or held and held[-1][0][-1].as_py() != key[0]:
+                yield from work([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from work(held)
+
+    return run
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = PLACE_SHINGLES) -> DataFrame:
     """doc_id, part, kept: whether a row names its component, of texts linked by at least this Jaccard similarity of their shingle sets.
 
     The row with the smallest doc_id names it, of those the one with the smallest part; null ids come last.
 
     64 bits are too few for 0.8, so texts meet where a band of MinHashes agrees, and every
     link is verified on the whole sets. Equal sets are one row. In a meeting place all are
-    held against the least one first; then all pairs that are not connected yet, so that
-    a large group of copies costs no pairs of its own.
+    held against the least one first; places whose texts are not connected by that get their
+    texts' sets and give the links of a spanning forest, so that no pairs are rows. A place
+    of over ``most`` shingles in all is worked off in pairs of tiles of about that size.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     rows = scratch.save(shingle_sets(docs, shingle), "rows")
@@ -323,13 +405,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
 
     stars = verified(met.filter("fp != least.fp").select(F.col("least.fp").alias("a"), F.col("least.n").alias("an"), F.col("fp").alias("b"), F.col("n").alias("bn")), "stars")
     roots = scratch.save(components(scratch, stars, "stars"), "star-roots")
-    named = met.join(roots, met.fp == roots.node, "left").select("key", "fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    open_ = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("key")
-    named = scratch.save(named.join(open_, "key").filter("fp != least.fp").select("key", "fp", "n", "root"), "open")
-    one = named.select("key", F.col("fp").alias("a"), F.col("n").alias("an"), F.col("root").alias("ra"))
-    two = named.select("key", F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("root").alias("rb"))
-    fits = (F.col("an") >= similarity * F.col("bn")) & (F.col("bn") >= similarity * F.col("an"))
-    rest = verified(one.join(two, "key").filter("ra < rb").filter(fits), "rest")
+    named = met.join(roots, met.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    # places whose texts are not connected yet; one of many shingles is worked off in pairs of tiles
+    open_ = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n").alias("total")).filter("r0 != r1")
+    open_ = open_.select("key", F.when(F.col("total") <= most, 1).otherwise(F.ceil(F.col("total") * 2 / most)).cast("int").alias("tiles"))
+    named = scratch.save(named.join(open_, "key").select("key", "fp", "root", "tiles"), "open")
+    own, other = F.pmod(F.xxhash64("fp"), F.col("tiles")), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = named.select("*", own.alias("own"), other.alias("other")).filter("tiles = 1 or own != other")
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "root")
+    only = bitmap(docs.sparkSession, named, "fp")
+    sets = scratch.save(shingle_sets(docs, shingle, only).dropDuplicates(["fp"]), "open-sets")
+    dealt = dealt.join(sets, "fp").select("key", "fp", "root", "hashes").repartition("key").sortWithinPartitions("key", "fp")
+    rest = scratch.save(dealt.mapInArrow(_connect(similarity), "a long, b long"), "rest")
     roots = components(scratch, stars.unionByName(rest), "links")
     roots = _near(scratch.save(roots, "roots"))
     of_row = rows.select("doc_id", "part", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "part", F.coalesce("root", "fp").alias("root"))
@@ -337,7 +424,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     least = of_row.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "part")).alias("least"))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("part") == F.col("least.part"))
     out = scratch.save(of_row.join(_near(scratch.save(least, "least")), "root").select("doc_id", "part", kept.alias("kept")), "classes")
-    scratch.drop("rows", "met", "stars", "star-roots", "open", "rest", "of-row", "least", "roots")
+    scratch.drop("rows", "met", "stars", "star-roots", "open", "open-sets", "rest", "of-row", "least", "roots")
     return out
 
 

@@ -179,6 +179,40 @@ def test_near_copies_match_exact_jaccard(spark):
     assert expected < {x.doc_id for x in simhash.near_duplicates(docs).collect() if x.doc_id == x.component_id}
 
 
+def test_jaccard_forest_connects_what_all_pairs_connect():
+    r = random.Random(9)
+    base = [r.sample(range(10**6), 40) for _ in range(6)]
+    sets = [set(x) for b in base for x in [b] + [[y if r.random() > 0.15 else r.randrange(10**6) for y in b] for _ in range(25)]] + [{1}, {1}, {2}]
+    flat = np.concatenate([np.array(sorted(x), dtype=np.int64) for x in sets])
+    first = np.r_[0, np.cumsum([len(x) for x in sets])]
+
+    def groups(pairs, start):
+        name = list(start)
+        for i, j in pairs:
+            name = [name[i] if x == name[j] else x for x in name]
+        return {frozenset(k for k, x in enumerate(name) if x == y) for y in name}
+
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for root in (np.arange(len(sets)), np.arange(len(sets)) // 2 * 2):
+        a, b = simhash.jaccard_forest(first, flat, root, 0.8)
+        assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} <= set(pairs) and 0 < len(a) < len(sets)
+        assert groups(zip(a, b, strict=True), root) == groups(pairs, root)
+
+
+@pytest.mark.parametrize("most", [simhash.PLACE_SHINGLES, 300])
+def test_near_copies_in_places_worked_off_in_tiles(spark, most):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):  # most pairs are between 0.6 and 0.9 alike
+        w = list(base)
+        for at in r.sample(range(120), r.choice([0, 1, 2, 3, 4, 5])):
+            w[at] = f"x{r.randrange(12)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    named = {x.doc_id for x in simhash.near_copies(frame(spark, rows).repartition(3), most=most).collect() if x.kept}
+    assert named == {rows[i][0] for i in brute_near_copies([x[:2] for x in rows])}
+
+
 def test_near_copies_under_one_id_or_none(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     docs = frame(spark, [(i, t, "en", "s", 0) for i, t in [(1, a), (1, b), (0, a), (7, c), (7, c), (8, c), (None, d), (None, d), (None, a), (9, c + " more")]]).repartition(3)
