@@ -65,7 +65,31 @@ def crc_bucket(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def bitmap(spark: SparkSession, keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> Broadcast:
+class Bitmap:
+    """2**bits bits, broadcast as compressed slices; each task unpacks them once."""
+
+    def __init__(self, shared: Broadcast, bits: int):
+        self._shared, self._bits, self._value = shared, bits, None
+
+    def __getstate__(self):
+        return {"_shared": self._shared, "_bits": self._bits, "_value": None}
+
+    @property
+    def value(self) -> np.ndarray:
+        if self._value is None:
+            out = np.zeros(1 << (self._bits - 3), dtype=np.uint8)
+            per = len(out) // _SLICES
+            for s, packed in self._shared.value:
+                out[s * per : (s + 1) * per] |= np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+            self._value = out
+        return self._value
+
+    def destroy(self) -> None:
+        """Only once all that reads it is written."""
+        self._shared.destroy()
+
+
+def bitmap(spark: SparkSession, keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> Bitmap:
     """A broadcast bitmap of 2**bits bits (fixed, so bounded) in which bit ``key mod 2**bits`` is set for each key.
 
     It only saves work: a key that is missing from it is surely not in ``keys``, and what
@@ -85,10 +109,8 @@ def bitmap(spark: SparkSession, keys: DataFrame, column: str, bits: int = BITMAP
             yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(one, bitorder="little"), 1)], pa.binary())})
 
     dealt = keys.select(F.col(column).alias("k")).repartition(F.expr(f"(k & {(1 << bits) - 1}) div {per}"))
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in dealt.mapInArrow(build, "slice int, bits binary").collect():
-        out[row.slice * per // 8 : (row.slice + 1) * per // 8] |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
-    return spark.sparkContext.broadcast(out)
+    slices = dealt.mapInArrow(build, "slice int, bits binary").collect()
+    return Bitmap(spark.sparkContext.broadcast([(row.slice, bytes(row.bits)) for row in slices]), bits)
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -22,11 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART, Scratch, bitmap, components, in_bitmap, without
+from .common import PART, Bitmap, Scratch, bitmap, components, in_bitmap, without
 from .text import SPACED_FOLDED, chunks, grams, mix, signed
 
 SEED = 42
@@ -246,7 +245,7 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: Broadcast | None = None) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: Bitmap | None = None) -> DataFrame:
     """(doc_id, part, fp, n, bands): of each text's runs of ``shingle`` words, once each, a hash of them all, their number and MinHash keys.
 
     With ``only``, a bitmap of fingerprints, (fp, hashes): the sets themselves, of texts in it.
@@ -396,6 +395,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         # sets are made again for texts of some pair; to keep those of all would take more room than the texts
         only = bitmap(docs.sparkSession, pairs.select(F.explode(F.array("a", "b")).alias("fp")), "fp")
         sets = scratch.save(shingle_sets(docs, shingle, only).dropDuplicates(["fp"]), f"{name}-sets")
+        only.destroy()
         side = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"h{x}"))
         both = F.size(F.array_intersect("ha", "hb"))
         alike = both / (F.size("ha") + F.size("hb") - both) >= similarity
@@ -415,6 +415,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "root")
     only = bitmap(docs.sparkSession, named, "fp")
     sets = scratch.save(shingle_sets(docs, shingle, only).dropDuplicates(["fp"]), "open-sets")
+    only.destroy()
     dealt = dealt.join(sets, "fp").select("key", "fp", "root", "hashes").repartition("key").sortWithinPartitions("key", "fp")
     rest = scratch.save(dealt.mapInArrow(_connect(similarity), "a long, b long"), "rest")
     roots = components(scratch, stars.unionByName(rest), "links")

@@ -224,7 +224,7 @@ class FingerprintIndex:
         spans = self.scratch.save(spans, f"{k}-spans")
         for used in (bits, ends, only):
             if used is not None:
-                used.unpersist()
+                used.destroy()
         self.scratch.drop(*[f"{k}-{t}" for t in ("met", "windows", "window-owners")])
         self.runs.append(run)
         self.texts.append(batch)
