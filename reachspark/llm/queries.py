@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, mixing, neighbours, quality, simhash, substring, toxicity, warc
+from . import audit, chat, decontaminate, licenses, mixing, neighbours, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_licenses": licenses.op9_licenses,
     "op10_neighbours": neighbours.op10_neighbours,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
 # Classifiers (1, 6) and XXH64 fingerprints (8) can't be stated in SQL.
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": substring.OP7_SQL,
     "op9_licenses": licenses.OP9_SQL,
     "op10_neighbours": neighbours.OP10_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
 }
