@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, decontaminate, licenses, mixing, neighbours, quality, simhash, substring, suffixes, toxicity, warc
+from . import audit, chat, decontaminate, licenses, mixing, neighbours, quality, simhash, spelling, substring, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_suffix_dedup": suffixes.op12_suffix_dedup,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 # Classifiers (1, 6) and XXH64 fingerprints (8) can't be stated in SQL.
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_neighbours": neighbours.OP10_SQL,
     "op11_filter_audit": audit.OP11_SQL,
     "op12_suffix_dedup": suffixes.OP12_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
