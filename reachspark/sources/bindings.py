@@ -93,6 +93,49 @@ class Tables:
             (F.col("user_id") % 12).cast("int").alias("route"), F.to_date("ts").alias("day"), seconds.cast("int").alias("seconds"), F.col("value").alias("value"),
         )
 
+    def hexagons(self) -> DataFrame:
+        """Cells as polygons, 100 metres from the centre to a corner."""
+        around = [(100.0, 0.0), (50.0, 86.6), (-50.0, 86.6), (-100.0, 0.0), (-50.0, -86.6), (50.0, -86.6)]
+        corners = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in around])
+        return self.cells().select("cell", "population", "zone", "x", "y", corners.alias("corners"))
+
+    def blocks(self) -> DataFrame:
+        """Disjoint squares of 400 metres with people; each holds a destination."""
+        square = self.destinations().select(F.floor(F.col("x") / 400).cast("long").alias("bx"), F.floor(F.col("y") / 400).cast("long").alias("by"), "weight", "zone")
+        squares = square.groupBy("bx", "by").agg(F.sum("weight").alias("people"), F.min("zone").alias("zone"))
+        x, y = F.col("bx") * 400.0, F.col("by") * 400.0
+        return squares.select((F.col("bx") * 100 + F.col("by")).alias("block"), "people", "zone", rectangle(x, y, x + 400.0, y + 400.0).alias("corners"))
+
+    def zone_maps(self) -> DataFrame:
+        """Zones of schools as they were drawn: a polygon, the day it comes into force (null: not known), and its corners."""
+        k = F.col("l_suppkey")
+        polygon = F.col("l_orderkey") * 1000000 + F.col("l_partkey")
+        x, y = ((k * 7919) % 10000).cast("double"), ((k * 104729) % 10000).cast("double")
+        hx, hy = 150.0 + polygon % 700, 150.0 + F.floor(polygon / 7).cast("long") % 600
+        day = F.when(F.col("l_quantity") != 50, F.to_date("l_shipdate"))
+        return self.raw("lineitem").filter("l_linenumber = 1").select(k.alias("school"), polygon.alias("polygon"), day.alias("day"), rectangle(x - hx, y - hy, x + hx, y + hy).alias("corners"))
+
+    def ways(self) -> DataFrame:
+        """Drawn lines: four shapes of each, six points a shape."""
+        k = F.col("p_partkey")
+        line = F.floor(k / 4).cast("long")
+        bx, by, v = (line * 7919) % 10000, (line * 104729) % 10000, k % 4
+        points = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.struct((bx + 80 * j + (k * j) % 30 + 15 * v).cast("double").alias("x"), (by + (k * 7 * j) % 60 + 25 * v).cast("double").alias("y")))
+        return self.raw("part").select(k.alias("shape"), line.alias("line"), points.alias("corners"))
+
+    def rides(self) -> DataFrame:
+        """Rides on a line from a place a to a place b."""
+        k = F.col("l_orderkey")
+        rows = self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.floor(F.min("l_partkey") / 4).cast("long").alias("line"))
+        bx, by = (F.col("line") * 7919) % 10000, (F.col("line") * 104729) % 10000
+        place = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+        return rows.select(k.alias("trip"), F.col("l_linenumber").alias("leg"), "line", place(bx - 20 + k % 220, by + k % 145).alias("a"), place(bx + 180 + 35 * F.col("l_linenumber"), by + (k * 3) % 190).alias("b"))
+
+
+def rectangle(x0, y0, x1, y1):
+    """Corners of a rectangle, counter-clockwise."""
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+
 
 #: Statements of the views, as the text of common table expressions.
 SQL = {
@@ -123,9 +166,23 @@ SQL = {
     "calls": """calls as (
   select event_id as call, event_type || '-' || cast(user_id % 7 as varchar) as stop, event_type as grp, user_id as trip, cast(user_id % 12 as int) as route, cast(ts as date) as day,
     cast(hour(ts) * 3600 + minute(ts) * 60 + second(ts) + case when event_id % 6 = 0 then 86400 else 0 end as int) as seconds, value from events)""",
+    "hexagons": """hexagons as (
+  select cell, population, zone, x, y, [{'x': x + 100, 'y': y}, {'x': x + 50, 'y': y + 86.6}, {'x': x - 50, 'y': y + 86.6}, {'x': x - 100, 'y': y}, {'x': x - 50, 'y': y - 86.6}, {'x': x + 50, 'y': y - 86.6}] as corners from cells)""",
+    "blocks": """blocks as (
+  select gx * 100 + gy as block, people, zone, gx * 400.0 as x0, gy * 400.0 as y0, gx * 400.0 + 400 as x1, gy * 400.0 + 400 as y1
+  from (select cast(floor(x / 400) as bigint) as gx, cast(floor(y / 400) as bigint) as gy, sum(weight) as people, min(zone) as zone from destinations group by all))""",
+    "zone_maps": """zone_maps as (
+  select school, polygon, day, cast(x - (150 + polygon % 700) as double) as x0, cast(y - (150 + (polygon // 7) % 600) as double) as y0, cast(x + (150 + polygon % 700) as double) as x1, cast(y + (150 + (polygon // 7) % 600) as double) as y1
+  from (select l_suppkey as school, l_orderkey * 1000000 + l_partkey as polygon, case when l_quantity <> 50 then cast(l_shipdate as date) end as day, (l_suppkey * 7919) % 10000 as x, (l_suppkey * 104729) % 10000 as y from lineitem where l_linenumber = 1))""",
+    "ways": """ways as (
+  select p_partkey as shape, p_partkey // 4 as line, list_transform(range(6), lambda j: {'x': cast(((p_partkey // 4) * 7919) % 10000 + 80 * j + (p_partkey * j) % 30 + 15 * (p_partkey % 4) as double), 'y': cast(((p_partkey // 4) * 104729) % 10000 + (p_partkey * 7 * j) % 60 + 25 * (p_partkey % 4) as double)}) as corners from part)""",
+    "rides": """rides as (
+  select l_orderkey as trip, l_linenumber as leg, line, cast((line * 7919) % 10000 - 20 + l_orderkey % 220 as double) as ux, cast((line * 104729) % 10000 + l_orderkey % 145 as double) as uy,
+    cast((line * 7919) % 10000 + 180 + 35 * l_linenumber as double) as vx, cast((line * 104729) % 10000 + (l_orderkey * 3) % 190 as double) as vy
+  from (select l_orderkey, l_linenumber, min(l_partkey) // 4 as line from lineitem group by all))""",
 }
 
-_NEEDS = {"pairs": ("trips", "destinations"), "pairs_w": ("trips", "destinations")}
+_NEEDS = {"hexagons": ("cells",), "blocks": ("destinations",), "pairs": ("trips", "destinations"), "pairs_w": ("trips", "destinations")}
 
 
 def with_views(names: str, query: str, recursive: bool = False) -> str:
