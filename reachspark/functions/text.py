@@ -29,17 +29,28 @@ def tags(text: Column) -> Column:
     return F.map_from_entries(first)
 
 
-def match_service(tag_map: Column, rules: list[tuple[str, dict[str, list[str]]]], excludes: dict[str, dict[str, list[str]]]) -> Column:
-    """The first service whose rules all hold and whose exclusions don't."""
-    holds = lambda need: [tag_map[k].isin(v) for k, v in need.items()]
+def match_service(tag_map: Column, rules: list[tuple[str, dict[str, list[str]]]], excludes: dict[str, dict[str, list[str]]], unless: dict[str, tuple[str, str, str]] | None = None) -> Column:
+    """The first service of which any tag rule holds and no exclusion does; null if none.
+
+    ``unless`` (service: key, value, other): key=value is no match for the service where the
+    tag ``other`` says something that is not in the service's rule for it, as a clinic of
+    another kind of healthcare is no general practice.
+    """
+    has = lambda key, values: F.coalesce(F.try_element_at(tag_map, F.lit(key)).isin(values), F.lit(False))
     out = F.lit(None).cast("string")
     for service, need in reversed(rules):
-        every = F.lit(True)
-        for c in holds(need):
-            every = every & F.coalesce(c, F.lit(False))
-        for c in holds(excludes.get(service, {})):
-            every = every & ~F.coalesce(c, F.lit(False))
-        out = F.when(every, service).otherwise(out)
+        match = F.lit(False)
+        for key, values in need.items():
+            holds = has(key, values)
+            if unless and service in unless and unless[service][0] == key:
+                _, value, other = unless[service]
+                said = F.try_element_at(tag_map, F.lit(other))
+                elsewhere = F.coalesce((said != "") & ~said.isin(need.get(other, [])), F.lit(False))
+                holds = holds & ~(has(key, [value]) & elsewhere)
+            match = match | holds
+        for key, values in excludes.get(service, {}).items():
+            match = match & ~has(key, values)
+        out = F.when(match, service).otherwise(out)
     return out
 
 

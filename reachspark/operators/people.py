@@ -20,13 +20,11 @@ def share(part: Column, total: Column) -> Column:
 
 def fill_bands(blocks: DataFrame, bands: list[str], area: str, residents: str) -> DataFrame:
     """Suppressed bands from the area's share of residents, else from the whole table's."""
-    per = blocks
-    for b in bands:
-        known = F.col(b).isNotNull()
-        ratio = lambda w: F.sum(F.when(known, F.col(b))).over(w) / F.nullif(F.sum(F.when(known, F.col(residents))).over(w), F.lit(0.0))  # noqa: B023, E731
-        per = per.withColumn(f"_{b}", ratio(W.partitionBy(area)))
+    known = lambda b: F.sum(F.when(F.col(b).isNotNull(), F.col(b))) / F.nullif(F.sum(F.when(F.col(b).isNotNull(), F.col(residents))), F.lit(0.0))
+    areas = blocks.groupBy(F.col(area).alias("_area")).agg(*[known(b).alias(f"_{b}") for b in bands])
+    per = blocks.join(areas, F.col(area).eqNullSafe(F.col("_area"))).drop("_area")
     # the ratio of the whole table is one row, joined, not a window over one partition
-    whole = blocks.agg(*[(F.sum(F.when(F.col(b).isNotNull(), F.col(b))) / F.nullif(F.sum(F.when(F.col(b).isNotNull(), F.col(residents))), F.lit(0.0))).alias(f"_all_{b}") for b in bands])
+    whole = blocks.agg(*[known(b).alias(f"_all_{b}") for b in bands])
     per = per.join(F.broadcast(whole))
     for b in bands:
         per = per.withColumn(b, F.coalesce(F.col(b), F.col(residents) * F.col(f"_{b}"), F.col(residents) * F.col(f"_all_{b}")))
@@ -50,9 +48,10 @@ def to_grid(cells: DataFrame, children: str, residents: str, grid: str) -> Colum
     return F.when(F.col(residents) > 0, own * F.col(grid)).otherwise(F.col("place_share") * F.col(grid))
 
 
-def urban(name: str, people: str, rural: str, least: float = 1000.0) -> Column:
-    """An area not named as rural whose people are enough."""
-    return ~F.col(name).rlike(rural) & (F.sum(people).over(W.partitionBy(name)) >= least)
+def urban(rows: DataFrame, name: str, people: str, rural: str, least: float = 1000.0) -> DataFrame:
+    """Adds urban: whether a row's area is not named as rural and has people enough."""
+    areas = rows.groupBy(F.col(name).alias("_area")).agg((F.sum(people) >= least).alias("_enough"))
+    return rows.join(areas, F.col(name).eqNullSafe(F.col("_area"))).withColumn("urban", ~F.col(name).rlike(rural) & F.col("_enough")).drop("_area", "_enough")
 
 
 def equivalised(income: Column, size: Column, uplift: float) -> Column:

@@ -63,6 +63,18 @@ def tolerance(a: Column, b: Column, absolute: float, relative: float) -> Column:
     return F.abs(a - b) <= absolute + relative * F.abs(b)
 
 
-def tile_rows(rows: DataFrame, tile: str, origin: str, destination: str) -> DataFrame:
-    """Rows of a tile in order, with their place in it and how many the origin has."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(tile).orderBy(origin, destination))).withColumn("of_origin", F.count("*").over(W.partitionBy(tile, origin)))
+def tile_rows(rows: DataFrame, tile: list[str], origin: str, destination: str) -> DataFrame:
+    """Rows of a tile in order, with their place in it and how many the origin has. A tile has a fixed number of origins."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*tile).orderBy(origin, destination))).withColumn("of_origin", F.count("*").over(W.partitionBy(*tile, origin)))
+
+
+def slower(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds how many rows of a group have a greater ``value``.
+
+    Rows are counted by value first, so the window is over a group's different values
+    (whole minutes), however many rows it has.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(value).rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    counts = counts.select(*by, value, above.alias(name))
+    return rows.join(counts, [*by, value])

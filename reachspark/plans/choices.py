@@ -29,18 +29,18 @@ def nearest_ties(t):
     return n.withColumn("ties", F.array_join("ties", ","))
 
 
-@query("reach schools", """
+@query("cells reach schools", """
 with r as (select cell, mode, minutes, sex, years_from, years_to from reach join schools using (school) where kind <> 'private' and medium = 'english'),
 g as (select cell, student, stage, min(minutes) filter (where mode = 'pt') as pt, min(minutes) as best
   from r, (values ('girls'), ('boys')) s(student), (values (1, 6), (7, 8)) y(low, high), lateral (select low as stage) where (sex = 'co-ed' or sex = student) and coalesce(years_from <= high and years_to >= low, true) group by all)
-select cell, case when count(pt) = 4 then max(pt) end as pt, case when count(best) = 4 then max(best) end as best from g group by cell
+select cell, case when count(pt) = 4 then max(pt) end as pt, case when count(best) = 4 then max(best) end as best from (select cell from cells) left join g using (cell) group by cell
 """, (467, 472, 469, 471, 474))
 def choice_times(t):
     r = t.reach().join(t.schools(), "school")
     groups = F.array(*[F.when(choices.eligible("state", s, y), F.struct(F.lit(s).alias("student"), F.lit(y[0]).alias("stage"))) for s in ("girls", "boys") for y in ((1, 6), (7, 8))])
     g = r.select("cell", "mode", "minutes", F.explode(F.array_compact(groups)).alias("g"))
     g = g.groupBy("cell", "g").agg(F.min(F.when(F.col("mode") == "pt", F.col("minutes"))).alias("pt"), F.min("minutes").alias("best"))
-    return g.groupBy("cell").agg(choices.slowest(F.col("pt"), 4).alias("pt"), choices.slowest(F.col("best"), 4).alias("best"))
+    return t.cells().select("cell").join(g, "cell", "left").groupBy("cell").agg(choices.slowest(F.col("pt"), 4).alias("pt"), choices.slowest(F.col("best"), 4).alias("best"))
 
 
 @query("reach schools", """
@@ -108,9 +108,10 @@ def not_counted_reason(t):
     return t.schools().select("school", why.alias("notes"), "kind").filter("notes is not null")
 
 
-@query("reach", """
-select cell, count(*) filter (where minutes <= 10) as n10, count(*) filter (where minutes <= 20) as n20, case when bool_and(minutes >= 2) then 'far' else 'near' end as verdict from (select cell, school, min(minutes) as minutes from reach group by all) group by cell
+@query("cells reach", """
+select cell, count(*) filter (where minutes <= 10) as n10, count(*) filter (where minutes <= 20) as n20, case when count(minutes) = 0 then 'none' when bool_and(minutes >= 2) then 'far' else 'near' end as verdict
+from (select cell from cells) left join (select cell, school, min(minutes) as minutes from reach group by all) using (cell) group by cell
 """, (466, 473, 476, 329))
 def choices_within(t):
     best = t.reach().groupBy("cell", "school").agg(F.min("minutes").alias("minutes"))
-    return best.groupBy("cell").agg(F.count_if(F.col("minutes") <= 10).alias("n10"), F.count_if(F.col("minutes") <= 20).alias("n20"), F.when(F.bool_and(F.col("minutes") >= 2), "far").otherwise("near").alias("verdict"))
+    return t.cells().select("cell").join(best, "cell", "left").groupBy("cell").agg(F.count_if(F.col("minutes") <= 10).alias("n10"), F.count_if(F.col("minutes") <= 20).alias("n20"), F.when(F.count("minutes") == 0, "none").when(F.bool_and(F.col("minutes") >= 2), "far").otherwise("near").alias("verdict"))

@@ -73,19 +73,16 @@ def affordable_zones(t):
     return t.cells().select("cell", F.round(budget, 6).alias("budget"), fares.affordable_zones(prices, budget, CAP).alias("zones"))
 
 
-@query("", f"select cast(z as int) as zones, round(({_PRICES})[z] * 2, 6) as cost from (select unnest(generate_series(1, 4)) as z)", ())
-def budget_steps(t):
-    prices = F.array(*[F.lit(p) for p in PRICES])
-    one = t.raw("region").groupBy().agg(F.count("*").alias("n"))
-    return one.select(F.explode(F.sequence(F.lit(1), F.lit(CAP))).alias("zones")).select("zones", F.round(fares.fare(prices, F.col("zones"), CAP) * 2, 6).alias("cost"))
-
-
-@query("cells pairs", "with " + _ZONED + """, w as (select origin, service, min(minutes) filter (where zones = 0) as m0, min(minutes) filter (where zones <= 1) as m1, min(minutes) filter (where zones <= 2) as m2, min(minutes) filter (where zones <= 3) as m3, min(minutes) filter (where zones <= 4) as m4 from zoned group by all)
+@query("cells pairs", "with " + _ZONED + """, w as (select cell as origin, e.service, min(minutes) filter (where zones = 0) as m0, min(minutes) filter (where zones <= 1) as m1, min(minutes) filter (where zones <= 2) as m2, min(minutes) filter (where zones <= 3) as m3, min(minutes) filter (where zones <= 4) as m4
+  from cells cross join (select distinct service from destinations where service is not null) e left join zoned on origin = cell and zoned.service = e.service group by cell, e.service)
 select origin, service, case when coalesce(m0, m1, m2, m3, m4) is null then -1 when m0 <= 20 then 0 when m1 <= 20 then 1 when m2 <= 20 then 2 when m3 <= 20 then 3 when m4 <= 20 then 4 else -2 end as zones from w
 """, (420, 421), recursive=True)
 def cheapest_zones(t):
+    """Every cell with every service: -1 where it is not reached at all."""
     at = lambda z: F.min(F.when(F.col("zones") <= z, F.col("minutes"))).alias(f"m{z}")
-    w = _zoned(t).groupBy("origin", "service").agg(*[at(z) for z in range(CAP + 1)])
+    steps = [f"m{z}" for z in range(CAP + 1)]
+    w = _zoned(t).groupBy(F.col("origin").alias("cell"), "service").agg(*[at(z) for z in range(CAP + 1)])
+    w = measures.for_every_cell(t.cells().select("cell"), t.services(), w, "service", steps).withColumnRenamed("cell", "origin")
     return w.select("origin", "service", fares.cheapest_zones(w, ["m1", "m2", "m3", "m4"], 20, "m0").alias("zones"))
 
 
@@ -102,11 +99,13 @@ def fare_burden(t):
 
 @query("cells pairs", "with " + _ZONED + """, best as (select origin, destination, weight, z, min(minutes) filter (where zones <= z) as m from zoned join destinations on destination = id, (select unnest(generate_series(0, 4)) as z) where minutes <= 45 group by all),
 f as (select origin, z, sum(case when m is not null then weight else 0 end) as reach from best group by origin, z), top as (select origin, max(reach) as most from f group by origin)
-select origin, cast(case when most = 0 then -2 else min(z) filter (where reach >= most / 2) end as int) as zones from f join top using (origin) group by origin, most
+select cell as origin, cast(case when most is null then -1 when most = 0 then -2 else min(z) filter (where reach >= most / 2) end as int) as zones from cells left join (f join top using (origin)) on origin = cell group by cell, most
 """, (326,), recursive=True)
 def commute_zones(t):
+    """Fewest zones that reach half of what all zones do; -1 where nothing is reached."""
     weights = t.destinations().select(F.col("id").alias("destination"), "weight")
     f = fares.reachable_within(_zoned(t), weights, 45, CAP)
     steps = f.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("z", "reach"))).alias("s")).withColumn("most", F.array_max(F.transform("s", lambda x: x["reach"])))
     first = F.filter("s", lambda x: x["reach"] >= F.col("most") / 2)
-    return steps.select("origin", F.when(F.col("most") == 0, -2).otherwise(F.element_at(first, 1)["z"]).cast("int").alias("zones"))
+    every = t.cells().select(F.col("cell").alias("origin")).join(steps, "origin", "left")
+    return every.select("origin", F.when(F.col("most").isNull(), -1).when(F.col("most") == 0, -2).otherwise(F.element_at(first, 1)["z"]).cast("int").alias("zones"))

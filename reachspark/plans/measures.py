@@ -88,25 +88,35 @@ def service_counts(t):
     return measures.counts_within(t.pairs(), ["origin", "service", "mode"])
 
 
-_WIDE = """with wide as (select origin, service, min(minutes) filter (where mode = 'walk') as walk, min(minutes) filter (where mode = 'bike') as bike, min(minutes) filter (where mode = 'pt') as pt from pairs group by origin, service)"""
+_WIDE = """with wide as (select cell as origin, e.service, min(minutes) filter (where mode = 'walk') as walk, min(minutes) filter (where mode = 'bike') as bike, min(minutes) filter (where mode = 'pt') as pt
+  from cells cross join (select distinct service from destinations where service is not null) e left join pairs on cell = origin and pairs.service = e.service group by cell, e.service)"""
 
 
-@query("pairs", _WIDE + """
+@query("cells pairs", _WIDE + """
 select origin, service, walk, bike, pt, least(walk, bike, pt) as best, case least(walk, bike, pt) when walk then 'walk' when bike then 'bike' when pt then 'pt' end as via,
   coalesce(least(walk, bike, pt) <= 20, false) as meets,
   cast(coalesce(walk <= 20, false) as int) + cast(coalesce(bike <= 20, false) as int) + cast(coalesce(pt <= 20, false) and coalesce(pt < walk, true) as int) as options from wide
 """, (132, 152, 428, 430, 301))
 def standards_best(t):
-    return measures.standards(measures.by_mode(t.pairs(), ["origin", "service"], ("walk", "bike", "pt")), 20)
+    """Every cell with every service; one that is not reached has no best time and does not meet the standard."""
+    modes = ["walk", "bike", "pt"]
+    times = measures.by_mode(t.pairs(), [F.col("origin").alias("cell"), "service"], tuple(modes))
+    every = measures.for_every_cell(t.cells().select("cell"), t.services(), times, "service", modes)
+    return measures.standards(every.withColumnRenamed("cell", "origin"), 20)
 
 
-@query("pairs destinations", """
-select origin, mode, sum(case when minutes <= 15 then weight else 0 end) as jobs_15, sum(case when minutes <= 30 then weight else 0 end) as jobs_30, sum(case when minutes <= 45 then weight else 0 end) as jobs_45
-from pairs join destinations on destination = id group by origin, mode
+@query("cells pairs destinations", """
+with got as (select origin, mode, minutes, weight from pairs join destinations on destination = id)
+select cell as origin, e.mode, coalesce(sum(case when minutes <= 15 then weight else 0 end), 0) as jobs_15, coalesce(sum(case when minutes <= 30 then weight else 0 end), 0) as jobs_30, coalesce(sum(case when minutes <= 45 then weight else 0 end), 0) as jobs_45
+from cells cross join (values ('walk'), ('bike'), ('pt')) e(mode) left join got on origin = cell and got.mode = e.mode group by cell, e.mode
 """, (253, 257, 174))
 def jobs_within(t):
+    """Every cell by every mode; one that reaches nothing has 0."""
     weights = t.destinations().select(F.col("id").alias("destination"), "weight")
-    return measures.weight_within(t.pairs(), weights, ["origin", "mode"], (15, 30, 45))
+    got = measures.weight_within(t.pairs(), weights, [F.col("origin").alias("cell"), "mode"], (15, 30, 45))
+    jobs = [f"jobs_{m}" for m in (15, 30, 45)]
+    every = measures.for_every_cell(t.cells().select("cell"), ["walk", "bike", "pt"], got, "mode", jobs)
+    return every.select(F.col("cell").alias("origin"), "mode", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in jobs])
 
 
 @query("cells pairs destinations", """

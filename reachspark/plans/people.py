@@ -55,7 +55,7 @@ def to_grid(t):
 
 @query("cells", "select cell, sa2, not regexp_matches(sa2, '_1[0-9]$') and sum(population) over (partition by sa2) >= 1000 as urban from cells", (112, 128, 496))
 def urban_flag(t):
-    return t.cells().select("cell", "sa2", people.urban("sa2", "population", "_1[0-9]$").alias("urban"))
+    return people.urban(t.cells().select("cell", "sa2", "population"), "sa2", "population", "_1[0-9]$").select("cell", "sa2", "urban")
 
 
 @query("cells", "select cell, round(case when household >= 1 and income > 0 then income * 1.05 / sqrt(household) end, 6) as equivalised, round(income / 365, 6) as daily from cells", (294, 160, 423))

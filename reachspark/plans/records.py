@@ -140,14 +140,14 @@ def zone_costs(t):
     return hops.select(F.col("a").alias("zone"), F.col("b").alias("destination"), "zones", cost.alias("cost"), F.when(F.col("a") % 2 == 0, 0.0).otherwise(cost).alias("class_cost"))
 
 
-@query("pairs", """
-with n as (select origin, count(*) filter (where minutes <= 10) as n10, count(*) filter (where minutes <= 15) as n15, count(*) filter (where minutes <= 20) as n20, count(*) filter (where minutes <= 30) as n30 from pairs group by origin)
+@query("cells pairs", """
+with n as (select cell as origin, count(*) filter (where minutes <= 10) as n10, count(*) filter (where minutes <= 15) as n15, count(*) filter (where minutes <= 20) as n20, count(*) filter (where minutes <= 30) as n30 from cells left join pairs on origin = cell group by cell)
 select origin, cast(5 + origin % 40 as int) as standard, case when origin % 40 < 10 then n10 when origin % 40 < 15 then n15 when origin % 40 < 25 then n20 else n30 end as n from n
 """, (322,))
 def count_at_step(t):
     """Counts at the largest step that each cell's own standard allows, the first below it."""
     standard = (5 + F.col("origin") % 40).cast("int")
-    steps = measures.counts_within(t.pairs(), ["origin"])
+    steps = measures.counts_within(t.cells().select(F.col("cell").alias("origin")).join(t.pairs(), "origin", "left"), ["origin"])
     pick = F.col(f"n{measures.STEPS[0]}")
     for s in measures.STEPS[1:]:
         pick = F.when(standard >= s, F.col(f"n{s}")).otherwise(pick)

@@ -78,11 +78,12 @@ def check_jobs(t):
 
 
 @query("pairs", """
-select origin % 16 as tile, origin, destination, minutes, row_number() over (partition by origin % 16 order by origin, destination) as place, count(*) over (partition by origin % 16, origin) as of_origin from pairs where mode = 'pt' and minutes <= 10
+select mode, origin // 64 as tile, origin, destination, minutes, row_number() over (partition by mode, origin // 64 order by origin, destination) as place, count(*) over (partition by mode, origin) as of_origin from pairs
 """, (45, 47, 188, 375, 403, 404))
 def tile_rows(t):
-    p = t.pairs().filter("mode = 'pt' and minutes <= 10").select((F.col("origin") % 16).alias("tile"), "origin", "destination", "minutes")
-    return storage.tile_rows(p, "tile", "origin", "destination").withColumn("place", F.col("place").cast("long"))
+    """Rows of tiles of 64 origins; tiles grow in number with the origins, not in size."""
+    p = t.pairs().select("mode", F.floor(F.col("origin") / 64).cast("long").alias("tile"), "origin", "destination", "minutes")
+    return storage.tile_rows(p, ["mode", "tile"], "origin", "destination").withColumn("place", F.col("place").cast("long"))
 
 
 @query("cells", """
@@ -119,15 +120,11 @@ def anti_members(t):
 
 
 @query("pairs", """
-with r as (select origin, destination, mode, minutes, max(minutes) over (partition by destination) as worst from pairs where minutes <= 12)
-select a.destination, a.origin, a.mode, a.minutes, count(b.origin) as behind from r a left join r b on b.destination = a.destination and b.minutes > a.minutes and b.mode = a.mode group by all
+select destination, origin, mode, minutes, count(*) over (partition by destination, mode) - count(*) over (partition by destination, mode order by minutes range unbounded preceding) as behind from pairs
 """, (161, 169))
 def slower_origins(t):
-    from pyspark.sql import Window as W
-
-    r = t.pairs().filter("minutes <= 12").select("destination", "origin", "mode", "minutes")
-    w = W.partitionBy("destination", "mode")
-    return r.withColumn("behind", F.count("*").over(w) - F.count("*").over(w.orderBy("minutes").rangeBetween(W.unboundedPreceding, 0)))
+    """How many origins reach each pair's destination by its mode in more minutes."""
+    return storage.slower(t.pairs().select("destination", "origin", "mode", "minutes"), ["destination", "mode"], "minutes", "behind")
 
 
 @query("cells", """

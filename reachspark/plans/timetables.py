@@ -27,20 +27,41 @@ select distinct service from (select service from calendar where (s_suppkey + 2)
 where service not in (select service from exception where date = '20240110' and kind = 2)
 """, (103, 104))
 def active_services(t):
+    return timetable.active_services(*_calendar(t), "20240110")
+
+
+def _calendar(t):
     k = F.col("s_suppkey")
     of = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % 3 + 1).cast("int"))
     days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: F.when((k + d) % 7 < 5, 1).otherwise(0))
     s = t.raw("supplier")
     calendar = s.select(k.cast("string").alias("service"), of("20240101", "20240105", "20240110").alias("start"), of("20240131", "20240112", "20240120").alias("end"), days.alias("weekdays"))
     exceptions = s.filter(k % 5 == 0).select(k.cast("string").alias("service"), F.lit("20240110").alias("date"), (1 + k % 2).cast("int").alias("kind"))
-    return timetable.active_services(calendar, exceptions, "20240110")
+    return calendar, exceptions
 
 
-@query("calls", """
-select stop, count(*) filter (where seconds >= 25200 and seconds < 32400 or seconds >= 111600 and seconds < 118800) as departures, count(*) filter (where seconds >= 25200 and seconds < 32400 or seconds >= 111600 and seconds < 118800) * cast(0.5 as double) as per_hour from calls group by stop
+_DAYS = _CAL + """, dated as (select service, s_suppkey, unnest(generate_series(strptime(first, '%Y%m%d'), strptime(last, '%Y%m%d'), interval 1 day))::date as day from calendar),
+running as (select service, day from dated where (s_suppkey + isodow(day) - 1) % 7 < 5 and day <= date '2024-01-31' and not (day = date '2024-01-10' and service in (select service from exception where kind = 2))
+  union select service, date '2024-01-10' from exception where kind = 1)"""
+
+
+@query("", "with " + _DAYS + " select service, day from running", (103, 104, 299))
+def service_days(t):
+    """Every day of a month on which each service runs."""
+    return timetable.service_days(*_calendar(t), "20240101", "20240131")
+
+
+@query("calls", "with " + _DAYS + """,
+made as (select stop, route, cast(running.day + case when seconds >= 86400 then 1 else 0 end as date) as day, call % 9 <> 0 as board, call % 11 <> 0 as alight
+  from (select stop, route, call, seconds, cast(trip % 40 as varchar) as service from calls) join running using (service) where seconds % 86400 >= 25200 and seconds % 86400 < 32400)
+select day, stop, count(*) filter (where board) as departures, count(*) filter (where board) * cast(0.5 as double) as per_hour, count(*) filter (where alight) as set_down from made where board or alight group by day, stop
 """, (162, 165))
 def departures_per_hour(t):
-    return timetable.departures_per_hour(t.calls(), ["stop"], 25200, 32400)
+    """Departures from each stop between 7 and 9 on each day: of services of that day, and after 24 h of those of the day before."""
+    calls = t.calls().select("stop", "route", "call", "seconds", (F.col("trip") % 40).cast("string").alias("service"), F.when(F.col("call") % 9 == 0, 1).alias("pickup"), F.when(F.col("call") % 11 == 0, 1).otherwise(0).alias("drop_off"))
+    made = timetable.departures(calls, timetable.service_days(*_calendar(t), "20240101", "20240131"), 25200, 32400)
+    rate = timetable.per_hour(made, ["day", "stop"], 25200, 32400)
+    return rate.join(made.groupBy("day", "stop").agg(F.count_if("alight").alias("set_down")), ["day", "stop"])
 
 
 @query("calls", """
@@ -51,19 +72,28 @@ def stop_routes(t):
 
 
 @query("calls", """
-with p as (select route, trip, array_to_string(list(stop order by seconds, call), '>') as pattern from calls group by route, trip)
-select route, pattern, count(*) as trips, cast(row_number() over (partition by route order by count(*) desc, pattern) as int) as rank from p group by route, pattern
-""", (369, 164))
+with trip as (select route, day, trip, list(stop order by seconds, call) as pattern, min(seconds) as start from calls where isodow(day) <= 5 group by all),
+pat as (select route, pattern, count(*) as trips, count(*) filter (where start >= 25200 and start < 32400) as inside from trip group by all),
+main as (select route, min(struct_pack(t := -trips, pattern)).pattern as main, max(trips) as main_trips, cast(sum(trips) as bigint) as trips, count(*) as patterns, round(cast(sum(inside) as double) * 0.5 / (select count(distinct day) from trip), 6) as per_hour from pat group by route),
+first_ as (select route, stop, min(struct_pack(t := -trips, pattern, pos)) as f from (select route, trips, pattern, unnest(pattern) as stop, generate_subscripts(pattern, 1) as pos from pat) group by all),
+served as (select route, string_agg(stop, ',' order by f, stop) as stops from first_ group by route)
+select route, main[1] as "from", main[-1] as "to", array_to_string(main, '>') as main, main_trips, trips, patterns, per_hour, stops from main join served using (route)
+""", (164, 369))
 def line_patterns(t):
-    return timetable.patterns(t.calls())
+    """Lines by their trips on weekdays; a trip is of one service day."""
+    found = timetable.lines(t.calls().filter(F.weekday("day") < 5), "day", "trip", "route", 25200, 32400)
+    return found.withColumns({"per_hour": F.round("per_hour", 6), "main": F.array_join("main", ">"), "stops": F.array_join("stops", ",")})
 
 
 @query("calls", """
-with g as (select stop, seconds - lag(seconds) over (partition by stop order by seconds, call) as gap from calls)
-select stop, quantile_cont(gap, 0.5) as median, min(gap) as least, max(gap) as most, count(gap) as gaps from g where gap is not null group by stop
+with ride as (select b.day, b.route, b.stop as board, a.stop as alight, b.seconds as dep, (a.seconds - b.seconds) / 60.0::double as ride from calls b join calls a on a.trip = b.trip and a.day = b.day and a.call > b.call where b.seconds >= 25200 and b.seconds < 43200 + 2700)
+select day, route, board, alight, count(*) filter (where dep < 43200) as trips, round(quantile_cont(ride, 0.5), 4) as median, round(min(ride), 4) as least, round(max(ride), 4) as most, case when count(*) filter (where dep < 43200) > 0 then round(300.0::double / count(*) filter (where dep < 43200), 1) end as headway
+from ride group by all
 """, (24,))
 def ride_headway(t):
-    return timetable.headways(t.calls(), ["stop"])
+    """Of each route, day and pair of stops: trips that leave between 7 and 12, minutes between them, and how long the ride takes."""
+    found = timetable.rides(t.calls(), ["day", "trip"], ["day", "route"], 25200, 43200, 2700)
+    return found.withColumns({c: F.round(c, 4) for c in ("median", "least", "most")})
 
 
 @query("calls", """

@@ -16,12 +16,19 @@ def fold_names(t):
 
 
 @query("destinations", """
-select id, service_name, case when kind = 'ECONOMY' and service <> 'Brand#1' then 'shop' when kind in ('SMALL', 'LARGE') then 'clinic' end as matched from (select *, name as service_name from destinations)
-""", (85, 86, 87, 13))
+with tag as (select id, ['doctors', 'clinic', 'pharmacy', 'library', null][id % 5 + 1] as amenity, ['doctor', 'physiotherapist', '', 'pharmacy', null, 'centre'][id % 6 + 1] as healthcare, case when id % 7 < 2 then 'private' end as access, case when kind = 'ECONOMY' then 'supermarket' end as shop from destinations)
+select id, case when shop = 'supermarket' then 'supermarket'
+  when amenity = 'doctors' or amenity = 'clinic' and coalesce(healthcare, '') in ('', 'doctor', 'clinic', 'centre') or healthcare in ('doctor', 'clinic', 'centre') then 'gp'
+  when amenity = 'pharmacy' or healthcare = 'pharmacy' then 'pharmacy' when amenity = 'library' and access is null then 'library' end as matched from tag
+""", (13, 85, 86, 87))
 def tag_match(t):
-    raw = F.format_string('"kind"=>"%s", "brand"=>"%s", "kind"=>"again"', "kind", "service")
-    rules = [("shop", {"kind": ["ECONOMY"]}), ("clinic", {"kind": ["SMALL", "LARGE"]})]
-    return t.destinations().select("id", F.col("name").alias("service_name"), text.match_service(text.tags(raw), rules, {"shop": {"brand": ["Brand#1"]}}).alias("matched"))
+    """The service of each place by its tags: any key of a rule, less exclusions and clinics of another kind."""
+    of = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("id") % len(v) + 1).cast("int"))
+    said = lambda key, value: F.when(value.isNotNull(), F.format_string(f'"{key}"=>"%s"', value))
+    raw = F.concat_ws(",", said("amenity", of("doctors", "clinic", "pharmacy", "library", None)), said("healthcare", of("doctor", "physiotherapist", "", "pharmacy", None, "centre")), F.when(F.col("id") % 7 < 2, '"access"=>"private"'), F.when(F.col("kind") == "ECONOMY", '"shop"=>"supermarket"'))
+    rules = [("supermarket", {"shop": ["supermarket"]}), ("gp", {"amenity": ["doctors", "clinic"], "healthcare": ["doctor", "clinic", "centre"]}), ("pharmacy", {"amenity": ["pharmacy"], "healthcare": ["pharmacy"]}), ("library", {"amenity": ["library"]})]
+    excludes = {"library": {"access": ["private", "no", "customers", "students"]}}
+    return t.destinations().select("id", text.match_service(text.tags(raw), rules, excludes, {"gp": ("amenity", "clinic", "healthcare")}).alias("matched"))
 
 
 @query("schools", """
