@@ -13,10 +13,13 @@ for 85 bytes, n windows in n + 199 bytes. Segments meet by the hash of their anc
   is merge-scanned against that bucket's array in each existing level: equal neighbours in
   the merged order are matches. Levels of equal rank merge into one of the next rank, so
   n batches are in at most log2(n) + 1 levels, each written at most log2(n) times;
-* an h with more different segments than an array should hold is compared window by
-  window, by digest, in a shuffle that splits as finely as the windows do.
+* an h with more different segments than an array should hold is cut finer: windows at 32
+  neighbouring distances from the anchor are a piece, pieces are told apart by digest, and
+  only those that share their inner bytes with a different one are cut again, down to
+  single windows. So a passage that very many texts have takes some rows for each.
 
-A segment whose h occurs nowhere else needs no further look. A bitmap of fixed size keeps
+A segment whose h occurs nowhere else needs no further look, nor does one whose h has only
+segments that occur twice. A bitmap of fixed size keeps
 most of those away; it only saves work, as everything is joined by h afterwards.
 """
 
@@ -38,13 +41,13 @@ from .text import _strings, grams, signed, sliding_min
 
 MATCH, GRAM = 200, 32
 #: Bytes of text worked on at once; a longer text is cut into overlapping pieces. Below 2**24, see ``_segments``.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Most different segments of an anchor hash that go into suffix arrays.
-MOST_KINDS = 1000
-#: Segments that a bucket's array is meant to hold: some 35 MB of windows while it is worked on.
-BUCKET = 2000
+MOST_KINDS = 500
+#: Segments that a bucket's array is meant to hold: some 17 MB of windows while it is worked on.
+BUCKET = 1000
 #: Different segments counted in one task before they are handed on.
-FLUSH = 200_000
+FLUSH = 50_000
 BROADCAST_BYTES = 64 << 20
 
 
@@ -145,12 +148,16 @@ def occurrences(docs: DataFrame, met, compared) -> DataFrame:
 
 _BLOCK = "bucket int, h array<long>, digest array<binary>, n array<int>, text binary, suffixes binary"
 _FOUND = "h long, digest binary, first int, end int"
+#: A block with the ranges that were found while it was made: segment's place in the block, first and end window.
+_MADE = _BLOCK + ", segment array<int>, first array<int>, end array<int>"
 
 
-def _windows(text: bytes, n: np.ndarray) -> np.ndarray:
-    """Every window of segments that lie one after the other in ``text``, as strings of 200 bytes; of this length they compare byte by byte."""
+def _windows(text: bytes, n: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Every window of segments that lie one after the other in ``text``, in ``order``, as strings of 200 bytes; of this length they compare byte by byte."""
     past = np.r_[0, np.cumsum(n)]
     starts = np.arange(past[-1]) + np.repeat(np.arange(len(n)) * (MATCH - 1), n)
+    if order is not None:
+        starts = starts[order]
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, dtype=np.uint8), MATCH)
     return np.ascontiguousarray(view[starts]).view(f"S{MATCH}").ravel()
 
@@ -169,38 +176,45 @@ def _order(sorted_runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, equal
 
 
-def _ranges(block, equal: np.ndarray) -> pd.DataFrame:
-    """Runs of repeated windows of each segment, from flags of all windows of a block."""
-    n = np.asarray(block.n)
+def _ranges(n: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of repeated windows, from flags of all windows of a block: segment's place, first and end window."""
     past = np.r_[0, np.cumsum(n)]
     seg = np.repeat(np.arange(len(n)), n)
     at = np.flatnonzero(equal)
-    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (seg[at[1:]] != seg[at[:-1]])]) if len(at) else at
-    last = at[np.r_[new[1:], len(at)] - 1] if len(at) else at
+    if not len(at):
+        return (np.empty(0, dtype=np.int32),) * 3
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (seg[at[1:]] != seg[at[:-1]])])
     own = seg[at[new]]
-    return pd.DataFrame({"h": np.asarray(block.h)[own], "digest": [block.digest[i] for i in own], "first": (at[new] - past[own]).astype(np.int32), "end": (last + 1 - past[own]).astype(np.int32)})
+    return own.astype(np.int32), (at[new] - past[own]).astype(np.int32), (at[np.r_[new[1:], len(at)] - 1] + 1 - past[own]).astype(np.int32)
+
+
+def _found(block, equal: np.ndarray) -> pd.DataFrame:
+    own, first, end = _ranges(np.asarray(block.n), equal)
+    return pd.DataFrame({"h": np.asarray(block.h)[own], "digest": [block.digest[i] for i in own], "first": first, "end": end})
+
+
+def _made(bucket: int, h, digest, n, text: bytes, suffixes: np.ndarray, equal: np.ndarray) -> pd.DataFrame:
+    own, first, end = _ranges(np.asarray(n), equal)
+    return pd.DataFrame({"bucket": [bucket], "h": [h], "digest": [digest], "n": [n], "text": [text], "suffixes": [suffixes.astype(np.int32).tobytes()], "segment": [own], "first": [first], "end": [end]})
 
 
 def _array(group: pd.DataFrame) -> pd.DataFrame:
-    """The suffix array of a bucket's segments."""
+    """The suffix array of a bucket's segments, and the windows that repeat within it: neighbours in its order."""
     n, text = group["n"].to_numpy(), b"".join(group["seg"])
-    order, _ = _order(_windows(text, n))
-    return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "h": [group["h"].to_numpy()], "digest": [list(group["digest"])], "n": [n], "text": [text], "suffixes": [order.astype(np.int32).tobytes()]})
+    order, equal = _order(_windows(text, n))
+    return _made(group["bucket"].iloc[0], group["h"].to_numpy(), list(group["digest"]), n, text, order, equal)
 
 
 def _sorted(block) -> tuple[np.ndarray, np.ndarray]:
     """A block's windows in lexicographic order, and which window each is."""
     order = np.frombuffer(block.suffixes, dtype=np.int32)
-    return _windows(block.text, np.asarray(block.n))[order], order
+    return _windows(block.text, np.asarray(block.n), order), order
 
 
-def _within(group: pd.DataFrame) -> pd.DataFrame:
-    """Windows that repeat within one array; neighbours in its order."""
-    block = next(group.itertuples())
-    windows, order = _sorted(block)
-    equal = np.zeros(len(order), dtype=bool)
-    equal[order] = _order(windows)[1]
-    return _ranges(block, equal)
+def _one_after_the_other(a, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted windows of two blocks, and which window of its block each is."""
+    (wa, oa), (wb, ob) = _sorted(a), _sorted(b)
+    return np.concatenate([wa, wb]), oa, ob
 
 
 def _scan(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -208,22 +222,26 @@ def _scan(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     if not len(new) or not len(old):
         return pd.DataFrame({"h": pd.Series(dtype="int64"), "digest": pd.Series(dtype="object"), "first": pd.Series(dtype="int32"), "end": pd.Series(dtype="int32")})
     a, b = next(new.itertuples()), next(old.itertuples())
-    (wa, oa), (wb, ob) = _sorted(a), _sorted(b)
-    _, equal = _order(np.concatenate([wa, wb]))
+    both, oa, ob = _one_after_the_other(a, b)
+    _, equal = _order(both)
     fa, fb = np.zeros(len(oa), dtype=bool), np.zeros(len(ob), dtype=bool)
     fa[oa], fb[ob] = equal[: len(oa)], equal[len(oa) :]
-    return pd.concat([_ranges(a, fa), _ranges(b, fb)])
+    return pd.concat([_found(a, fa), _found(b, fb)])
 
 
 def _merged(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    """One array in place of two."""
+    """One array in place of two, and the windows that they share: the same merge."""
+    none = np.empty(0, dtype=np.int32)
     if not len(new) or not len(old):
-        return new if len(new) else old
+        a = next((new if len(new) else old).itertuples())
+        return _made(a.bucket, a.h, a.digest, a.n, a.text, np.frombuffer(a.suffixes, dtype=np.int32), none)
     a, b = next(new.itertuples()), next(old.itertuples())
-    (wa, oa), (wb, ob) = _sorted(a), _sorted(b)
-    order, _ = _order(np.concatenate([wa, wb]))
-    suffixes = np.concatenate([oa, ob + np.int32(len(oa))])[order]
-    return pd.DataFrame({"bucket": [a.bucket], "h": [np.r_[a.h, b.h]], "digest": [[*a.digest, *b.digest]], "n": [np.r_[a.n, b.n]], "text": [a.text + b.text], "suffixes": [suffixes.astype(np.int32).tobytes()]})
+    both, oa, ob = _one_after_the_other(a, b)
+    order, same = _order(both)
+    suffixes = np.concatenate([oa, ob + np.int32(len(oa))])
+    equal = np.zeros(len(suffixes), dtype=bool)
+    equal[suffixes] = same
+    return _made(a.bucket, np.r_[a.h, b.h], [*a.digest, *b.digest], np.r_[a.n, b.n], a.text + b.text, suffixes[order], equal)
 
 
 class SuffixLevels:
@@ -256,9 +274,9 @@ class SuffixLevels:
         done = [n for n in names if n.startswith("manifest-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return [int(n.removeprefix("manifest-")) for n in done]
 
-    def _commit(self, levels: list[tuple[int, str]]) -> None:
-        """A manifest counts once it is complete; what only older ones name is deleted after that."""
-        old, self.levels, self.version = self.levels, levels, self.version + 1
+    def _commit(self, levels: list[tuple[int, str]], made: list[str]) -> None:
+        """A manifest counts once it is complete; what only older ones name, or nothing, is deleted after that."""
+        old, self.levels, self.version = [*self.levels, *[(0, name) for name in made]], levels, self.version + 1
         state = json.dumps({"buckets": self.buckets, "levels": levels})
         self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version}")
         _, fs = self._fs()
@@ -277,23 +295,27 @@ class SuffixLevels:
         """Take in different ``segments`` (h, digest, n, seg) of a batch; give (h, digest, first, end): ranges of windows that also start elsewhere.
 
         These are windows of the batch, and of older segments that the batch meets. Ranges
-        can come more than once. The result is read from files that the caller may delete
-        with the folder ``found-...`` of the index.
+        can come more than once. A level of equal rank is scanned and merged in one go. The
+        result is read from files that the caller may delete with the folder ``found-...``
+        of the index.
         """
         rows = segments.select(F.expr(f"cast(pmod(h, {self.buckets}) as int)").alias("bucket"), "h", "digest", "n", "seg")
-        new = self._write(rows.groupBy("bucket").applyInPandas(_array, _BLOCK))
-        fresh = self._read(new)
-        found = fresh.groupBy("bucket").applyInPandas(_within, _FOUND)
-        for _, level in self.levels:
-            found = found.unionByName(fresh.groupBy("bucket").cogroup(self._read(level).groupBy("bucket")).applyInPandas(_scan, _FOUND))
-        out = f"{self.path}/found-{uuid.uuid4().hex[:12]}"
-        found.distinct().write.parquet(out)
-        levels, rank = list(self.levels), 0
+        fresh = new = self._write(rows.groupBy("bucket").applyInPandas(_array, _MADE))
+        made, levels, rank, found = [new], list(self.levels), 0, None
         while levels and levels[-1][0] == rank:
             other = levels.pop()[1]
-            merged = self._read(new).groupBy("bucket").cogroup(self._read(other).groupBy("bucket")).applyInPandas(_merged, _BLOCK)
-            new, rank = self._write(merged), rank + 1
-        self._commit([*levels, (rank, new)])
+            new, rank = self._write(self._read(new).groupBy("bucket").cogroup(self._read(other).groupBy("bucket")).applyInPandas(_merged, _MADE)), rank + 1
+            made.append(new)
+        for _, level in levels:
+            scanned = self._read(fresh).groupBy("bucket").cogroup(self._read(level).groupBy("bucket")).applyInPandas(_scan, _FOUND)
+            found = scanned if found is None else found.unionByName(scanned)
+        for name in made:
+            each = self.spark.read.schema(_MADE).parquet(f"{self.path}/{name}").select("h", "digest", F.explode(F.arrays_zip("segment", "first", "end")).alias("r"))
+            each = each.select(F.get("h", F.col("r.segment")).alias("h"), F.get("digest", F.col("r.segment")).alias("digest"), "r.first", "r.end")
+            found = each if found is None else found.unionByName(each)
+        out = f"{self.path}/found-{uuid.uuid4().hex[:12]}"
+        found.write.parquet(out)
+        self._commit([*levels, (rank, new)], made)
         return self.spark.read.schema(_FOUND).parquet(out)
 
     def delete(self) -> None:
@@ -304,24 +326,59 @@ class SuffixLevels:
 # -- the whole table -------------------------------------------------------------------
 
 
-def _by_window(segments: DataFrame) -> DataFrame:
-    """The same ranges for segments of very common anchors: windows are counted by digest, whatever their number."""
+#: Neighbouring distances from the anchor whose windows are compared together, step by step.
+PIECES = (8, 1)
+
+
+def _cut(segments: DataFrame, size: int) -> DataFrame:
+    """(core, whole, h, digest, first, n, seg): segments or pieces (h, digest, first, n, seg) cut into windows at ``size`` neighbouring distances from the anchor.
+
+    ``whole`` is a digest of a piece's bytes and place, ``core`` one of the bytes that all
+    windows at its distances have: equal windows lie in pieces of equal core.
+    """
+    fields = {"core": pa.binary(), "whole": pa.binary(), "h": pa.int64(), "digest": pa.binary(), "first": pa.int32(), "n": pa.int32(), "off": pa.int32(), "seg": pa.binary()}
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                seg, n = batch[3][i].as_py(), batch[2][i].as_py()
-                yield pa.RecordBatch.from_pydict({
-                    "win": pa.array([_digest(seg[k : k + MATCH]) for k in range(n)], pa.binary()), "h": pa.array([batch[0][i].as_py()] * n, pa.int64()),
-                    "digest": pa.array([batch[1][i].as_py()] * n, pa.binary()), "first": pa.array(range(n), pa.int32()),
-                })
+            for h, digest, first, n, off, seg in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows, i = [], 0
+                while i < n:  # window i starts off - i bytes before the anchor
+                    step = (off - i) // size
+                    end = min(n, off - step * size + 1)
+                    tag = f"{h} {step} {size} ".encode()
+                    core = seg[off - step * size : off - step * size - size + 1 + MATCH]
+                    rows.append((_digest(tag + core), _digest(tag + f"{off - i} ".encode() + seg[i : end + MATCH - 1]), h, digest, first + i, end - i, off - i, seg[i : end + MATCH - 1]))
+                    i = end
+                yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(fields.items(), zip(*rows, strict=True), strict=True)})
+
+    return segments.select("h", "digest", "first", "n", "off", "seg").mapInArrow(run, "core binary, whole binary, h long, digest binary, first int, n int, off int, seg binary")
+
+
+def _distance(seg: bytes) -> int:
+    """Of a segment's first window: bytes from its start to its anchor."""
+    return int(np.argmin(grams(np.frombuffer(seg[:MATCH], dtype=np.uint8).astype(np.uint64), GRAM) >> np.uint64(24)))
+
+
+def _in_pieces(segments: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same ranges for segments (h, digest, n, seg) of very common anchors, whatever their number."""
+
+    @F.pandas_udf("int")
+    def distance(segs: pd.Series) -> pd.Series:
+        return segs.map(_distance)
 
-    windows = segments.select("h", "digest", "n", "seg").mapInArrow(run, "win binary, h long, digest binary, first int")
-    again = windows.groupBy("win").agg(F.count("*").alias("times")).filter("times > 1").select("win")
-    return windows.join(again, "win").select("h", "digest", "first", (F.col("first") + 1).alias("end"))
+    ranges, rows = None, segments.select("h", "digest", F.lit(0).alias("first"), "n", distance("seg").alias("off"), "seg")
+    for size in PIECES:
+        rows = scratch.save(_cut(rows, size), f"pieces-{size}")
+        kinds = rows.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("h", "digest", "first", "n", "off", "seg")).alias("one"))
+        kinds = scratch.save(kinds, f"kinds-{size}")
+        found = rows.join(kinds.filter("times > 1").select("whole"), "whole").select("h", "digest", "first", (F.col("first") + F.col("n")).alias("end"))
+        ranges = found if ranges is None else ranges.unionByName(found)
+        open_ = kinds.groupBy("core").agg(F.count("*").alias("n"), F.min("times").alias("least")).filter("n > 1 and least = 1").select("core")
+        rows = kinds.join(open_, "core", "left_semi").select("one.*")
+    return ranges
 
 
-def repeats(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, Scratch]:
+def repeats(docs: DataFrame, batches: int = 3) -> tuple[DataFrame, Scratch]:
     """(doc_id, part, spans): byte ranges first, end, first, end ... of ``docs`` (doc_id, part, text) that repeated windows cover.
 
     The texts are taken into the levels as ``batches`` batches, dealt by a hash of doc_id.
@@ -329,11 +386,11 @@ def repeats(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, Scratch]:
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     pieces = scratch.save(fingerprints(docs).groupBy("h", "digest").agg(F.sum("times").alias("times")), "pieces")
-    met = pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.max("times").alias("most")).filter("kinds > 1 or most > 1")
+    met = pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.min("times").alias("least"), F.max("times").alias("most")).filter("kinds > 1 or most > 1")
     met = scratch.save(met.drop("most"), "met")
     again = scratch.save(pieces.filter("times > 1").select("h", "digest"), "again")
     scratch.drop("pieces")
-    compared = met.filter("kinds > 1")
+    compared = met.filter("kinds > 1 and least = 1")  # where all occur twice there is nothing left to find
     bits = bitmap(spark, met, "h"), bitmap(spark, compared, "h")
     found = occurrences(docs, *bits).withColumn("batch", F.expr(f"cast(pmod(crc32(cast(coalesce(doc_id, 0) as string)), {batches}) as int)"))
     found = scratch.save(found, "occurrences")
@@ -343,14 +400,15 @@ def repeats(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, Scratch]:
         used.destroy()
 
     ranges = again.withColumns({"first": F.lit(0), "end": F.lit(None).cast("int")})
-    ranges = ranges.unionByName(_by_window(segments.filter(F.col("kinds") > MOST_KINDS)))
+    common = segments.filter(F.col("kinds") > MOST_KINDS).groupBy("h", "digest").agg(F.max("seg").alias("seg"), F.max("n").alias("n"))
+    ranges = ranges.unionByName(_in_pieces(common, scratch))
     few = segments.filter(F.col("kinds") <= MOST_KINDS)
     count = few.count()
     levels = SuffixLevels(spark, max(1, -(-count // BUCKET)))
     for k in range(batches if count else 0):
         ranges = ranges.unionByName(levels.ingest(few.filter(F.col("batch") == k)))
     ranges = scratch.save(ranges.distinct(), "ranges")
-    scratch.drop("again", "met", "segments")
+    scratch.drop("again", "met", "segments", *[f"{t}-{size}" for t in ("pieces", "kinds") for size in PIECES])
     levels.delete()
 
     # both sides are tables, so that the join of a passage that very many documents have can be split
@@ -372,7 +430,7 @@ def repeats(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, Scratch]:
     return spans, scratch
 
 
-def drop_repeated_bytes(docs: DataFrame, batches: int = 4) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, batches: int = 3) -> DataFrame:
     """(doc_id, n_bytes, n_spans, kept): what is left of each text, as bytes (a cut can fall inside a character).
 
     Every occurrence of a repeated 200-byte string goes, the first as well. Null texts are
@@ -411,8 +469,10 @@ def op12_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 with doc as (
   select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), piece as (
+  select r, j, substr(x, 4000 * j + 1, 4398) as y from (select r, x, unnest(range(0, (len(x) + 3999) // 4000)) as j from doc)
 ), win as (
-  select r, i, md5(substr(x, 2 * i + 1, 400)) as w from (select r, x, unnest(range(0, len(x) // 2 - 199)) as i from doc where len(x) >= 400)
+  select r, 2000 * j + k as i, md5(substr(y, 2 * k + 1, 400)) as w from (select r, j, y, unnest(range(0, least(2000, len(y) // 2 - 199))) as k from piece where len(y) >= 400)
 ), hit as (
   select r, i from win where w in (select w from win group by w having count(*) > 1)
 ), span as (

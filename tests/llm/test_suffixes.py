@@ -70,7 +70,7 @@ def test_small_pieces_many_batches_and_common_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK", 500)
     monkeypatch.setattr(suffixes, "BUCKET", 5)
     assert dropped(spark, rows, batches=7) == expected
-    monkeypatch.setattr(suffixes, "MOST_KINDS", 2)  # windows by digest for most anchors
+    monkeypatch.setattr(suffixes, "MOST_KINDS", 2)  # pieces for most anchors
     assert dropped(spark, rows) == expected
 
 
