@@ -80,8 +80,9 @@ def schedule(weighted: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_position, by which the mixture is in order.
 
-    ``weights``: (source, w) with integer weights of 1 or more; a source that it doesn't
-    name has weight 1. Without it sources are tempered by size. The order within a source
+    ``weights``: (source, w) with integer weights of 1 or more, anything else is an error; a
+    source that it names several times has the sum, one that it doesn't name weight 1.
+    Without it sources are tempered by size. The order within a source
     is that of MD5 of doc_id; null ids come as the empty text; rows with one id follow
     each other in any order; a null source is a source; an empty table gives no rows. Other
     columns stay, whatever their names; earlier mix_ columns are replaced.
@@ -97,7 +98,9 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK)
     if weights is None:
         weighted = tempered(counts)
     else:
-        named = weights.select(_key("source").alias("key"), F.col("w").cast("long").alias("w"))
+        if not weights.filter("w is null or w < 1 or w != floor(w)").isEmpty():
+            raise ValueError("weights must be integers of 1 or more")
+        named = weights.groupBy(_key("source").alias("key")).agg(F.sum(F.col("w").cast("long")).alias("w"))
         weighted = counts.join(named, "key", "left").select("key", "n", F.coalesce("w", F.lit(1)).alias("w"))
     pattern = scratch.save(schedule(weighted, block), "pattern")
     near = F.broadcast if pattern.count() <= BROADCAST_ROWS else (lambda x: x)
