@@ -55,13 +55,13 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def tile(heaps: list, query_ids, queries, q_parts, ids, rows, k: int) -> None:
-    """Push one tile's candidates into the heaps of (score, -id)."""
+    """Push one tile's candidates into the heaps of (score, -id, -tie); ids are (id, tie) of each row, of which no two are equal."""
     q, qs, qn, qe = q_parts
     c, cs, cn, ce = quantised(rows)
     near = _product(q, c).astype(np.float64) * qs[:, None] * cs[None, :]
     slack = qn[:, None] * ce[None, :] + qe[:, None] * cn[None, :] + qe[:, None] * ce[None, :]
     slack = slack * (1 + 1e-9) + 1e-12 * ((qn + qe)[:, None] * (cn + ce)[None, :]) + 1e-300
-    own = query_ids[:, None] == ids[None, :]
+    own = query_ids[:, 1][:, None] == ids[:, 1][None, :]  # a tie is one row's
     lower = np.where(own, -np.inf, near - slack)
     floor = np.full(len(queries), -np.inf)
     if len(ids) > k:
@@ -71,12 +71,12 @@ def tile(heaps: list, query_ids, queries, q_parts, ids, rows, k: int) -> None:
             floor[i] = max(floor[i], heap[0][0])
     at_q, at_c = np.nonzero((near + slack >= floor[:, None]) & ~own)
     score = exact(queries[at_q], rows[at_c])
-    order = np.lexsort((ids[at_c], -score, at_q))
-    at_q, score, found = at_q[order], score[order], ids[at_c][order]
+    order = np.lexsort((ids[at_c, 1], ids[at_c, 0], -score, at_q))
+    at_q, score, found = at_q[order], score[order], -ids[at_c][order]
     first = np.searchsorted(at_q, np.arange(len(queries) + 1))
     for i in np.flatnonzero(np.diff(first)):
         a, b = first[i], min(first[i + 1], first[i] + k)
-        for entry in zip(score[a:b].tolist(), (-found[a:b]).tolist(), strict=True):
+        for entry in zip(score[a:b].tolist(), *found[a:b].T.tolist(), strict=True):
             if len(heaps[i]) < k:
                 heapq.heappush(heaps[i], entry)
             elif entry > heaps[i][0]:
@@ -86,11 +86,11 @@ def tile(heaps: list, query_ids, queries, q_parts, ids, rows, k: int) -> None:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, dim, vector) that take part: no nulls, all finite, not zero; rows with one id count once, the least vector."""
+    """(vec_id, tie, dim, vector) that take part: no nulls, all finite, not zero. Each row has a ``tie`` of its own, by which rows with one id are told apart; write it before it is used twice."""
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vec_id is not null and vector is not null")
     rows = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", F.size("vector").alias("dim"), "vector")
+    return rows.select("vec_id", F.monotonically_increasing_id().alias("tie"), F.size("vector").alias("dim"), "vector")
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -116,11 +116,12 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
                     yield from made()
                     held = []
                 key = tuple(both[a].tolist())
-                held.append((batch[2].slice(a, b - a).to_numpy(), batch[3].slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)))
+                ids = np.stack([batch[2].slice(a, b - a).to_numpy(), batch[3].slice(a, b - a).to_numpy()], axis=1)
+                held.append((ids, batch[4].slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)))
         if held:
             yield from made()
 
-    dealt = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "vector").repartition(parts, "dim", "part").sortWithinPartitions("dim", "part")
+    dealt = rows.select("dim", F.pmod(F.xxhash64("vec_id", "tie"), F.lit(parts)).cast("int").alias("part"), "vec_id", "tie", "vector").repartition(parts, "dim", "part").sortWithinPartitions("dim", "part")
     return dealt.mapInArrow(run, "dim int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
 
 
@@ -129,7 +130,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, query_rows: int = Q
 
     Ties go to the smaller id. Null vectors and vectors that are zero or hold null or
     non-finite components take no part, nor do rows without an id; vectors of different
-    dimension are not compared; rows with one id count once; an empty table, or one
+    dimension are not compared; rows with one id are rows like others, as candidates (of
+    each other, too) and as queries, each with ranks of its own; an empty table, or one
     vector, gives no rows.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
@@ -145,19 +147,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, query_rows: int = Q
     tasks = min(10_000, max(1, lanes * max(1, queries.count())))
 
     def run(batches):
-        schema = ["query_id", "vec_id", "score"]
+        schema = ["query_id", "query_tie", "vec_id", "score"]
         key, query = None, None
 
         def out():
             ids, _, _, heaps = query
-            rows = [(q, -c, s) for q, heap in zip(ids.tolist(), heaps, strict=True) for s, c in heap]
+            rows = [(*q, -c, s) for q, heap in zip(ids.tolist(), heaps, strict=True) for s, c, _ in heap]
             if rows:
                 yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.float64() if n == "score" else pa.int64()) for n, x in zip(schema, zip(*rows, strict=True), strict=True)})
 
         for batch in batches:
             for dim, lane, kind, against, ids, data in zip(*(batch[c] for c in ("dim", "lane", "kind", "against", "ids", "data")), strict=True):
                 dim, now = dim.as_py(), (dim.as_py(), lane.as_py(), against.as_py())
-                ids, data = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(data.as_py(), np.float64).reshape(-1, dim)
+                ids, data = np.frombuffer(ids.as_py(), np.int64).reshape(-1, 2), np.frombuffer(data.as_py(), np.float64).reshape(-1, dim)
                 if kind.as_py() == 0:
                     if query is not None:
                         yield from out()
@@ -168,8 +170,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, query_rows: int = Q
             yield from out()
 
     dealt = tiles.repartition(tasks, "dim", "lane", "against").sortWithinPartitions("dim", "lane", "against", "kind", "block")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(run, "query_id long, query_tie long, vec_id long, score double")
+    order = W.partitionBy("query_id", "query_tie").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -179,13 +181,12 @@ def op10_neighbours(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = f"""
 with usable as (
-  select vec_id, min(cast(embedding as double[])) as v from embeddings
+  select row_number() over () as r, vec_id, cast(embedding as double[]) as v from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
-  group by vec_id
 )
 select query_id, cast(rank as int) as rank, vec_id, score from (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score, row_number() over (partition by q.vec_id order by list_inner_product(q.v, c.v) desc, c.vec_id) as rank
-  from usable q join usable c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score, row_number() over (partition by q.r order by list_inner_product(q.v, c.v) desc, c.vec_id) as rank
+  from usable q join usable c on q.vec_id % 20 = 0 and q.r <> c.r and len(q.v) = len(c.v)
 ) where rank <= {K}
 """
