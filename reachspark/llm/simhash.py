@@ -440,4 +440,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         return out
     own = [F.col("doc_id").cast("long").alias("own_id"), F.expr(PART).alias("own_part")]
     equal = out.select(F.struct("*").alias("whole"), *own).join(more, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_part") == F.col("part")), "left_semi")
-    return without(out, more, BROADCAST_ROWS).unionByName(equal.groupBy("own_id", "own_part").agg(F.min("whole").alias("whole")).select("whole.*"))
+    return without(out, more, BROADCAST_ROWS).unionByName(equal.groupBy("own_id", "own_part").agg(F.min_by("whole", F.to_json("whole")).alias("whole")).select("whole.*"))

@@ -275,10 +275,10 @@ def repeated_spans(docs: DataFrame, batches: int = 3, fanout: int = 1) -> DataFr
     """Spans of all documents, taken in as ``batches`` batches of ascending doc_id, with a compaction when there are over ``fanout`` runs."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, fanout=fanout)
-    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
-    if low is None:
-        low = high = 0
-    cuts = [low + (high - low + 1) * k // batches for k in range(batches)] + [high + 1]
+    own = F.col("doc_id").cast("long")
+    low, high, inner = docs.agg(F.min(own), F.max(own), F.percentile_approx(own, [k / batches for k in range(1, batches)] or [0.5])).first()
+    # by quantiles, so that one far-off id makes no empty batches
+    cuts = sorted({low, *[x + 1 for x in inner if batches > 1], high + 1}) if low is not None else [0, 1]
     spans = None
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:

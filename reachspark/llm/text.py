@@ -2,11 +2,13 @@
 
 Everything here works on UTF-8 bytes, a bounded chunk at a time, so that a batch of
 short texts and one very long text take the same memory per byte. Hashes are
-polynomials modulo 2**64 that are finished with a bit mixer.
+polynomials modulo 2**64 that are finished with a bit mixer; long words have BLAKE2
+instead, as such polynomials can't tell some long, regular texts apart whatever their base.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,8 @@ import pyarrow as pa
 
 #: Bytes hashed at once; the power tables have this many entries.
 PIECE = 1 << 18
+#: Bytes of a word from which on its hash is BLAKE2: a Thue-Morse text and its complement agree in 26 bits of a polynomial at 64 bytes, in all at 1024.
+LONG = 64
 #: A chunk of documents ends when it holds this many bytes.
 CHUNK = 1 << 20
 
@@ -108,6 +112,8 @@ class Words:
             to = max(at + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
             out[at:to] = _bytes_hash(self.buf[low : ends[to - 1]].astype(np.uint64), starts[at:to] - low, ends[at:to] - low)
             at = to
+        for i in np.flatnonzero(ends - starts >= LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(self.buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
         return out
 
     def left(self) -> np.ndarray:

@@ -248,6 +248,35 @@ def test_substring_matches_brute_force(spark, batches):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats([r[:2] for r in rows])
 
 
+def thue_morse(n):
+    """A text of 2**n letters and its complement, which every polynomial modulo 2**64 takes for equal from n = 10 on."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [6, 10, 11])
+def test_long_words_of_equal_polynomials_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    h = [int(w.hashes()[0]) for t in (a, b) for w in text.chunks(pa.array([t]), text.SPACED)]
+    assert h[0] != h[1]
+    said = " ".join(f"w{i}" for i in range(12))
+    got = substring.drop_repeated(frame(spark, [(1, f"{said} {a}", "en", "s", 1), (2, f"{said} {b}", "en", "s", 1)]), 1, digest=True).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0}
+    assert sorted(r.doc_id for r in simhash.stage(spark, frame(spark, [(1, a, "en", "s", 1), (2, b, "en", "s", 1), (3, a, "en", "s", 1)]), "").collect()) == [1, 2]
+
+
+def test_batches_of_ids_with_one_far_off(spark):
+    rows = [(i if i < 99 else 10**15, " ".join(f"w{j}" for j in range(i % 7, 30)), "en", "s", 1) for i in range(100)]
+    got = substring.drop_repeated(frame(spark, rows), 3, digest=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats([r[:2] for r in rows])
+
+
+def test_near_copies_with_a_map_beside_them(spark):
+    rows = [(1, "a b c d e f", {"k": 1}), (1, "a b c d e f", {"k": 1}), (2, "g h i", None), (2, "g h i", {"k": 2})]
+    got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>"), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
+
+
 def test_substring_index_compacts_and_still_finds(spark):
     rows = documents(4, 40)
     df = frame(spark, rows)
@@ -511,6 +540,16 @@ def test_mixing_of_nulls_repeats_and_nothing(spark):
 # -- 3 -------------------------------------------------------------------------------
 
 
+def test_weights_named_twice_and_weights_that_are_none(spark):
+    df = frame(spark, [(i, "t", "en", f"s{i % 2}", 0) for i in range(100)])
+    weights = lambda *rows: spark.createDataFrame(rows, "source string, w double")
+    one, two = mixing.mixed(df, weights(("s0", 1.0), ("s0", 2.0), ("s1", 1.0), ("x", 5.0)), block=4).collect(), mixing.mixed(df, weights(("s0", 3.0), ("s1", 1.0)), block=4).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len({r.doc_id for r in one}) == len(one) == 100
+    for bad in (0.0, -1.0, 1.5, None):
+        with pytest.raises(ValueError, match="integers of 1 or more"):
+            mixing.mixed(df, weights(("s0", bad), ("s1", 1.0)))
+
+
 def test_warc_round_trip_rolls_files_and_is_deterministic(spark):
     rows = [(i, f"http://h/{i}", "page %d " % (i % 7) * (i % 5)) for i in range(50)] + [(100, None, None), (101, "http://a%b\r\n", "é\r\n\r\nx"), (None, "u", "page"), (102, "u", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -644,12 +683,12 @@ def test_chat_table_of_odd_rows(spark):
 
 
 def brute_nearest(rows, every, k):
-    usable = {i: np.array(v, dtype=float) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    usable = [(n, i, np.array(v, dtype=float)) for n, (i, v) in enumerate(rows) if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = []
-    for q, v in usable.items():
+    for n, q, v in usable:
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), i) for i, c in usable.items() if i != q and len(c) == len(v))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), i) for m, i, c in usable if m != n and len(c) == len(v))[:k]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -664,6 +703,12 @@ def test_neighbours_match_brute_force(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_rows_with_one_id_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [5.0, 0.0]), (21, [1.0, 9.0]), (22, [1.0, 1.0]), (22, [1.0, 1.0]), (40, [2.0, 2.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_nearest(rows, 20, 4) and len(got) == 12
+
+
 # -- 9 -------------------------------------------------------------------------------
 
 
