@@ -30,4 +30,4 @@ def query(views: str, sql: str | None, covers: tuple[int, ...] = (), recursive:
     return add
 
 
-from reachspark.plans import areas, choices, fares, graphs, measures, payloads, people, records, rules, shapes, statistics, storage, timetables, words  # noqa: E402, F401
+from reachspark.plans import areas, choices, fares, files, graphs, measures, payloads, people, records, rules, shapes, statistics, storage, timetables, words  # noqa: E402, F401
