@@ -36,7 +36,7 @@ def people_by_reason(t):
 select service, case when grouping(quintile) = 0 then 'quintile' when grouping(council) = 0 then 'council' else 'all' end as level, coalesce(cast(quintile as varchar), council, 'all') as grp,
   round(sum(case when reason = 0 then population else 0 end) / nullif(sum(population), 0), 6) as share, round(sum(case when reason <> 0 then population else 0 end), 2) as below
 from d group by grouping sets ((service), (service, quintile), (service, council))
-""", (266, 304, 336, 317))
+""", (266, 304, 317))
 def service_summary(t):
     rows = _diagnosed(t).select("service", "quintile", "council", "population", "reason")
     both = rows.groupingSets([[F.col("service")], [F.col("service"), F.col("quintile")], [F.col("service"), F.col("council")]], "service", "quintile", "council")
@@ -61,7 +61,7 @@ def area_summary(t):
 
 @query("cells pairs", "with " + _WIDE + """, a as (select sa2, service, round(sum(case when reason <> 0 then population else 0 end), 2) as below from d group by all)
 select sa2, service, below, place from (select *, row_number() over (partition by service order by below desc, sa2) as place from a where below > 0) where place <= 10
-""", (307, 193, 371))
+""", (307, 371))
 def rank_places(t):
     a = _diagnosed(t).groupBy("sa2", "service").agg(F.round(F.sum(F.when(F.col("reason") != 0, F.col("population")).otherwise(0.0)), 2).alias("below")).filter("below > 0")
     return areas.worst(a, ["service"], [F.desc("below"), "sa2"], 10)
@@ -70,7 +70,7 @@ def rank_places(t):
 @query("cells pairs", "with " + _WIDE + """
 select sa2, service, round(sum(population), 2) as people, round(sum(case when gap > 0 then population else 0 end), 2) as missing, round(sum(case when gap > 0 then population else 0 end) / nullif(sum(population), 0), 6) as share,
   round(sum(gap * population) * 8 / nullif(sum(case when gap > 0 then population else 0 end), 0), 6) as minutes_short from d group by sa2, service
-""", (316, 334, 63))
+""", (316, 334))
 def area_table(t):
     a = areas.area_table(_diagnosed(t), ["sa2", "service"], F.col("gap"), "population", 8.0)
     return a.select("sa2", "service", F.round("people", 2).alias("people"), F.round("missing", 2).alias("missing"), F.round("share", 6).alias("share"), F.round("minutes_short", 6).alias("minutes_short"))
@@ -89,7 +89,7 @@ def norc_suburbs(t):
 
 @query("cells", """
 select segment, sa2, round(w, 2) as people from (select segment, sa2, sum(population) as w, row_number() over (partition by segment order by sum(population) desc, sa2) as k from cells group by segment, sa2) where k = 1
-""", (318, 319, 348))
+""", (318,))
 def area_chain(t):
     return areas.parents(t.cells(), "segment", "sa2", "population").select("segment", "sa2", F.round("people", 2).alias("people"))
 

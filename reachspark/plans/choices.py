@@ -10,7 +10,7 @@ from reachspark.plans.registry import query
 _OK = "kind <> 'private' and medium = 'english' and (sex = 'co-ed' or sex = 'girls') and coalesce(years_from <= 8 and years_to >= 7, true)"
 
 
-@query("schools", "select school, kind, sex, medium from schools where " + _OK, (90, 91, 92, 94, 95, 96, 118, 119, 117, 383))
+@query("schools", "select school, kind, sex, medium from schools where " + _OK, (90, 91, 92, 94, 95, 118, 119))
 def school_eligible(t):
     return t.schools().filter(choices.eligible("state", "girls", (7, 8))).select("school", "kind", "sex", "medium")
 
@@ -56,7 +56,7 @@ def short_list(t):
 
 @query("schools", """
 select school, case when not zoned then 'none' when school % 4 = 0 then 'no_map' when years_from is null then 'unclear_years' when date '2024-01-01' + cast(school % 90 as int) > date '2024-02-01' then 'upcoming' else 'in_force' end as status from schools
-""", (107, 108, 109, 279, 324, 282))
+""", (107, 108))
 def zone_status(t):
     dated = F.when(F.col("school") % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("school") % 90).cast("int")))
     s = choices.zone_status(F.col("years_from"), dated, F.lit("2024-02-01").cast("date"))
@@ -67,7 +67,7 @@ def zone_status(t):
 with s as (select cell, mode, list_sort(list(distinct school % 5)) as zones, sum(minutes) as w, max(case when school % 5 = cell % 5 then 1 else 0 end) as home from reach group by cell, mode),
 g as (select cell, zones, round(sum(w), 9) as w, max(home) as home from s group by cell, zones), r as (select *, row_number() over (partition by cell order by w desc, home desc, len(zones), zones) as k, count(*) over (partition by cell) > 1 as split from g)
 select cell, array_to_string(zones, '+') as zones, cast(w as double) as w, split from r where k = 1
-""", (283, 280))
+""", (283,))
 def majority_zone_set(t):
     s = t.reach().groupBy("cell", "mode").agg(F.array_sort(F.collect_set(F.col("school") % 5)).alias("zones"), F.sum("minutes").cast("double").alias("w"), F.max(F.when(F.col("school") % 5 == F.col("cell") % 5, 1).otherwise(0)).alias("home"))
     return choices.majority_set(s, "cell", "zones", "w", "home").withColumn("zones", F.array_join("zones", "+"))
@@ -75,7 +75,7 @@ def majority_zone_set(t):
 
 @query("schools", """
 select area, count(*) as schools, count(*) filter (where kind = 'state') as state, count(*) filter (where kind = 'private') as private, count(*) filter (where sex = 'girls') as girls, count(*) filter (where medium = 'maori') as maori, count(*) filter (where zoned) as zoned from schools group by area
-""", (275, 276, 323, 78, 79))
+""", (275, 276, 323))
 def counting_line(t):
     n = lambda c, name: F.count_if(c).alias(name)
     return t.schools().groupBy("area").agg(F.count("*").alias("schools"), n(F.col("kind") == "state", "state"), n(F.col("kind") == "private", "private"), n(F.col("sex") == "girls", "girls"), n(F.col("medium") == "maori", "maori"), n(F.col("zoned"), "zoned"))
@@ -102,7 +102,7 @@ def school_search(t):
 
 @query("reach schools", """
 select school, notes, kind from (select school, kind, case when kind = 'private' then 'private' when medium <> 'english' then 'medium' when sex <> 'co-ed' then 'sex' when not zoned then 'zone' end as notes from schools) where notes is not null
-""", (141, 142, 97, 140))
+""", (141,))
 def not_counted_reason(t):
     why = F.when(F.col("kind") == "private", "private").when(F.col("medium") != "english", "medium").when(F.col("sex") != "co-ed", "sex").when(~F.col("zoned"), "zone")
     return t.schools().select("school", why.alias("notes"), "kind").filter("notes is not null")
@@ -111,7 +111,7 @@ def not_counted_reason(t):
 @query("cells reach", """
 select cell, count(*) filter (where minutes <= 10) as n10, count(*) filter (where minutes <= 20) as n20, case when count(minutes) = 0 then 'none' when bool_and(minutes >= 2) then 'far' else 'near' end as verdict
 from (select cell from cells) left join (select cell, school, min(minutes) as minutes from reach group by all) using (cell) group by cell
-""", (466, 473, 476, 329))
+""", (329,))
 def choices_within(t):
     best = t.reach().groupBy("cell", "school").agg(F.min("minutes").alias("minutes"))
     return t.cells().select("cell").join(best, "cell", "left").groupBy("cell").agg(F.count_if(F.col("minutes") <= 10).alias("n10"), F.count_if(F.col("minutes") <= 20).alias("n20"), F.when(F.count("minutes") == 0, "none").when(F.bool_and(F.col("minutes") >= 2), "far").otherwise("near").alias("verdict"))

@@ -19,7 +19,7 @@ def nearest_straight(t):
 
 @query("cells schools", """
 select cell, max(case when kind = 'state' then 2.0 else 1.0 end)::double as best, count(*) as schools from cells join schools s on sqrt((cells.x - s.x) * (cells.x - s.x) + (cells.y - s.y) * (cells.y - s.y)) <= 800 group by cell
-""", (163, 221, 222))
+""", (163, 221))
 def within_radius_max(t):
     targets = t.schools().select("kind", F.col("x").alias("tx"), F.col("y").alias("ty"))
     w = spatial.within(t.cells().select("cell", "x", "y"), targets, 800.0)
@@ -86,7 +86,7 @@ def errand_round_2(t):
 @query("pairs", "with " + _ERRAND + """
 select l.cell, 'gp+school+shop' as set, cast(leg_limit as int) as leg_limit, min(l.out + l.leg + m.leg + m.back) as minutes from link l join link m on l.cell = m.cell and l.k2 = m.k1 and l.b = m.a and l.k1 <> m.k2, (select unnest([20, 40]) as leg_limit)
 where (l.k1, l.k2, m.k2) in (('gp', 'school', 'shop'), ('gp', 'shop', 'school'), ('shop', 'gp', 'school')) and greatest(l.out, l.leg, m.leg, m.back) <= leg_limit group by all
-""", (391, 394, 337, 345))
+""", (391, 394))
 def errand_round_3(t):
     home, links = _errands(t)
     return graphs.rounds(home, links, graphs.sequences(t.spark, KINDS, 3, {"school": "gp"}), 3, [20, 40])
@@ -115,7 +115,7 @@ def shortest_path_all(t):
 best as (select source, node, min(row(cost, path)) as b from walk group by all), leg as (select source, node, i, b[2][i] as src, b[2][i + 1] as dst from (select source, node, b, unnest(generate_series(1, len(b[2]) - 1)) as i from best)),
 rated as (select source, node, i, rating, worst, lag(rating) over (partition by source, node order by i) as before from leg join (select src, dst, min(cast(len % 3 as int)) as rating, bool_or(len % 3 = 2) as worst from edge group by src, dst) using (src, dst))
 select best.source, best.node, cast(b[1] as double) as cost, array_to_string(b[2], '>') as path, cast(count(rating) filter (where before is distinct from rating) as bigint) as runs, cast(count(*) filter (where worst) as bigint) as crossings from best left join rated on best.source = rated.source and best.node = rated.node group by best.source, best.node, b
-""", (396, 399))
+""", (396,))
 def route_runs(t):
     """The least-cost way from every node to all within the limit, its runs of one rating and its crossings."""
     edges = _edges(t)
@@ -136,7 +136,7 @@ def _edges(t):
 
 @query("", """
 select l_orderkey as way, b[2] as rating, round(b[1] / total, 6) as share from (select l_orderkey, max(row(l, rating)) as b, sum(l) as total from (select l_orderkey, cast(l_suppkey % 4 + 1 as int) as rating, sum(l_quantity) as l from lineitem group by all) group by l_orderkey)
-""", (349, 405, 442, 443))
+""", (349, 442, 443))
 def way_stress(t):
     parts = t.raw("lineitem").select(F.col("l_orderkey").alias("way"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("rating"), "l_quantity")
     return graphs.modal_rating(parts, "way", "rating", "l_quantity").select("way", "rating", F.round("share", 6).alias("share"))
@@ -145,7 +145,7 @@ def way_stress(t):
 @query("pairs", """
 with ride as (select origin, destination, minutes as ride from pairs where mode = 'pt'), foot as (select origin, destination, minutes as walk from pairs where mode = 'walk')
 select ride.origin, ride.destination, ride, w1.walk as first, case when w1.walk is not null then ride + w1.walk + ride.destination % 7 end as total from ride left join foot w1 on w1.origin = ride.origin and w1.destination = ride.destination
-""", (186, 187, 189, 406))
+""", (186, 187))
 def leg_swap(t):
     p = t.pairs()
     ride = p.filter("mode = 'pt'").select("origin", "destination", F.col("minutes").alias("ride"))

@@ -123,7 +123,7 @@ def jobs_within(t):
 with total as (select sum(weight) as total from destinations), got as (
   select origin, mode, sum(case when minutes <= 30 then weight else 0 end) as jobs from pairs join destinations on destination = id group by origin, mode)
 select e.mode, quintile, round(sum(coalesce(jobs, 0) / total * population) / nullif(sum(population), 0), 6) as share from cells cross join (values ('walk'), ('bike'), ('pt')) e(mode) left join got on origin = cell and got.mode = e.mode, total group by e.mode, quintile
-""", (257, 191, 431))
+""", (257,))
 def jobs_share_by_quintile(t):
     weights = t.destinations().select(F.col("id").alias("destination"), "weight")
     total = weights.agg(F.sum("weight").alias("total"))

@@ -18,7 +18,7 @@ def _blocks(t):
 
 @query("", "with " + _BLOCK + """, r as (select *, sum(young) over (partition by area) / nullif(sum(case when young is not null then residents end) over (partition by area), 0) as y, sum(old) over (partition by area) / nullif(sum(case when old is not null then residents end) over (partition by area), 0) as o from block)
 select block, area, residents, round(coalesce(young, residents * y), 6) as young, round(coalesce(old, residents * o), 6) as old from r
-""", (110, 285, 181, 290))
+""", (110, 285, 181))
 def fill_bands(t):
     f = people.fill_bands(_blocks(t), ["young", "old"], "area", "residents")
     return f.select("block", "area", "residents", F.round("young", 6).alias("young"), F.round("old", 6).alias("old"))
@@ -46,7 +46,7 @@ def spread_blocks(t):
 @query("cells", """
 with p as (select sum(population * older) / sum(population) as place_share from cells)
 select cell, round(case when household > 0 then older * population else place_share * population end, 6) as children from cells, p
-""", (289, 211))
+""", (289,))
 def to_grid(t):
     c = t.cells().withColumn("res", F.when(F.col("household") > 0, F.lit(1.0)).otherwise(0.0)).withColumn("kids", F.col("older"))
     place = c.agg((F.sum(F.col("population") * F.col("older")) / F.sum("population")).alias("place_share"))
@@ -96,13 +96,13 @@ def _whole_quantities(lines, orders):
 
 @query("cells", """
 select council, round(sum(population * 0.49 * older) / nullif(sum(population * older), 0), 6) as girls, round(avg(income), 6) as mean_income, count(distinct sa2) as areas from cells group by council
-""", (291, 296, 479))
+""", (291,))
 def sex_shares(t):
     w = F.col("population") * F.col("older")
     return t.cells().groupBy("council").agg(F.round(F.sum(F.col("population") * 0.49 * F.col("older")) / F.nullif(F.sum(w), F.lit(0.0)), 6).alias("girls"), F.round(F.avg("income"), 6).alias("mean_income"), F.count_distinct("sa2").alias("areas"))
 
 
-@query("cells", "select cell, service_group, round(w, 6) as w from (select cell, unnest(['older', 'no_car', 'all']) as service_group, unnest([population * older, population * no_car, population]) as w from cells) where w > 0", (264, 470, 478, 480, 497, 498))
+@query("cells", "select cell, service_group, round(w, 6) as w from (select cell, unnest(['older', 'no_car', 'all']) as service_group, unnest([population * older, population * no_car, population]) as w from cells) where w > 0", (264, 470, 478, 497, 498))
 def group_weights(t):
     g = F.array(*[F.struct(F.lit(n).alias("service_group"), w.alias("w")) for n, w in (("older", F.col("population") * F.col("older")), ("no_car", F.col("population") * F.col("no_car")), ("all", F.col("population")))])
     return t.cells().select("cell", F.explode(g).alias("g")).select("cell", "g.service_group", F.round("g.w", 6).alias("w")).filter("w > 0")

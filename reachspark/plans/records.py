@@ -28,7 +28,7 @@ def survivors(t):
 
 @query("pairs", """
 select origin, destination, mode, cast(round_even(minutes / 2, 0) as smallint) as halves, round_even(minutes / 8, 2) as eighths, cast(minutes as tinyint) as minutes, case when minutes < 40 then 60 / (40 - minutes) end is null as lost from pairs
-""", (67, 68, 75, 509))
+""", (67, 68, 509))
 def packed_numbers(t):
     """Minutes as whole numbers and decimals rounded half to even, in narrow types; what is not finite is null."""
     m = F.col("minutes")
@@ -120,7 +120,7 @@ _LAYERS = """layer as (select origin as cell, min(minutes) filter (where zones <
 
 @query("cells pairs", "with " + fare_plans._ZONED + ", " + _LAYERS + """
 select cell, cast(cell % 7 as int) as zones, case least(cell % 7, 5) when 0 then m0 when 1 then m1 when 2 then m2 when 3 then m3 when 4 then m4 else unpriced end as minutes from cells left join layer using (cell)
-""", (426, 427, 54), recursive=True)
+""", (426, 427), recursive=True)
 def priced_layer(t):
     """Each cell's times at the zones that it can pay for; beyond the cap the unpriced time."""
     layers = [F.min(F.when(F.col("zones") <= z, F.col("minutes"))) for z in range(fare_plans.CAP + 1)]
@@ -129,7 +129,7 @@ def priced_layer(t):
     return t.cells().select("cell").join(own, "cell", "left").select("cell", pays.alias("zones"), F.col("layers")[F.least(pays, F.lit(fare_plans.CAP + 1))].alias("minutes"))
 
 
-@query("", "with recursive " + fare_plans._HOPS + f""" select a as zone, b as destination, cast(zones as int) as zones, round(({fare_plans._PRICES})[zones] * 2, 6) as cost, case when a % 2 = 0 then 0.0::double else round(({fare_plans._PRICES})[zones] * 2, 6) end as class_cost from hops""", (417, 439, 440, 418))
+@query("", "with recursive " + fare_plans._HOPS + f""" select a as zone, b as destination, cast(zones as int) as zones, round(({fare_plans._PRICES})[zones] * 2, 6) as cost, case when a % 2 = 0 then 0.0::double else round(({fare_plans._PRICES})[zones] * 2, 6) end as class_cost from hops""", (417, 439, 440))
 def zone_costs(t):
     """What a return trip between any two zones costs, and for a class that travels free from even zones."""
     from reachspark.operators import fares
