@@ -111,3 +111,10 @@ def chain(cells: DataFrame, levels: list[str], level: str, weight: str, near: fl
     own = F.struct(F.lit(level).alias("level"), F.col("area").cast("string").alias("name"), F.col("_own").alias("people"))
     whole_chain = F.when(F.abs(F.col("_own") - parent) > near * parent, F.concat(found, F.array(own))).otherwise(found)
     return out.filter("_own > 0").select("area", whole_chain.alias("chain")).filter(F.size("chain") > 0)
+
+
+def sizes(cells: DataFrame, name: str, least: float, cell_area: float) -> DataFrame:
+    """(name, size): how big areas are across: the geometric mean of the sides of their box, or, if less, the side of a square of their populated cells; no side below ``least``."""
+    side = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(least))
+    size = F.least(F.sqrt(side("x") * side("y")), F.greatest(F.sqrt(F.count("*") * cell_area), F.lit(least)))
+    return cells.groupBy(name).agg(size.alias("size"))

@@ -151,3 +151,63 @@ def schools_csv(t):
     rest = F.greatest(F.lit(0.0), F.coalesce(F.col("population") * F.col("older"), F.lit(0.0)) - F.coalesce(F.col("population") * F.col("no_car"), F.lit(0.0)))
     people = t.cells().filter("population > 0").select("cell", F.round(rest * 0.48, 4).alias("girls"))
     return people.join(wide, "cell", "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
+
+
+@query("cells", """
+with c as (select *, greatest(population, 0) as p, council || '-' || cast(zone as varchar) as ward from cells),
+size as (select n, least(sqrt(greatest(max(x) - min(x), 500) * greatest(max(y) - min(y), 500)), greatest(sqrt(count(*) * 105000.0), 500)) as size from (select 'council:' || council as n, x, y from c union all select 'ward:' || ward, x, y from c union all select 'sa2:' || sa2, x, y from c) group by n),
+view as (select cell, council, ward, sa2, 300.0 * pow(2, cell % 7) * 0.4 as reach from c)
+select cell, case when s.size >= reach then 'sa2:' || sa2 when w.size >= reach then 'ward:' || ward when k.size >= reach then 'council:' || council end as area
+from view join size s on s.n = 'sa2:' || sa2 join size w on w.n = 'ward:' || ward join size k on k.n = 'council:' || council
+""", (242, 243, 244))
+def area_in_view(t):
+    """The smallest of the areas around each cell that is at least 0.4 of a view across; none for the whole place."""
+    cells = t.cells().withColumn("ward", F.concat("council", F.lit("-"), F.col("zone").cast("string")))
+    levels, out = ["council", "ward", "sa2"], cells.select("cell", "council", "ward", "sa2", (300.0 * F.pow(F.lit(2.0), F.col("cell") % 7) * 0.4).alias("reach"))
+    for level in levels:
+        out = out.join(areas.sizes(cells, level, 500.0, 105_000.0).withColumnRenamed("size", f"{level}_size"), level)
+    pick = F.coalesce(*[F.when(F.col(f"{level}_size") >= F.col("reach"), F.concat(F.lit(f"{level}:"), F.col(level))) for level in reversed(levels)])
+    return out.select("cell", pick.alias("area"))
+
+
+@query("reach schools", """
+select cell, area, school, minutes, metres from (select cell, area, school, minutes, metres, row_number() over (partition by cell, area order by minutes, metres, school) as k from reach join schools using (school) where mode = 'walk') where k = 1
+""", (222,))
+def quickest_by_group(t):
+    """Of each cell and group of schools the quickest walk, then the nearest."""
+    walks = t.reach().filter("mode = 'walk'").join(t.schools().select("school", "area"), "school")
+    best = walks.groupBy("cell", "area").agg(F.min(F.struct("minutes", "metres", "school")).alias("b"))
+    return best.select("cell", "area", "b.school", "b.minutes", "b.metres")
+
+
+@query("cells pairs", """
+with n as (select origin, service, mode, count(*) filter (where minutes <= 10) as n10, count(*) filter (where minutes <= 15) as n15, count(*) filter (where minutes <= 20) as n20, count(*) filter (where minutes <= 30) as n30 from pairs group by all)
+select cell, e.service, coalesce(max(n10), 0) as n10, coalesce(max(n15), 0) as n15, coalesce(max(n20), 0) as n20, coalesce(max(n30), 0) as n30
+from cells cross join (select distinct service from destinations where service is not null) e left join n on n.origin = cell and n.service = e.service and n.mode in ('walk', 'pt') group by cell, e.service
+""", (53,))
+def choice_counts(t):
+    """How many of each service are within each limit by the mode that reaches most of them, for every cell."""
+    counts = measures.counts_within(t.pairs().filter("mode in ('walk', 'pt')"), [F.col("origin").alias("cell"), "service", "mode"])
+    steps = [f"n{s}" for s in measures.STEPS]
+    most = counts.groupBy("cell", "service").agg(*[F.max(c).alias(c) for c in steps])
+    every = measures.for_every_cell(t.cells().select("cell"), t.services(), most, "service", steps)
+    return every.select("cell", "service", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in steps])
+
+
+@query("cells schools zone_maps", "with " + _LISTED + """, z as (select school, max(x1) as x1, min(x0) as x0, max(y1) as y1, min(y0) as y0 from zone_maps join status using (school) where status.status in ('in_force', 'upcoming_used') group by school),
+hit as (select c.sa2, c.population as w, c.older, z.school from cells c join z on c.x >= x0 and c.x < x1 and c.y >= y0 and c.y < y1 where c.population > 0),
+one as (select sa2, school, sum(w) as w, sum(w * older) as children from hit group by all), most as (select sa2, max(w) as most, sum(w) as total, count(*) as sets, sum(children) as children from one group by sa2), own as (select sa2, max(one.children) as c from one join most using (sa2) where w = most group by sa2)
+select sa2, sets, round(total, 4) as split_people, round(total - most, 4) as outside, round(most.children, 4) as children, round(most.children - c, 4) as children_outside from most join own using (sa2) where sets > 1
+""", (280,))
+def split_people(t):
+    """People of suburbs that several zones share, and how many of them and of an age group live outside the zone that has most of them."""
+    from reachspark.operators import shapes
+
+    box = shapes.with_box(t.zone_maps().select("school", "corners"), "corners").groupBy("school").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    zoned = box.join(_status(t).filter(F.col("status").isin(*zones.ZONED)).select("school"), "school", "left_semi")
+    homes = t.cells().filter("population > 0").select("sa2", F.col("population").alias("w"), "older", F.col("x").alias("hx"), F.col("y").alias("hy"), *[F.col(c).alias(f"{c}{i}") for i in (0, 1) for c in "xy"])
+    sides = zoned.select("school", *shapes.BOX, *[F.col(c).alias(f"_z{c}") for c in shapes.BOX])
+    hit = shapes.meeting(homes, sides, 1000.0).filter("hx >= _zx0 and hx < _zx1 and hy >= _zy0 and hy < _zy1")
+    one = hit.groupBy("sa2", "school").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("older")).alias("children"))
+    most = one.groupBy("sa2").agg(F.max(F.struct("w", "children")).alias("m"), F.sum("w").alias("total"), F.count("*").alias("sets"), F.sum("children").alias("children")).filter("sets > 1")
+    return most.select("sa2", "sets", F.round("total", 4).alias("split_people"), F.round(F.col("total") - F.col("m.w"), 4).alias("outside"), F.round("children", 4).alias("children"), F.round(F.col("children") - F.col("m.children"), 4).alias("children_outside"))

@@ -190,3 +190,23 @@ def zone_or_nearest(t):
     """The zone that holds each cell, else the nearest within 2 km, else none."""
     found = shapes.inside_else_nearest(t.cells().select("cell", "x", "y"), _zones_in_force(t), ["cell"], "school", 500.0, 2000.0)
     return found.select("cell", "school", F.round("d", 4).alias("metres"))
+
+
+@query("ways", """
+with p as (select shape, unnest(corners) as c from ways) select shape, min(c.x) as x0, min(c.y) as y0, max(c.x) as x1, max(c.y) as y1 from p group by shape
+""", (240,))
+def bounds_of_lines(t):
+    """The box around each drawn line."""
+    return shapes.with_box(t.ways(), "corners").select("shape", *shapes.BOX)
+
+
+@query("rides blocks", """
+select trip, leg, count(block) as tiles, min(block) as first, max(block) as last from rides left join blocks on x0 <= greatest(ux, vx) + 1000 and x1 >= least(ux, vx) - 1000 and y0 <= greatest(uy, vy) + 1000 and y1 >= least(uy, vy) - 1000 group by trip, leg
+""", (226,))
+def tiles_around(t):
+    """Tiles that the box around a ride's two ends comes within a kilometre of."""
+    rides = t.rides()
+    ends = rides.select("trip", "leg", *[f(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(f"{c}{i}") for i, f in ((0, F.least), (1, F.greatest)) for c in "xy"])
+    tiles = shapes.with_box(t.blocks().select("block", "corners"), "corners").drop("corners")
+    near = shapes.meeting(ends, tiles, 2000.0, 1000.0).groupBy("trip", "leg").agg(F.count("*").alias("tiles"), F.min("block").alias("first"), F.max("block").alias("last"))
+    return rides.select("trip", "leg").join(near, ["trip", "leg"], "left").select("trip", "leg", F.coalesce("tiles", F.lit(0)).alias("tiles"), "first", "last")
