@@ -327,7 +327,7 @@ class SuffixLevels:
 
 
 #: Neighbouring distances from the anchor whose windows are compared together, step by step.
-PIECES = (8, 1)
+PIECES = (32, 8, 2, 1)
 
 
 def _cut(segments: DataFrame, size: int) -> DataFrame:
