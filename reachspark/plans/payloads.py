@@ -131,7 +131,7 @@ def _maintained(t, rows, key, batches=16):
 @query("reach", """
 with fresh as (select cell, school, mode, minutes + 1 as minutes from reach where school % 10 = 3 and cell % 3 <> 0)
 select cell, school, mode, minutes from reach where school % 10 <> 3 union all select * from fresh
-""", (489, 491))
+""", (489,))
 def reroute(t):
     """All rows after the schools that changed were worked off again, in a session that found an update stopped half-way."""
     rows = t.reach().select("cell", "school", "mode", "minutes")
@@ -152,7 +152,7 @@ def reroute(t):
 with had as (select distinct school, mode from reach), gained as (select school from had where mode = 'walk' and school % 4 = 1 and school not in (select school from had where mode = 'scooter'))
 select cell, school, mode, minutes from reach where not (mode = 'bike' and school % 3 = 0)
 union all select cell, school, 'scooter', minutes from reach join gained using (school) where mode = 'walk'
-""", (490, 492))
+""", (490,))
 def relabel(t):
     """Rows under labels that schools gained and lost."""
     rows = t.reach().select("cell", "school", "mode", "minutes")

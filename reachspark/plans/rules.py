@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from reachspark.operators import areas, choices, fares, measures, zones
+from reachspark.operators import areas, choices, fares, measures, shapes, zones
 from reachspark.plans.registry import query
 
 DAY = datetime.date(1999, 6, 30)
@@ -201,8 +201,6 @@ select sa2, sets, round(total, 4) as split_people, round(total - most, 4) as out
 """, (280,))
 def split_people(t):
     """People of suburbs that several zones share, and how many of them and of an age group live outside the zone that has most of them."""
-    from reachspark.operators import shapes
-
     box = shapes.with_box(t.zone_maps().select("school", "corners"), "corners").groupBy("school").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     zoned = box.join(_status(t).filter(F.col("status").isin(*zones.ZONED)).select("school"), "school", "left_semi")
     homes = t.cells().filter("population > 0").select("sa2", F.col("population").alias("w"), "older", F.col("x").alias("hx"), F.col("y").alias("hy"), *[F.col(c).alias(f"{c}{i}") for i in (0, 1) for c in "xy"])

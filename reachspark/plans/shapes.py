@@ -26,7 +26,7 @@ def _zones_in_force(t):
 with drawn as (select school, day, max(polygon) as polygon from zone_maps where day is not null group by school, day),
 asked as (select l_suppkey as school, cast(l_shipdate as date) as day, count(*) as enrolments from lineitem where l_linenumber = 2 group by all)
 select asked.school, asked.day, enrolments, polygon from asked asof left join drawn on asked.school = drawn.school and asked.day >= drawn.day
-""", (107, 209))
+""", (107,))
 def zone_in_force(t):
     """The zone in force for each school on each day on which somebody enrols."""
     asked = t.raw("lineitem").filter("l_linenumber = 2").groupBy(F.col("l_suppkey").alias("school"), F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("enrolments"))
@@ -58,7 +58,7 @@ def area_cover(t):
 
 @query("hexagons blocks", f"""with c0 as (select cell, block, people, z.x0, z.y0, z.x1, z.y1, corners as p from hexagons h join blocks z on {_MEET}), {_CUTS}, cut as (select cell, block, people, {_AREA} as area from c4),
 piece as (select *, people * area / sum(area) over (partition by block) as part from cut where area / {3 * 100 * 86.6} > 1e-9)
-select cell, count(*) as blocks, round(sum(area) / {3 * 100 * 86.6}, 6) as covered, round(sum(part), 4) as people from piece group by cell""", (207, 208, 361))
+select cell, count(*) as blocks, round(sum(area) / {3 * 100 * 86.6}, 6) as covered, round(sum(part), 4) as people from piece group by cell""", (207, 208))
 def block_pieces(t):
     """People of blocks on the cells that they overlap, in proportion to area; blocks are disjoint, so a cell's shares add up to at most 1."""
     blocks = t.blocks()
@@ -210,3 +210,13 @@ def tiles_around(t):
     tiles = shapes.with_box(t.blocks().select("block", "corners"), "corners").drop("corners")
     near = shapes.meeting(ends, tiles, 2000.0, 1000.0).groupBy("trip", "leg").agg(F.count("*").alias("tiles"), F.min("block").alias("first"), F.max("block").alias("last"))
     return rides.select("trip", "leg").join(near, ["trip", "leg"], "left").select("trip", "leg", F.coalesce("tiles", F.lit(0)).alias("tiles"), "first", "last")
+
+
+@query("destinations", """
+select gx * 100 + gy as parent, sum(weight) as jobs, gx * 400.0 + 200 as x, gy * 400.0 + 200 as y from (select cast(floor(x / 400) as bigint) as gx, cast(floor(y / 400) as bigint) as gy, weight from destinations where weight > 0) group by gx, gy
+""", (17,))
+def jobs_by_parent(t):
+    """Jobs rolled up to the coarser squares that hold them, at the squares' centres."""
+    at = lambda c: F.floor(F.col(c) / 400).cast("long")
+    squares = t.destinations().filter("weight > 0").groupBy(at("x").alias("gx"), at("y").alias("gy")).agg(F.sum("weight").alias("jobs"))
+    return squares.select((F.col("gx") * 100 + F.col("gy")).alias("parent"), "jobs", (F.col("gx") * 400.0 + 200).alias("x"), (F.col("gy") * 400.0 + 200).alias("y"))
