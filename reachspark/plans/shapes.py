@@ -213,7 +213,7 @@ def tiles_around(t):
 
 
 @query("destinations", """
-select gx * 100 + gy as parent, sum(weight) as jobs, gx * 400.0 + 200 as x, gy * 400.0 + 200 as y from (select cast(floor(x / 400) as bigint) as gx, cast(floor(y / 400) as bigint) as gy, weight from destinations where weight > 0) group by gx, gy
+select gx * 100 + gy as parent, sum(weight) as jobs, cast(gx * 400 + 200 as double) as x, cast(gy * 400 + 200 as double) as y from (select cast(floor(x / 400) as bigint) as gx, cast(floor(y / 400) as bigint) as gy, weight from destinations where weight > 0) group by gx, gy
 """, (17,))
 def jobs_by_parent(t):
     """Jobs rolled up to the coarser squares that hold them, at the squares' centres."""
