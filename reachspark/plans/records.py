@@ -20,8 +20,7 @@ select id, service, name, dropped from (select id, service, name, row_number() o
 def survivors(t):
     """Of places of one service that are linked within the distance, the first by name stays."""
     d = t.destinations().select("id", "service", "name", "x", "y")
-    other = d.select(F.col("id").alias("b"), F.col("service").alias("s"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    linked = spatial.components(spatial.within(d, other, 900.0).filter("service = s and id != b"), "id", "b")
+    linked = spatial.linked(d, "id", ["service"], 900.0)
     groups = d.join(linked, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root"))
     return groups.agg(F.min(F.struct("name", "id", "service")).alias("first"), (F.count("*") - 1).alias("dropped")).select("first.id", "first.service", "first.name", "dropped")
 
