@@ -246,7 +246,7 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: Bitmap | None = None) -> DataFrame:
-    """(doc_id, part, fp, n, bands): of each text's runs of ``shingle`` words, once each, a hash of them all, their number and MinHash keys.
+    """(doc_id, part, fp, n, sim, bands): of each text's runs of ``shingle`` words, once each, a hash of them all, their number, their SimHash and MinHash keys.
 
     With ``only``, a bitmap of fingerprints, (fp, hashes): the sets themselves, of texts in it.
     """
@@ -267,7 +267,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: Bitmap | None =
                 size = np.array([len(x) for x in sets])
                 flat = np.concatenate(sets)
                 first = np.r_[0, np.cumsum(size)]
-                fp, bands = np.zeros(len(n), dtype=np.uint64), np.zeros((len(n), BANDS), dtype=np.uint64)
+                fp, sim, bands = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64), np.zeros((len(n), BANDS), dtype=np.uint64)
                 some = np.flatnonzero(size)
                 if len(some):
                     with np.errstate(over="ignore"):
@@ -284,13 +284,15 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, only: Bitmap | None =
                             for m in _TURNS[b]:
                                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * m, first[some]))
                             bands[some, b] = key
+                    for i in some:
+                        sim[i] = majority(mix(sets[i]))
                 rows = slice(w.rows.start, w.rows.stop)
                 yield pa.RecordBatch.from_arrays(
-                    [batch[0][rows], batch[1][rows], pa.array(signed(fp)), pa.array(size, pa.int32()), lists(bands.ravel(), np.arange(len(n) + 1) * BANDS)], names=["doc_id", "part", "fp", "n", "bands"]
+                    [batch[0][rows], batch[1][rows], pa.array(signed(fp)), pa.array(size, pa.int32()), pa.array(signed(sim)), lists(bands.ravel(), np.arange(len(n) + 1) * BANDS)], names=["doc_id", "part", "fp", "n", "sim", "bands"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(PART).alias("part"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, part int, fp long, n int, bands array<long>" if only is None else "fp long, hashes array<long>")
+    return rows.mapInArrow(run, "doc_id long, part int, fp long, n int, sim long, bands array<long>" if only is None else "fp long, hashes array<long>")
 
 
 def jaccard_forest(first: np.ndarray, flat: np.ndarray, root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -372,22 +374,38 @@ def _connect(similarity: float):
     return run
 
 
+def simhash_pairs(scratch: Scratch, texts: DataFrame, distance: int = 4, most: int = 20_000) -> DataFrame:
+    """(a, an, b, bn): pairs of ``texts`` (fp, n, sim) that connect all whose SimHashes differ in at most ``distance`` bits.
+
+    SimHashes meet and are held against the pivots' table of distances as in ``links``; the
+    least text under each stands for it, and the others under it are its partners.
+    """
+    least = scratch.save(texts.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("least"), F.count("*").alias("c")), "sims")
+    found = scratch.save(links(scratch, least.select(F.col("sim").alias("fp")), distance, distance + 3, most), "sim-links")
+    scratch.drop("met", "tiles")
+    side = lambda x: least.select(F.col("sim").alias(f"{x}s"), F.col("least.fp").alias(x), F.col("least.n").alias(f"{x}n"))
+    across = found.withColumnsRenamed({"a": "as", "b": "bs"}).join(side("a"), "as").join(side("b"), "bs").select("a", "an", "b", "bn")
+    same = texts.join(least.filter("c > 1").select("sim", "least"), "sim").filter("fp != least.fp")
+    return across.unionByName(same.select(F.col("least.fp").alias("a"), F.col("least.n").alias("an"), F.col("fp").alias("b"), F.col("n").alias("bn")))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = PLACE_SHINGLES) -> DataFrame:
     """doc_id, part, kept: whether a row names its component, of texts linked by at least this Jaccard similarity of their shingle sets.
 
     The row with the smallest doc_id names it, of those the one with the smallest part; null ids come last.
 
-    64 bits are too few for 0.8, so texts meet where a band of MinHashes agrees, and every
-    link is verified on the whole sets. Equal sets are one row. In a meeting place all are
-    held against the least one first; places whose texts are not connected by that get their
+    Equal sets are one row. SimHashes of the sets come first: texts at 4 or fewer differing
+    bits, found with pivot distance tables, are linked where their whole sets verify it. 64
+    bits don't reach a similarity of 0.8 (some 10 of them differ then), so what they leave
+    apart meets where a band of MinHashes agrees, and every link is verified on the whole
+    sets too. In a meeting place what is not connected to the least text yet is held against
+    it first; places whose texts are not connected by that get their
     texts' sets and give the links of a spanning forest, so that no pairs are rows. A place
     of over ``most`` shingles in all is worked off in pairs of tiles of about that size.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     rows = scratch.save(shingle_sets(docs, shingle), "rows")
-    met = rows.filter("n > 0").dropDuplicates(["fp"]).select("fp", "n", F.explode("bands").alias("key"))
-    many = met.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("fp", "n")).alias("least")).filter("c > 1").select("key", "least")
-    met = scratch.save(met.join(many, "key"), "met")
+    texts = rows.filter("n > 0").dropDuplicates(["fp"])
 
     def verified(pairs, name):
         fits = F.least("an", "bn") >= similarity * F.greatest("an", "bn")
@@ -403,7 +421,17 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         scratch.drop(f"{name}-pairs", f"{name}-sets")
         return out
 
-    stars = verified(met.filter("fp != least.fp").select(F.col("least.fp").alias("a"), F.col("least.n").alias("an"), F.col("fp").alias("b"), F.col("n").alias("bn")), "stars")
+    by_sim = Scratch(docs.sparkSession, "near-copies-simhash")
+    sims = verified(simhash_pairs(by_sim, scratch.save(texts.select("fp", "n", "sim"), "texts")), "sims")
+    by_sim.drop("sims", "sim-links")
+    roots = scratch.save(components(scratch, sims, "sims-links"), "sim-roots")
+    met = texts.select("fp", "n", F.explode("bands").alias("key"))
+    many = met.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("fp", "n")).alias("least")).filter("c > 1").select("key", "least")
+    met = scratch.save(met.join(many, "key"), "met")
+    of = lambda x, root: roots.select(F.col("node").alias(x), F.col("root").alias(root))
+    apart = met.filter("fp != least.fp").select(F.col("least.fp").alias("a"), F.col("least.n").alias("an"), F.col("fp").alias("b"), F.col("n").alias("bn")).distinct()
+    apart = apart.join(of("a", "ar"), "a", "left").join(of("b", "br"), "b", "left").filter(F.coalesce("ar", "a") != F.coalesce("br", "b"))
+    stars = sims.unionByName(verified(apart, "stars"))
     roots = scratch.save(components(scratch, stars, "stars"), "star-roots")
     named = met.join(roots, met.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
     # places whose texts are not connected yet; one of many shingles is worked off in pairs of tiles
@@ -425,7 +453,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     least = of_row.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "part")).alias("least"))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("part") == F.col("least.part"))
     out = scratch.save(of_row.join(_near(scratch.save(least, "least")), "root").select("doc_id", "part", kept.alias("kept")), "classes")
-    scratch.drop("rows", "met", "stars", "star-roots", "open", "open-sets", "rest", "of-row", "least", "roots")
+    scratch.drop("rows", "texts", "sims", "sim-roots", "met", "stars", "star-roots", "open", "open-sets", "rest", "of-row", "least", "roots")
     return out
 
 

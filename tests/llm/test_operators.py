@@ -179,6 +179,24 @@ def test_near_copies_match_exact_jaccard(spark):
     assert expected < {x.doc_id for x in simhash.near_duplicates(docs).collect() if x.doc_id == x.component_id}
 
 
+def test_simhashes_connect_near_copies(spark):
+    r = random.Random(15)
+    rows = []
+    for k in range(8):
+        w = [f"w{r.randrange(5000)}" for _ in range(300)]
+        rows += [(10 * k + j, " ".join(w[j:]), "en", "s", 0) for j in range(4)]  # some 0.99 alike
+    scratch = simhash.Scratch(spark, "simhash-test")
+    texts = scratch.save(simhash.shingle_sets(frame(spark, rows)).select("doc_id", "fp", "n", "sim"), "texts")
+    sims = {x.fp: x.sim & (2**64 - 1) for x in texts.collect()}
+    pairs = scratch.save(simhash.simhash_pairs(scratch, texts.select("fp", "n", "sim")).select("a", "b"), "pairs")
+    close = [(a, b) for a, b in itertools.combinations(sorted(sims), 2) if (sims[a] ^ sims[b]).bit_count() <= 4]
+    assert close and all((sims[x.a] ^ sims[x.b]).bit_count() <= 4 for x in pairs.collect())
+    found = {c.node: c.root for c in components(scratch, pairs).collect()}
+    assert all(found[a] == found[b] for a, b in close)
+    ids = {x.fp: x.doc_id for x in texts.collect()}
+    assert any(found.get(a) == found.get(b, 0) and ids[a] // 10 == ids[b] // 10 for a, b in close)
+
+
 def test_jaccard_forest_connects_what_all_pairs_connect():
     r = random.Random(9)
     base = [r.sample(range(10**6), 40) for _ in range(6)]
