@@ -24,9 +24,10 @@ def tags(text: Column) -> Column:
     """A map of "key"=>"value" text; escapes are kept, the first of repeated keys wins."""
     keys = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"\s*=>'), 1)
     values = F.regexp_extract_all(text, F.lit(r'=>\s*"((?:[^"\\]|\\.)*)"'), 1)
-    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    first = F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
-    return F.map_from_entries(first)
+    both = F.struct(keys.alias("keys"), F.arrays_zip(keys.alias("key"), values.alias("value")).alias("pairs"))
+    # bound once: inside the filter the keys would be extracted again for each pair
+    first = F.transform(F.array(both), lambda b: F.filter(b["pairs"], lambda x, i: F.array_position(b["keys"], x["key"]) == i + 1))
+    return F.map_from_entries(F.get(first, F.lit(0)))
 
 
 def match_service(tag_map: Column, rules: list[tuple[str, dict[str, list[str]]]], excludes: dict[str, dict[str, list[str]]], unless: dict[str, tuple[str, str, str]] | None = None) -> Column:
@@ -36,6 +37,11 @@ def match_service(tag_map: Column, rules: list[tuple[str, dict[str, list[str]]]]
     tag ``other`` says something that is not in the service's rule for it, as a clinic of
     another kind of healthcare is no general practice.
     """
+    # as an element of an array the map is made once, not in each place that asks for a tag
+    return F.get(F.transform(F.array(tag_map), lambda tags: _first_service(tags, rules, excludes, unless)), F.lit(0))
+
+
+def _first_service(tag_map: Column, rules: list[tuple[str, dict[str, list[str]]]], excludes: dict[str, dict[str, list[str]]], unless: dict[str, tuple[str, str, str]] | None) -> Column:
     has = lambda key, values: F.coalesce(F.try_element_at(tag_map, F.lit(key)).isin(values), F.lit(False))
     out = F.lit(None).cast("string")
     for service, need in reversed(rules):

@@ -170,3 +170,10 @@ def test_diff_and_stable_ids(spark):
 def test_scans_are_pruned(spark, name):
     plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan and "PythonUDF" not in plan
+
+
+def test_tags_are_read_once_for_all_rules(spark):
+    raw = spark.createDataFrame([('"shop"=>"bakery","amenity"=>"clinic","amenity"=>"pharmacy"',), ("",), (None,)], "raw string")
+    matched = raw.select(text.match_service(text.tags(F.col("raw")), [("gp", {"amenity": ["clinic"]}), ("food", {"shop": ["bakery"]}), ("drugs", {"amenity": ["pharmacy"]})], {"gp": {"shop": ["butcher"]}}).alias("m"))
+    assert [r.m for r in matched.collect()] == ["gp", None, None]
+    assert matched._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3
