@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reachspark.operators import people
+from reachspark.operators.common import dealt
 from reachspark.plans.registry import query
 
 _BLOCK = """block as (select c_custkey as block, n_name as area, case when c_acctbal >= 0 then c_acctbal end as residents, case when c_custkey % 4 <> 0 and c_acctbal >= 0 then c_acctbal * 0.2 end as young, case when c_custkey % 5 <> 0 and c_acctbal >= 0 then c_acctbal * 0.1 end as old from customer join nation on c_nationkey = n_nationkey)"""
@@ -89,6 +90,7 @@ def largest_remainder(t):
 def _whole_quantities(lines, orders):
     from pyspark.sql import Window as W
 
+    lines = dealt(lines.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], lines.count())  # a count of the files' footers
     rows = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     rows = rows.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(F.sum(F.col("l_quantity") * 1.07).alias("v")).withColumn("total", F.round(F.sum("v").over(W.partitionBy("o_orderkey")), 6))
     return people.whole_parts(rows, ["o_orderkey"], "l_linenumber", "v", "total").select("o_orderkey", "l_linenumber", "whole")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reachspark.functions import text
 from reachspark.operators import areas, choices, fares, gravity, graphs, measures, merge, people, spatial, stats, storage, timetable
+from reachspark.operators.common import ROWS_A_TASK, dealt
 from reachspark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -177,3 +178,10 @@ def test_tags_are_read_once_for_all_rules(spark):
     matched = raw.select(text.match_service(text.tags(F.col("raw")), [("gp", {"amenity": ["clinic"]}), ("food", {"shop": ["bakery"]}), ("drugs", {"amenity": ["pharmacy"]})], {"gp": {"shop": ["butcher"]}}).alias("m"))
     assert [r.m for r in matched.collect()] == ["gp", None, None]
     assert matched._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3
+
+
+def test_tasks_grow_in_number(spark):
+    rows = spark.range(100).withColumn("k", F.col("id") % 7)
+    assert dealt(rows, ["k"], 30 * ROWS_A_TASK + 1).rdd.getNumPartitions() == 31
+    assert dealt(rows, ["k"], 0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt(rows, ["k"], 5).collect()) == list(range(100))
