@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def by_partition(rows: DataFrame, path: str, *columns: str) -> None:
-    """Parquet by partition; rows of one partition are brought together first, so that it has few files."""
-    rows.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    """Parquet by partition; rows of one partition are brought together first, so that it has few files. A large partition is split over several tasks."""
+    rows.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
 def csv(rows: DataFrame, path: str, joiner: str = "|") -> None:

@@ -68,3 +68,13 @@ def test_batches_resume(spark, tmp_path):
     assert spark.read.parquet(path).count() == 200
     manifest = spark.createDataFrame([(0, "s1"), (1, "s0")], "batch long, scope string")
     assert sorted(r.batch for r in batches.stale(cells.select("batch").distinct(), manifest, "s1").collect()) == [1, 2]
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        sinks.by_partition(spark.range(200_000).selectExpr("id", "uuid() as u", "'walk' as tag"), f"{tmp_path}/p", "tag")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    back = spark.read.parquet(f"{tmp_path}/p")
+    assert back.count() == 200_000 and len(back.inputFiles()) > 1
