@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Formats that can be read: 2 has "public transport, or walking where that is quicker".
 FORMATS = (1, 2)
@@ -28,22 +29,26 @@ def encode(rows: DataFrame, cells: DataFrame, by: list[str], size: int, order: l
     """
     tile = F.floor(F.col("cell") / size).cast("long")
     count = cells.groupBy(tile.alias("tile")).agg((F.max("cell") % size + 1).cast("int").alias("n"))
-    entry = F.struct(*order, *[F.col(c).alias(f"_{c}") for c in dense], *([F.col(sparse).alias("_sparse")] if sparse else []))
-    lists = rows.groupBy(*by, "cell").agg(F.array_sort(F.collect_list(entry), _by_order(order)).alias("_list"))
-    tiles = lists.groupBy(*by, tile.alias("tile")).agg(F.array_sort(F.collect_list(F.struct("cell", "_list")), _by_order(["cell"])).alias("_cells"))
     spine = count.join(rows.select(*by).distinct()) if by else count  # keys are settings (modes, services), tiles a few thousandths of the cells
-    tiles = spine.join(tiles, [*by, "tile"], "left").withColumn("_cells", F.coalesce("_cells", F.array().cast(tiles.schema["_cells"].dataType)))
-    flat = F.flatten(F.transform("_cells", lambda c: c["_list"]))
-    # sizes of the cells that have rows, laid into all of the tile
-    sizes = F.map_from_arrays(F.transform("_cells", lambda c: (c["cell"] % size).cast("int")), F.transform("_cells", lambda c: F.size(c["_list"])))
-    tiles = tiles.withColumn("_flat", flat).withColumn("_sizes", sizes)
-    steps = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("_sizes", i), F.lit(0)))
-    offsets = F.aggregate(steps, F.array(F.lit(0)), lambda o, s: F.concat(o, F.array(F.element_at(o, -1) + s)))
-    each = lambda c: F.transform("_flat", lambda x: x[f"_{c}"])
-    out = [*by, "tile", "n", offsets.alias("o"), *[each(c).alias(c) for c in dense]]
+    fields = list(dict.fromkeys([*order, *dense]))
+    entry = F.struct((F.col("cell") % size).cast("int").alias("at"), *[F.col(c).alias(f"_{c}") for c in fields], *([F.col(sparse).alias("mark")] if sparse else []))
+    # the spine's rows lie among the entries, so that these are neither joined nor sorted again
+    parts = rows.select(*by, tile.alias("tile"), entry.alias("_e"), F.lit(None).cast("int").alias("n"))
+    parts = parts.unionByName(spine.select(*by, "tile", F.lit(None).cast(parts.schema["_e"].dataType).alias("_e"), "n"))
+    flat = F.collect_list("_e")
+    if any(t in parts.schema["_e"].dataType.simpleString() for t in ("map<", "variant", "interval")):  # may have no order
+        flat = F.array_sort(flat, _by_order(["at", *[f"_{c}" for c in order]]))
+    else:
+        flat = F.sort_array(flat)
+    tiles = parts.groupBy(*by, "tile").agg(flat.alias("_flat"), F.max("n").alias("n")).filter("n is not null")
+    # where the list of each of the tile's cells begins; that of a cell without rows is where the next one's is
+    tiles = tiles.withColumn("_at", F.col("_flat")["at"])
+    first = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_position("_at", i).cast("int") - 1)
+    offsets = F.aggregate(F.reverse(first), F.array(F.size(F.filter("_at", lambda i: i < F.col("n")))), lambda o, p: F.concat(F.array(F.when(p < 0, o[0]).otherwise(p)), o))
+    out = [*by, "tile", "n", offsets.alias("o"), *[F.col("_flat")[f"_{c}"].alias(c) for c in dense]]
     if sparse:
-        marked = F.filter(F.transform("_flat", lambda x, i: F.struct(i.alias("k"), x["_sparse"].alias("s"))), lambda x: x["s"].isNotNull())
-        out += [F.transform(marked, lambda x: x["k"]).alias("k"), F.transform(marked, lambda x: x["s"]["value"]).alias("v")]
+        tiles = tiles.withColumn("_k", F.filter(F.transform(F.col("_flat")["mark"], lambda s, i: F.when(s.isNotNull(), i)), lambda i: i.isNotNull()))
+        out += [F.col("_k").alias("k"), F.transform("_k", lambda i: F.col("_flat")[i]["mark"]["value"]).alias("v")]
     return tiles.select(*out)
 
 
@@ -88,23 +93,34 @@ def decode(payloads: DataFrame, by: list[str], size: int, dense: list[str], spar
     """
     d, m, *more = dense
     checked = payloads.withColumn("problem", problem(form, "n", "o", d, m, *(["k", "v"] if sparse else [])))
-    bad = checked.filter("problem is not null").select(*by, "tile", "problem")
-    good = checked.filter("problem is null")
-    for c in more:
-        good = good.withColumn(c, F.when(F.size(c) == F.size(d), F.col(c)))
+    # rows are told by what is exploded: a filter would be moved below what it reads, and have every array made again for each mention
+    bad = checked.select(*by, "tile", F.explode(F.when(F.col("problem").isNotNull(), F.array("problem"))).alias("problem"))
+    whole = F.col("problem").isNull() & (F.col("n") > 0)
     end = lambda i: F.when(i + 1 < F.size("o"), F.get("o", i + 1)).otherwise(F.size(d))
-    lists = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("tile") * size + i).alias("cell"), F.get("o", i).alias("first"), (end(i) - F.get("o", i)).alias("size")))
-    fields = [*by, *dense, *(["k", "v"] if sparse else [])]
-    rows = good.filter("n > 0").select(*fields, F.explode(lists).alias("_l")).filter("_l.size > 0")
-    part = lambda c: F.slice(c, F.col("_l.first") + 1, F.col("_l.size"))
-    entries = F.transform(part(d), lambda x, i: F.struct(i.alias("place"), x.alias(d), *[F.get(part(c), i).alias(c) for c in (m, *more)], (F.col("_l.first") + i).alias("at")))
-    rows = rows.select(*by, F.col("_l.cell").alias("cell"), F.explode(entries).alias("_e"), *(["k", "v"] if sparse else []))
-    out = [*by, "cell", *[F.col(f"_e.{c}").alias(c) for c in ("place", *dense)]]
+    # for each entry its cell and where that one's list begins
+    owners = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_repeat(F.struct((F.col("tile") * size + i).alias("cell"), F.get("o", i).alias("first")), end(i) - F.get("o", i)))
+    fitting = [F.when(F.size(c) == F.size(d), F.col(c)).otherwise(F.array().cast(payloads.schema[c].dataType)).alias(c) for c in more]
+    tiles = checked.select(*by, d, m, *fitting, F.when(whole, F.flatten(owners)).alias("_own"), *(["k", "v"] if sparse else []))
+    arrays, out = [d, m, *more, "_own"], [*by, F.col("_e._own.cell").alias("cell"), (F.col("_at") - F.col("_e._own.first")).alias("place"), *[F.col(f"_e.{c}").alias(c) for c in dense]]
     if sparse:
-        where = F.when(F.col("k").isNotNull() & F.col("v").isNotNull(), F.array_position("k", F.col("_e.at").cast("int"))).otherwise(F.lit(0))
-        rows = rows.withColumn("_w", where.cast("int"))
-        out += [(F.col("_w") > 0).alias("marked"), F.when(F.col("_w") > 0, F.try_element_at("v", F.col("_w"))).alias("value")]
-    return rows.select(*out), bad
+        tiles = _laid_out(tiles, F.col("_own").isNotNull(), "k", "v", "_mark")
+        arrays.append("_mark")
+        out += [F.col("_e._mark").isNotNull().alias("marked"), F.col("_e._mark.value").alias("value")]
+    entries = tiles.select(*by, F.posexplode(F.when(F.col("_own").isNotNull(), F.arrays_zip(*arrays))).alias("_at", "_e"))
+    return entries.select(*out), bad
+
+
+def _laid_out(tiles: DataFrame, where: Column, k: str, v: str, name: str) -> DataFrame:
+    """Adds ``name``: structs of the values ``v`` at their positions ``k``, nulls between them; of a position that is named twice the first counts."""
+    pairs = F.sort_array(F.transform(k, lambda p, i: F.struct(p.cast("int").alias("p"), i.alias("i"))))
+    tiles = tiles.withColumn("_s", F.when(where & F.col(k).isNotNull() & F.col(v).isNotNull(), pairs))
+    before = lambda i: F.get("_s", i - 1)["p"]
+    tiles = tiles.withColumn("_s", F.filter("_s", lambda x, i: before(i).isNull() | (before(i) != x["p"])))
+    value = lambda x: F.struct(F.get(v, x["i"]).alias("value"))
+    none = T.ArrayType(T.StructType([T.StructField("value", tiles.schema[v].dataType.elementType)]))
+    gap = lambda x, i: F.array_repeat(F.lit(None).cast(none.elementType), x["p"] - F.coalesce(before(i), F.lit(-1)) - 1)
+    laid = F.flatten(F.transform("_s", lambda x, i: F.concat(gap(x, i), F.array(value(x)))))
+    return tiles.withColumn(name, F.coalesce(laid, F.array().cast(none))).drop("_s")
 
 
 def weights(values: Column) -> Column:

@@ -45,6 +45,29 @@ def test_each_kind_of_damage(spark):
     assert {r["mode"] for r in back.collect()} == {"a", "l"}
 
 
+def test_arrays_are_made_once(spark):
+    """A filter on the problem would be moved below the arrays, and have each made again wherever the checks mention it."""
+    rows = spark.range(40).selectExpr("'w' as mode", "id as cell", "id as d", "cast(id % 7 as int) as m", "if(id % 3 = 0, struct(id as value), null) as r5")
+    tiles = payloads.encode(rows, rows.select("cell"), ["mode"], 8, ["m", "d"], ["d", "m"], "r5").withColumn("format", F.lit(1))
+    back, _ = payloads.decode(tiles, ["mode"], 8, ["d", "m"], sparse=True)
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert sorted((r.cell, r.place, r.d, r.m, r.marked, r.value) for r in back.collect()) == [(i, 0, i, i % 7, i % 3 == 0, i if i % 3 == 0 else None) for i in range(40)]
+
+
+def test_positions_in_any_order_and_twice(spark):
+    schema = "mode string, tile long, format int, n int, o array<int>, d array<int>, m array<int>, k array<long>, v array<int>"
+    rows = [("a", 0, 1, 3, [0, 0, 4], [1, 2, 3, 4], [1, 2, 3, 4], [3, 1, 3], [7, None, 8]), ("b", 0, 1, 1, [0], [5], [6], None, [1]), ("c", 0, 1, 2, [0, 2_000_000_000], [5], [6], [], []), ("e", 0, 1, 0, [], [], [], [], [])]
+    back, bad = payloads.decode(spark.createDataFrame(rows, schema), ["mode"], 10, ["d", "m"], sparse=True)
+    assert sorted((r["mode"], r.cell, r.place, r.d, r.marked, r.value) for r in back.collect()) == [("a", 1, 0, 1, False, None), ("a", 1, 1, 2, True, None), ("a", 1, 2, 3, False, None), ("a", 1, 3, 4, True, 7), ("b", 0, 0, 5, False, None)]
+    assert [(r["mode"], r.problem) for r in bad.collect()] == [("c", "order of offsets")]
+
+
+def test_values_without_an_order_can_be_listed(spark):
+    rows = spark.sql("select cell, d, map('k', d) as m from values (1L, 5), (1L, 4), (3L, 6) as t(cell, d)")
+    got = payloads.encode(rows, spark.range(4).withColumnRenamed("id", "cell"), [], 4, ["d"], ["d", "m"]).first()
+    assert (got.o, got.d, got.m) == ([0, 0, 2, 2, 3], [4, 5, 6], [{"k": 4}, {"k": 5}, {"k": 6}])
+
+
 def test_weights(spark):
     got = spark.createDataFrame([([0.5, -1.0, 7.0, None, math.nan, math.inf],)], "w array<double>").select(payloads.weights(F.col("w"))).first()[0]
     assert got == [0.5, 0.0, 1.0, 0.0, 0.0, 0.0]
