@@ -49,7 +49,8 @@ def test_arrays_are_made_once(spark):
     """A filter on the problem would be moved below the arrays, and have each made again wherever the checks mention it."""
     rows = spark.range(40).selectExpr("'w' as mode", "id as cell", "id as d", "cast(id % 7 as int) as m", "if(id % 3 = 0, struct(id as value), null) as r5")
     tiles = payloads.encode(rows, rows.select("cell"), ["mode"], 8, ["m", "d"], ["d", "m"], "r5").withColumn("format", F.lit(1))
-    back, _ = payloads.decode(tiles, ["mode"], 8, ["d", "m"], sparse=True)
+    back, bad = payloads.decode(tiles, ["mode"], 8, ["d", "m"], sparse=True)
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert back._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert sorted((r.cell, r.place, r.d, r.m, r.marked, r.value) for r in back.collect()) == [(i, 0, i, i % 7, i % 3 == 0, i if i % 3 == 0 else None) for i in range(40)]
 
