@@ -84,10 +84,11 @@ def batches_rewritten(t):
     """Batches of cells, of which those that the manifest has under another scope are worked off again; the others' files stay."""
     path = _folder(t)
     cells = batches.assign(t.cells().select("cell"), "cell", 100)
-    batches.write(cells.withColumn("run", F.lit("first")), path)
-    done = cells.select("batch").distinct().withColumn("scope", F.when(F.col("batch") % 4 == 1, "old").otherwise("now"))
-    batches.write(cells.join(batches.stale(cells.select("batch").distinct(), done, "now"), "batch").select("cell", "batch").withColumn("run", F.lit("again")), path)
-    return t.spark.read.schema("cell long, run string, batch long").parquet(path).select("cell", "batch", "run")
+    listed = cells.select("batch").distinct()
+    batches.add(cells.withColumn("run", F.lit("first")), listed.withColumn("scope", F.when(F.col("batch") % 4 == 1, "old").otherwise("now")), path)
+    again = batches.stale(listed, batches.manifest(t.spark, path), "now")
+    batches.add(cells.join(again, "batch").withColumn("run", F.lit("again")), again.withColumn("scope", F.lit("now")), path)
+    return batches.current(t.spark, path, "cell long, batch long, run string")
 
 
 @query("cells destinations", """

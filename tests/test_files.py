@@ -70,6 +70,24 @@ def test_batches_resume(spark, tmp_path):
     assert sorted(r.batch for r in batches.stale(cells.select("batch").distinct(), manifest, "s1").collect()) == [1, 2]
 
 
+def test_many_batches_have_few_files_and_are_replaced_one_by_one(spark, tmp_path):
+    path, done = f"file://{tmp_path}/v", lambda scope, *bs: spark.createDataFrame([(b, scope) for b in bs], "batch long, scope string")
+    cells = batches.assign(spark.range(3000).withColumnRenamed("id", "cell"), "cell", 10).withColumn("run", F.lit(0))
+    batches.add(cells, done("s0", *range(300)), path)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "v").rglob("*.parquet")}
+    assert len([f for f in files if "rows" in f.parts]) <= cells.rdd.getNumPartitions()
+    # of two batches that are worked off again one has fewer rows, the other none
+    batches.add(cells.filter("batch = 1 and cell < 14").withColumn("run", F.lit(1)), done("s1", 1, 2), path)
+    cells.withColumn("run", F.lit(2)).write.parquet(f"{path}/rows/version=2")  # stopped before its manifest
+    read = lambda: sorted(tuple(r) for r in batches.current(spark, path, "cell long, batch long, run int").collect())
+    kept = [(c, c // 10, 0) for c in range(3000) if c // 10 not in (1, 2)]
+    assert read() == sorted([*kept, *[(c, 1, 1) for c in range(10, 14)]])
+    assert {f: f.stat().st_mtime_ns for f in files} == files
+    assert sorted(r.batch for r in batches.stale(cells.select("batch").distinct(), batches.manifest(spark, path), "s0").collect()) == [1, 2]
+    batches.add(cells.filter("batch = 2"), done("s0", 2), path)  # takes the stopped one's place
+    assert read() == sorted([*kept, *[(c, 1, 1) for c in range(10, 14)], *[(c, 2, 0) for c in range(20, 30)]])
+
+
 def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
     try:
