@@ -19,36 +19,43 @@ FORMATS = (1, 2)
 # -- lists of cells ----------------------------------------------------------------------
 
 
-def encode(rows: DataFrame, cells: DataFrame, by: list[str], size: int, order: list[str], dense: list[str], sparse: str | None = None) -> DataFrame:
+def encode(rows: DataFrame, cells: DataFrame, by: list[str], size: int, order: list[str], dense: list[str], sparse: str | None = None, empty: bool = True) -> DataFrame:
     """(by, tile, n, o, d ..., k, v): the lists of every cell of every tile, for each ``by``.
 
     ``rows`` has ``by``, ``cell`` (its number), ``order`` (of a list; no two rows of a cell
-    are equal in it) and the columns ``dense``, an array each. ``cells`` has a row for each
-    number; cells without rows have empty lists. With ``sparse``, a column of structs
-    (value): entries where it is not null are listed as k, v; the value may be null.
+    are equal in it) and the columns ``dense``, an array each; where it has ``tile`` and is
+    dealt out by it, it moves no more. ``cells`` has a row for each number; cells without
+    rows have empty lists. With ``sparse``, a column of structs (value): entries where it is
+    not null are listed as k, v; the value may be null. Tiles without rows are left out
+    unless ``empty``, for which ``rows`` are read twice.
     """
     tile = F.floor(F.col("cell") / size).cast("long")
     count = cells.groupBy(tile.alias("tile")).agg((F.max("cell") % size + 1).cast("int").alias("n"))
-    spine = count.join(rows.select(*by).distinct()) if by else count  # keys are settings (modes, services), tiles a few thousandths of the cells
     fields = list(dict.fromkeys([*order, *dense]))
-    entry = F.struct((F.col("cell") % size).cast("int").alias("at"), *[F.col(c).alias(f"_{c}") for c in fields], *([F.col(sparse).alias("mark")] if sparse else []))
-    # the spine's rows lie among the entries, so that these are neither joined nor sorted again
-    parts = rows.select(*by, tile.alias("tile"), entry.alias("_e"), F.lit(None).cast("int").alias("n"))
-    parts = parts.unionByName(spine.select(*by, "tile", F.lit(None).cast(parts.schema["_e"].dataType).alias("_e"), "n"))
+    entry = F.struct((F.col("cell") % size).cast("int").alias("at"), *[F.col(c).alias(f"_{c}") for c in fields], *([F.col(sparse).isNotNull().alias("marked"), F.col(sparse)["value"].alias("value")] if sparse else []))
+    parts = rows.select(*by, (F.col("tile") if "tile" in rows.columns else tile).alias("tile"), entry.alias("_e"))
     flat = F.collect_list("_e")
     if any(t in parts.schema["_e"].dataType.simpleString() for t in ("map<", "variant", "interval")):  # may have no order
         flat = F.array_sort(flat, _by_order(["at", *[f"_{c}" for c in order]]))
     else:
         flat = F.sort_array(flat)
-    tiles = parts.groupBy(*by, "tile").agg(flat.alias("_flat"), F.max("n").alias("n")).filter("n is not null")
-    # where the list of each of the tile's cells begins; that of a cell without rows is where the next one's is
-    tiles = tiles.withColumn("_at", F.col("_flat")["at"])
-    first = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_position("_at", i).cast("int") - 1)
-    offsets = F.aggregate(F.reverse(first), F.array(F.size(F.filter("_at", lambda i: i < F.col("n")))), lambda o, p: F.concat(F.array(F.when(p < 0, o[0]).otherwise(p)), o))
+    if empty:
+        spine = count.join(rows.select(*by).distinct()) if by else count  # keys are settings (modes, services), tiles a few thousandths of the cells
+        # the spine's rows lie among the entries, so that these are neither joined nor sorted again; they move as rows, before lists are made of them
+        parts = parts.withColumn("n", F.lit(None).cast("int")).unionByName(spine.select(*by, "tile", F.lit(None).cast(parts.schema["_e"].dataType).alias("_e"), "n"))
+        tiles = parts.repartition("tile", *by).groupBy("tile", *by).agg(flat.alias("_flat"), F.max("n").alias("n")).filter("n is not null")
+    else:
+        tiles = (parts if "tile" in rows.columns else parts.repartition("tile")).groupBy("tile", *by).agg(flat.alias("_flat")).join(count, "tile")
+    # the first entry of each cell that has one: there begin the lists of this cell and of those without rows before it; what is beyond all entries begins at their end
+    at = F.col("_flat")["at"]
+    firsts = F.filter(F.transform("_at", lambda a, j: F.when(a > F.coalesce(F.get("_at", j - 1), F.lit(-1)), F.struct(a.alias("a"), j.alias("j")))), lambda x: x.isNotNull())
+    begun = F.aggregate(firsts, F.array().cast("array<int>"), lambda o, x: F.concat(o, F.array_repeat(x["j"], x["a"] + 1 - F.size(o))))
+    offsets = F.slice(F.concat(begun, F.array_repeat(F.size("_at"), F.col("n") - F.coalesce(F.array_max("_at"), F.lit(-1)))), 1, F.col("n") + 1)
     out = [*by, "tile", "n", offsets.alias("o"), *[F.col("_flat")[f"_{c}"].alias(c) for c in dense]]
+    tiles = tiles.withColumn("_at", at)
     if sparse:
-        tiles = tiles.withColumn("_k", F.filter(F.transform(F.col("_flat")["mark"], lambda s, i: F.when(s.isNotNull(), i)), lambda i: i.isNotNull()))
-        out += [F.col("_k").alias("k"), F.transform("_k", lambda i: F.col("_flat")[i]["mark"]["value"]).alias("v")]
+        tiles = tiles.withColumn("_k", F.filter(F.transform(F.col("_flat")["marked"], lambda m, i: F.when(m, i)), lambda i: i.isNotNull()))
+        out += [F.col("_k").alias("k"), F.transform("_k", lambda i: F.col("_flat")[i]["value"]).alias("v")]
     return tiles.select(*out)
 
 

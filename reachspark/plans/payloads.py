@@ -14,14 +14,14 @@ from reachspark.streaming.maintained import Maintained, relabelled
 #: Cells of a tile.
 SIZE = 64
 
-def _reached(t):
-    """Who reaches which school; where it holds, r5 has the minutes by public transport alone, null if it doesn't get there."""
+def _reached(t, size=None):
+    """Who reaches which school, with ``size`` dealt out by tile; where it holds, r5 has the minutes by public transport alone, null if it doesn't get there."""
     r5 = F.when((F.col("cell") + F.col("school")) % 5 == 0, F.struct(F.when(F.col("school") % 2 == 0, F.col("minutes") + 3).alias("value")))
-    return t.reach().select("mode", "cell", "school", "minutes", (F.col("minutes") - 1).alias("lo"), r5.alias("r5"))
+    return t.reach(size).select("mode", "cell", *(["tile"] if size else []), "school", "minutes", (F.col("minutes") - 1).alias("lo"), r5.alias("r5"))
 
 
-def _tiles(t):
-    return payloads.encode(_reached(t), t.cells().select("cell"), ["mode"], SIZE, ["minutes", "school"], ["school", "minutes", "lo"], "r5").withColumn("format", F.lit(2))
+def _tiles(t, empty=False):
+    return payloads.encode(_reached(t, None if empty else SIZE), t.cells().select("cell"), ["mode"], SIZE, ["minutes", "school"], ["school", "minutes", "lo"], "r5", empty).withColumn("format", F.lit(2))
 
 
 @query("reach", f"""
@@ -35,7 +35,7 @@ from spine s
 def reach_tiles(t):
     """All of who reaches which school, as lists of the cells of each tile and mode."""
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return _tiles(t).select("mode", "tile", "n", text("o").alias("o"), text("school").alias("d"), text("minutes").alias("m"), text("k").alias("k"))
+    return _tiles(t, empty=True).select("mode", "tile", "n", text("o").alias("o"), text("school").alias("d"), text("minutes").alias("m"), text("k").alias("k"))
 
 
 @query("reach", """
@@ -58,7 +58,7 @@ def reach_damaged(t):
     """What is found wrong with tiles that were damaged, each in one way; one in seven is left whole."""
     way = (F.col("tile") + F.length("mode")) % 7
     n = F.size("o")
-    damaged = _tiles(t).filter("size(school) > 0").withColumns({
+    damaged = _tiles(t).withColumns({
         "format": F.when(way == 1, 3).otherwise(F.col("format")), "minutes": F.when(way == 2, F.slice("minutes", 1, F.size("minutes") - 1)).otherwise(F.col("minutes")),
         "o": F.when(way == 3, F.concat("o", "o")).when(way == 4, F.concat(F.slice("o", 1, n - 2), F.array(F.element_at("o", -1) + 1, F.element_at("o", -1)))).when(way == 5, F.transform("o", lambda x: x + 1)).otherwise(F.col("o")),
         "k": F.when(way == 6, F.array(F.size("school"))).otherwise(F.col("k")), "v": F.when(way == 6, F.array(F.lit(1))).otherwise(F.col("v")),
@@ -73,8 +73,8 @@ select cell, school, least(1.0, greatest(0.0, case when metres % 11 = 0 then 0.0
 def zone_weights(t):
     """Shares of cells in zones, encoded as they came and read back between 0 and 1; what is no number is 0."""
     raw = F.when(F.col("metres") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("metres") / 2000.0)
-    rows = t.reach().filter("mode = 'walk'").select("mode", "cell", "school", raw.alias("w"))
-    tiles = payloads.encode(rows, t.cells().select("cell"), ["mode"], SIZE, ["school"], ["school", "w"]).withColumns({"format": F.lit(1), "w": payloads.weights(F.col("w"))})
+    rows = t.reach(SIZE).filter("mode = 'walk'").select("mode", "cell", "tile", "school", raw.alias("w"))
+    tiles = payloads.encode(rows, t.cells().select("cell"), ["mode"], SIZE, ["school"], ["school", "w"], empty=False).withColumns({"format": F.lit(1), "w": payloads.weights(F.col("w"))})
     back, _ = payloads.decode(tiles, ["mode"], SIZE, ["school", "w"])
     return back.select("cell", "school", F.col("w").alias("weight"))
 

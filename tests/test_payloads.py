@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reachspark.operators import payloads
+from reachspark.plans import registry
 from reachspark.streaming.maintained import Maintained, relabelled
+from tests.conftest import DATA
 
 
 def test_lists_and_offsets_of_a_tile(spark):
@@ -55,6 +57,28 @@ def test_arrays_are_made_once(spark):
     assert sorted((r.cell, r.place, r.d, r.m, r.marked, r.value) for r in back.collect()) == [(i, 0, i, i % 7, i % 3 == 0, i if i % 3 == 0 else None) for i in range(40)]
 
 
+def test_rows_are_read_once_and_move_before_lists_are_made(spark):
+    for name in ("reach_damaged", "reach_round_trip", "zone_weights"):
+        plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == 1, name
+        lists = plan[plan.index("collect_list(") : plan.rindex("collect_list(")]
+        assert lists and "Exchange" not in lists, name
+
+
+def test_offsets_with_gaps_and_without_empty_tiles(spark):
+    r = random.Random(2)
+    rows = [(c, d, c // 8) for c in range(70) if c // 8 not in (2, 5) for d in range(r.choice([0, 0, 1, 5]))] + [(75, 1, 9), (100, 1, 12)]  # 75 is beyond its tile's last cell, 100 in no tile
+    frame, cells = spark.createDataFrame(rows, "cell long, d int, tile long"), spark.createDataFrame([(i,) for i in range(75)], "cell long")
+    lists = [[d for c, d, _ in sorted(rows) if c == i] for i in range(80)]
+    n = lambda tile: min(75 - 8 * tile, 8)
+    expected = {tile: (n(tile), [sum(map(len, lists[8 * tile : 8 * tile + i])) for i in range(n(tile) + 1)], sum(lists[8 * tile : 8 * tile + 8], [])) for tile in range(10)}
+    full = {tile: e for tile, e in expected.items() if e[2]}
+    assert set(range(10)) - set(full) >= {2, 5}
+    for given, empty in ((frame, True), (frame, False), (frame.drop("tile"), False), (frame.repartition("tile"), False)):
+        got = payloads.encode(given, cells, [], 8, ["d"], ["d"], empty=empty).collect()
+        assert {x.tile: (x.n, x.o, x.d) for x in got} == (expected if empty else full) and len(got) == len(expected if empty else full)
+
+
 def test_positions_in_any_order_and_twice(spark):
     schema = "mode string, tile long, format int, n int, o array<int>, d array<int>, m array<int>, k array<long>, v array<int>"
     rows = [("a", 0, 1, 3, [0, 0, 4], [1, 2, 3, 4], [1, 2, 3, 4], [3, 1, 3], [7, None, 8]), ("b", 0, 1, 1, [0], [5], [6], None, [1]), ("c", 0, 1, 2, [0, 2_000_000_000], [5], [6], [], []), ("e", 0, 1, 0, [], [], [], [], [])]
