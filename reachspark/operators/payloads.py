@@ -48,7 +48,9 @@ def encode(rows: DataFrame, cells: DataFrame, by: list[str], size: int, order: l
         tiles = (parts if "tile" in rows.columns else parts.repartition("tile")).groupBy("tile", *by).agg(flat.alias("_flat")).join(count, "tile")
     # the first entry of each cell that has one: there begin the lists of this cell and of those without rows before it; what is beyond all entries begins at their end
     at = F.col("_flat")["at"]
-    firsts = F.filter(F.transform("_at", lambda a, j: F.when(a > F.coalesce(F.get("_at", j - 1), F.lit(-1)), F.struct(a.alias("a"), j.alias("j")))), lambda x: x.isNotNull())
+    # (no function of an entry names the array itself: it would be taken out of the list again for each)
+    pairs = F.arrays_zip(F.col("_at").alias("a"), F.concat(F.array(F.lit(-1)), F.col("_at")).alias("before"))
+    firsts = F.filter(F.transform(pairs, lambda x, j: F.when(x["a"] > x["before"], F.struct(x["a"].alias("a"), j.alias("j")))), lambda x: x.isNotNull())
     begun = F.aggregate(firsts, F.array().cast("array<int>"), lambda o, x: F.concat(o, F.array_repeat(x["j"], x["a"] + 1 - F.size(o))))
     offsets = F.slice(F.concat(begun, F.array_repeat(F.size("_at"), F.col("n") - F.coalesce(F.array_max("_at"), F.lit(-1)))), 1, F.col("n") + 1)
     out = [*by, "tile", "n", offsets.alias("o"), *[F.col("_flat")[f"_{c}"].alias(c) for c in dense]]

@@ -79,6 +79,14 @@ def test_offsets_with_gaps_and_without_empty_tiles(spark):
         assert {x.tile: (x.n, x.o, x.d) for x in got} == (expected if empty else full) and len(got) == len(expected if empty else full)
 
 
+def test_cells_of_entries_are_not_taken_out_for_each_entry(spark):
+    """The optimizer writes out what an array of cells is where it is named, in functions of an entry too."""
+    rows = spark.range(40).selectExpr("id as cell", "id as d")
+    for empty in (True, False):
+        plan = payloads.encode(rows, rows.select("cell"), [], 8, ["d"], ["d"], empty=empty).select("tile", "o")._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(arrays_zip(" in plan and ".at[" not in plan and "array_position(" not in plan
+
+
 def test_positions_in_any_order_and_twice(spark):
     schema = "mode string, tile long, format int, n int, o array<int>, d array<int>, m array<int>, k array<long>, v array<int>"
     rows = [("a", 0, 1, 3, [0, 0, 4], [1, 2, 3, 4], [1, 2, 3, 4], [3, 1, 3], [7, None, 8]), ("b", 0, 1, 1, [0], [5], [6], None, [1]), ("c", 0, 1, 2, [0, 2_000_000_000], [5], [6], [], []), ("e", 0, 1, 0, [], [], [], [], [])]
